@@ -22,6 +22,7 @@ def spark_session(cores: str = "8", partitions: str = "8") -> SparkSession:
         .config("spark.sql.shuffle.partitions", partitions)
         .config("spark.driver.memory", "12g")
         .config("spark.ui.enabled", "false")
+        .config("spark.sql.dataFrameQueryContext.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
         .config("spark.sql.session.timeZone", "UTC")
         .getOrCreate()
@@ -75,7 +76,7 @@ def main() -> int:
         try:
             found = QUERIES[name](spark, folder).toArrow()
             seconds = time.time() - start
-            expected = connection.execute(ORACLES[name]).to_arrow_table()
+            expected = connection.sql(ORACLES[name]).to_arrow_table()
             problem = differences(found, expected)
         except Exception as error:  # the check goes on with the next query
             seconds, problem = time.time() - start, f"{type(error).__name__}: {str(error)[:1500]}"

@@ -17,7 +17,8 @@ from duefold.operators import summary as S
 from duefold.operators import tables as TA
 from duefold.operators import timing as TI
 from duefold.operators import worst as W
-from duefold.session import new_path
+from duefold.plans.price_model import prepare, train_and_predict
+from duefold.session import new_path, written
 from duefold.sources import readers, schemas, stand_ins, writers
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -194,7 +195,7 @@ def clean_vehicles(spark, folder):
 
 
 def parsed_dates(spark, folder):
-    orders = spark.read.parquet(f"{folder}/orders.parquet")
+    orders = stand_ins.given_table(spark, folder, "orders")
     text = F.date_format(F.col("o_orderdate"), "dd/MM/yyyy HH:mm")
     return orders.select(
         F.col("o_orderkey"), parse_timestamp(text, "dd/MM/yyyy HH:mm").alias("ordered_at")
@@ -202,10 +203,10 @@ def parsed_dates(spark, folder):
 
 
 def _model_table(spark, folder):
-    return FE.model_table(
-        FE.clean_vehicles(stand_ins.vehicles(spark, folder)),
+    return prepare(
+        stand_ins.vehicles(spark, folder),
         stand_ins.ratings(spark, folder),
-        FE.clean_operators(stand_ins.operators(spark, folder)),
+        stand_ins.operators(spark, folder),
     )
 
 
@@ -246,33 +247,34 @@ def split_exact(spark, folder):
     return _divided(spark, folder, True).select("review_id", "is_test")
 
 
-def _divided_and_model(spark, folder):
-    divided = _divided(spark, folder, True)
-    return divided, R.fit(divided.where("NOT is_test"))
+def _fitted(spark, folder):
+    options = R.ModelOptions()
+    table = _model_table(spark, folder).select(*KEYS, *options.features, options.target)
+    return train_and_predict(written(table, "model-table"), KEYS, options)
 
 
 def ols_fit(spark, folder):
-    _, model = _divided_and_model(spark, folder)
+    model, _ = _fitted(spark, folder)
     return rounded(R.coefficients(model, R.ModelOptions().features, spark), 3)
 
 
 def ols_predictions(spark, folder):
-    divided, model = _divided_and_model(spark, folder)
-    predicted = R.predict(model, divided.where("is_test"))
+    _, predicted = _fitted(spark, folder)
     return rounded(predicted.select("review_id", "price", "prediction"), 3)
 
 
 def ols_scores(spark, folder):
-    divided, model = _divided_and_model(spark, folder)
-    return rounded(R.score(R.predict(model, divided.where("is_test"))), 4)
+    _, predicted = _fitted(spark, folder)
+    return rounded(R.score(predicted), 4)
 
 
 def model_round_trip(spark, folder):
-    divided, model = _divided_and_model(spark, folder)
+    """The scores of a model that was saved and loaded again."""
+    model, predicted = _fitted(spark, folder)
     path = new_path(spark, "price-model")
     writers.save_model(model, path)
     loaded = writers.load_model(spark, path)
-    return rounded(R.score(R.predict(loaded, divided.where("is_test"))), 4)
+    return rounded(R.score(R.predict(loaded, predicted.drop("prediction"))), 4)
 
 
 def csv_round_trip(spark, folder):

@@ -8,7 +8,6 @@ put in order.
 """
 
 from collections.abc import Sequence
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -29,7 +28,6 @@ def quantiles_from_counts(
     probabilities: Sequence[float],
     by: Sequence[str] = (),
     small_domain: bool = False,
-    ranges: int = 1024,
 ) -> DataFrame:
     """Quantiles per group as an array, from the output of :func:`value_counts`.
 
@@ -39,7 +37,7 @@ def quantiles_from_counts(
         return counts.groupBy(*by).agg(
             F.percentile("value", list(probabilities), F.col("copies")).alias("quantiles")
         )
-    return _ordered_quantiles(counts, probabilities, by, ranges)
+    return _ordered_quantiles(counts, probabilities, by)
 
 
 def exact_quantiles(
@@ -53,72 +51,82 @@ def exact_quantiles(
     return quantiles_from_counts(value_counts(df, column, by), probabilities, by, small_domain)
 
 
+_RANGES = 1024  # a power of two, for the binary search
+
+
+def _edges_below(edges: Column, value: Column) -> Column:
+    """How many of the ``_RANGES - 1`` ascending edges are less than the value."""
+    halves = F.array(*[F.lit(_RANGES >> k) for k in range(1, _RANGES.bit_length())])
+    return F.reduce(
+        halves,
+        F.lit(0),
+        lambda at, step: at
+        + F.when(F.element_at(edges, at + step) < value, step).otherwise(F.lit(0)),
+    )
+
+
 def _ordered_quantiles(
-    counts: DataFrame, probabilities: Sequence[float], by: Sequence[str], ranges: int
+    counts: DataFrame, probabilities: Sequence[float], by: Sequence[str]
 ) -> DataFrame:
     # The edges only decide how evenly the values spread over the ranges; ranks are counted
-    # exactly, so approximate edges give exact quantiles. One row of ``ranges`` numbers.
-    edges = counts.agg(
-        F.percentile_approx(
-            "value", [i / ranges for i in range(1, ranges)], 4 * ranges
-        ).alias("edges")
+    # exactly, so approximate edges give exact quantiles. One row of ``_RANGES - 1`` numbers.
+    # The shares as one text literal: a thousand separate literals make planning slow.
+    text = ",".join(str(i / _RANGES) for i in range(1, _RANGES))
+    shares = F.split(F.lit(text), ",").cast("array<double>")
+    edges = counts.where(F.col("copies") > 0).agg(  # asks for both columns: same shuffle reused
+        F.percentile_approx("value", shares, 4 * _RANGES).alias("edges")
     )
     placed = counts.crossJoin(F.broadcast(edges)).select(
         *by,
         "value",
         "copies",
-        F.size(F.filter("edges", lambda edge: edge < F.col("value"))).alias("range"),
+        F.coalesce(_edges_below(F.col("edges"), F.col("value")), F.lit(0)).alias("range"),
     )
 
-    # At most ``ranges`` rows per group from here to ``wanted``.
+    # For each probability the two ranks whose values it lies between, counted from zero.
+    points = "array(" + ", ".join(f"{float(p)!r}D" for p in probabilities) + ")"
+    ranks = f"flatten(transform({points}, p -> array(floor(p * (total - 1)), ceil(p * (total - 1)))))"
+
+    # At most ``_RANGES`` rows per group.
     by_range = Window.partitionBy(*by).orderBy("range")
     earlier = by_range.rowsBetween(Window.unboundedPreceding, -1)
     located = (
         placed.groupBy(*by, "range")
         .agg(F.sum("copies").alias("held"))
-        .select(
-            *by,
-            "range",
-            "held",
-            F.coalesce(F.sum("held").over(earlier), F.lit(0)).alias("before"),
-            F.sum("held").over(Window.partitionBy(*by)).alias("total"),
+        .withColumns(
+            {
+                "before": F.coalesce(F.sum("held").over(earlier), F.lit(0)),
+                "total": F.sum("held").over(Window.partitionBy(*by)),
+            }
         )
-    )
-
-    def position(probability: float) -> Column:
-        return F.lit(float(probability)) * (F.col("total") - 1)
-
-    ranks = [
-        bound(position(p)).cast("bigint") for p in probabilities for bound in (F.floor, F.ceil)
-    ]
-    wanted = located.where(
-        reduce(
-            lambda a, b: a | b,
-            [(r >= F.col("before")) & (r < F.col("before") + F.col("held")) for r in ranks],
+        .withColumn(
+            "ranks",
+            F.expr(f"array_distinct(filter({ranks}, r -> r >= before AND r < before + held))"),
         )
-    ).drop("held")
-    # Without groups there are two ranges per probability at most; with groups Spark decides.
-    wanted = wanted if by else F.broadcast(wanted)
+        .where("size(ranks) > 0")
+        .drop("held")
+    )
+    # Without groups at most two ranges per probability are left; with groups Spark decides.
+    wanted = located if by else F.broadcast(located)
 
     within = Window.partitionBy(*by, "range").orderBy("value")
     up_to = within.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    numbered = placed.join(wanted, [*by, "range"]).withColumn(
-        "upto", F.col("before") + F.sum("copies").over(up_to)
-    )
-
-    def value_at(rank: Column) -> Column:
-        here = (rank >= F.col("upto") - F.col("copies")) & (rank < F.col("upto"))
-        return F.max(F.when(here, F.col("value").cast("double")))
-
-    found = numbered.groupBy(*by).agg(
-        F.max("total").alias("total"), *[value_at(r).alias(f"at{i}") for i, r in enumerate(ranks)]
+    found = (
+        placed.join(wanted, [*by, "range"])
+        .withColumn("upto", F.col("before") + F.sum("copies").over(up_to))
+        .select(
+            *by,
+            "total",
+            F.col("value").cast("double").alias("value"),
+            F.expr("explode(filter(ranks, r -> r >= upto - copies AND r < upto))").alias("rank"),
+        )
     )
-
-    def interpolated(i: int, probability: float) -> Column:
-        low, high = F.col(f"at{2 * i}"), F.col(f"at{2 * i + 1}")
-        return low + (high - low) * (position(probability) - F.floor(position(probability)))
-
-    return found.select(
-        *by,
-        F.array(*[interpolated(i, p) for i, p in enumerate(probabilities)]).alias("quantiles"),
+    # Two entries per probability and group.
+    at = F.map_from_entries(F.collect_list(F.struct("rank", "value"))).alias("at")
+    low, high = "at[floor(p * (total - 1))]", "at[ceil(p * (total - 1))]"
+    between = f"{low} + ({high} - {low}) * (p * (total - 1) - floor(p * (total - 1)))"
+    return (
+        found.groupBy(*by, "total")
+        .agg(at)
+        .select(*by, F.expr(f"transform({points}, p -> {between})").alias("quantiles"))
     )

@@ -34,7 +34,7 @@ class ModelOptions:
     )
 
 
-_PREFIX = 5  # hex digits: about a million groups, each with a millionth of the rows
+_PREFIX = 4  # hex digits: 65,536 groups of rows, each with about as small a share
 
 
 def split(

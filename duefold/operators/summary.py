@@ -42,6 +42,8 @@ def summary(
         F.max("value").alias("max"),
         F.sum(F.when(value < 0, copies).otherwise(0)).alias("n_negative"),
     ]
+    if small_domain:
+        aggregates.append(F.percentile("value", points, copies).alias("quantiles"))
     totals = counts.groupBy("column").agg(*aggregates)
     # Deviations from the mean, not sums of squares, which would cancel. ``totals`` has a row
     # per column, so it is safe to broadcast.
@@ -50,13 +52,15 @@ def summary(
         .groupBy("column")
         .agg(F.sum(copies * (value - F.col("mean")) * (value - F.col("mean"))).alias("squares"))
     )
-    ranks = quantiles_from_counts(counts, points, ["column"], small_domain)
+    parts = [totals, spread]
+    if not small_domain:
+        parts.append(quantiles_from_counts(counts, points, ["column"]))
 
     names = df.sparkSession.range(1).select(
         F.posexplode(F.array(*[F.lit(c) for c in columns])).alias("position", "column")
     )
     wide = names
-    for part in (totals, spread, ranks):
+    for part in parts:
         wide = wide.join(F.broadcast(part), "column", "left")
     deviation = F.sqrt(F.col("squares") / F.nullif(F.col("count") - 1, F.lit(0)))
     numbers = {

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from duefold.operators import features as F
 from duefold.operators import regression as R
 from duefold.operators import tables as T
+from duefold.session import written
 
 
 def prepare(vehicles: DataFrame, ratings: DataFrame, operators: DataFrame) -> DataFrame:
@@ -18,15 +19,24 @@ def prepare(vehicles: DataFrame, ratings: DataFrame, operators: DataFrame) -> Da
 def train_and_score(
     table: DataFrame, keys: Sequence[str], options: R.ModelOptions = R.ModelOptions()
 ) -> tuple[PipelineModel, DataFrame]:
-    """The fitted model and its scores on the test rows."""
-    divided = R.split(
-        table.select(*{*keys, *options.features, options.target}),
-        keys,
-        options.test_size,
-        options.seed,
+    """The fitted model and its scores on the test rows.
+
+    Give a ``table`` that is read from files, such as the written result of :func:`prepare`.
+    """
+    model, predicted = train_and_predict(table, keys, options)
+    return model, R.score(predicted, options.target)
+
+
+def train_and_predict(
+    table: DataFrame, keys: Sequence[str], options: R.ModelOptions = R.ModelOptions()
+) -> tuple[PipelineModel, DataFrame]:
+    """The fitted model and the test rows with their predictions."""
+    columns = dict.fromkeys((*keys, *options.features, options.target))
+    divided = written(
+        R.split(table.select(*columns), keys, options.test_size, options.seed), "divided"
     )
     model = R.fit(divided.where("NOT is_test"), options)
-    return model, R.score(R.predict(model, divided.where("is_test")), options.target)
+    return model, R.predict(model, divided.where("is_test"))
 
 
 def capacity_report(vehicles: DataFrame) -> dict[str, DataFrame]:

@@ -7,8 +7,19 @@ by rule from their values. ``FIXTURES.md`` has the same definitions as SQL.
 from pyspark.sql import DataFrame, SparkSession
 
 
-def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{folder}/{name}.parquet")
+# The columns used of each given table. Stated, so that reading starts no job to look them up.
+_SCHEMAS = {
+    "lineitem": "l_orderkey BIGINT, l_partkey BIGINT, l_suppkey BIGINT, l_linenumber INT, "
+    "l_quantity DOUBLE, l_extendedprice DOUBLE, l_shipdate TIMESTAMP_NTZ",
+    "orders": "o_orderkey BIGINT, o_custkey BIGINT, o_orderdate TIMESTAMP_NTZ",
+    "part": "p_partkey BIGINT, p_type STRING, p_size INT, p_retailprice DOUBLE",
+    "supplier": "s_suppkey BIGINT",
+    "labels": "quality INT, toxic INT",
+}
+
+
+def given_table(spark: SparkSession, folder: str, name: str) -> DataFrame:
+    return spark.read.schema(_SCHEMAS[name]).parquet(f"{folder}/{name}.parquet")
 
 
 def installments(spark: SparkSession, folder: str) -> DataFrame:
@@ -32,8 +43,8 @@ def installments(spark: SparkSession, folder: str) -> DataFrame:
                CASE WHEN l_suppkey % 19 = 0 THEN NULL ELSE l_extendedprice END AS amount_paid
         FROM {lineitem} JOIN {orders} ON l_orderkey = o_orderkey
         """,
-        lineitem=_table(spark, folder, "lineitem"),
-        orders=_table(spark, folder, "orders"),
+        lineitem=given_table(spark, folder, "lineitem"),
+        orders=given_table(spark, folder, "orders"),
     )
 
 
@@ -50,7 +61,7 @@ def vehicles(spark: SparkSession, folder: str) -> DataFrame:
                CASE WHEN p_partkey % 13 = 0 THEN NULL ELSE p_partkey % 12 END AS operator_id
         FROM {part}
         """,
-        part=_table(spark, folder, "part"),
+        part=given_table(spark, folder, "part"),
     )
 
 
@@ -64,7 +75,7 @@ def operators(spark: SparkSession, folder: str) -> DataFrame:
                     ELSE 'f' END AS approved
         FROM {supplier}
         """,
-        supplier=_table(spark, folder, "supplier"),
+        supplier=given_table(spark, folder, "supplier"),
     )
 
 
@@ -76,10 +87,10 @@ def ratings(spark: SparkSession, folder: str) -> DataFrame:
                CASE WHEN l_orderkey % 29 = 0 THEN NULL ELSE l_quantity * 2 END AS review_score
         FROM {lineitem}
         """,
-        lineitem=_table(spark, folder, "lineitem"),
+        lineitem=given_table(spark, folder, "lineitem"),
     )
 
 
 def confusion(spark: SparkSession, folder: str) -> DataFrame:
     """Two 0/1 columns of the labels table, as actual and predicted class."""
-    return _table(spark, folder, "labels").selectExpr("quality AS actual", "toxic AS predicted")
+    return given_table(spark, folder, "labels").selectExpr("quality AS actual", "toxic AS predicted")
