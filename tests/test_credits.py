@@ -1,0 +1,168 @@
+import datetime as dt
+
+import pytest
+from pyspark.sql import functions as F
+
+from duefold.operators import credits as C
+from duefold.operators import maturity as M
+from duefold.operators import timing as T
+from duefold.operators import worst as W
+from duefold.plans.credit_report import credit_report
+
+from .conftest import day, rows_of
+
+D, E = day("2024-01-01"), day("2024-02-10")
+
+
+def labels(df):
+    return {r.credit_id: r.label for r in df.collect()}
+
+
+def test_worst_lateness_decides(payments):
+    df = payments(
+        ("a", 1, 0, D, E), ("a", 2, 61, D, E), ("b", 1, 30, D, E), ("c", 1, 45, D, E),
+        ("d", 1, None, D, E), ("d", 2, None, D, E), ("e", 1, None, D, E), ("e", 2, 5, D, E),
+    )
+    assert labels(C.label_credits(df)) == {"a": 0, "b": 1, "c": None, "d": None, "e": 1}
+    counts = C.class_distribution(C.credit_table(df)).collect()[0]
+    assert (counts.n_credits, counts.n_paid, counts.n_default, counts.n_grey) == (5, 2, 1, 2)
+    assert counts.pct_paid == 40.0 and counts.pct_default == 20.0 and counts.pct_grey == 40.0
+
+
+def test_nan_lateness_is_unknown(spark, payments):
+    df = payments(("a", 1, 5, D, E), ("a", 2, 5, D, E)).withColumn(
+        "days_late", F.when(F.col("installment_no") == 2, F.lit(float("nan"))).otherwise(5.0)
+    )
+    assert labels(C.label_credits(df)) == {"a": 1}
+
+
+def test_null_credit_leaves_groups_but_sets_the_cutoff(payments):
+    late = day("2025-06-01")
+    df = payments(("a", 1, 0, D, E), (None, 1, 99, late, late))
+    assert labels(C.label_credits(df)) == {"a": 1}
+    assert rows_of(M.cutoff_date(df)) == [(late,)]
+
+
+def test_first_value_passes_over_nulls(payments):
+    df = payments(
+        ("a", 2, 7, D, E), ("a", 1, None, D, None), ("a", 3, 1, day("2020-01-01"), day("2020-01-01")),
+        ("b", 5, 1, D, None), ("b", None, 2, D, E),
+    )
+    first = {r.credit_id: r for r in C.credit_table(df).collect()}
+    assert (first["a"].due_at, first["a"].first_days_late, first["a"].disbursed_at) == (E, 7, D)
+    # A row without an installment number comes last, but its due date is the only one.
+    assert (first["b"].due_at, first["b"].first_days_late) == (E, 1)
+
+
+def test_first_values_of_all_columns(payments):
+    df = payments(("a", 2, 7, D, E), ("a", 1, None, None, None))
+    row = C.first_values(df, "credit_id", ["installment_no"]).collect()[0]
+    assert (row.installment_no, row.days_late, row.disbursed_at, row.due_at) == (1, 7, D, E)
+    assert row.paid_at is None and row.client_id == "client"
+
+
+def test_ties_do_not_depend_on_partitioning(spark, payments):
+    rows = [("a", 1, late, D, day(f"2024-03-{d:02d}")) for d, late in zip(range(28, 0, -1), range(28))]
+    df = payments(*rows)
+    found = {tuple(C.credit_table(df.repartition(n)).collect()[0]) for n in (1, 5, 28)}
+    assert len(found) == 1
+    assert found.pop()[2] == day("2024-03-01")
+
+
+def test_timing_columns(payments):
+    df = T.first_due(C.credit_table(payments(("a", 1, 0, day("2024-01-31T06:00"), day("2024-02-01")))))
+    row = df.collect()[0]
+    assert (row.disbursement_day, row.month_gap, row.days_to_due) == (31, 1, 0)
+    assert (row.disbursement_month, row.due_month) == (dt.date(2024, 1, 1), dt.date(2024, 2, 1))
+
+
+def test_valid_range_takes_its_limit_before_removing_negatives(payments):
+    gaps = [-400, 0, 10, 20, 30]
+    df = payments(*[(str(g), 1, 0, D, D + dt.timedelta(days=g)) for g in gaps], ("n", 1, 0, D, None))
+    timing = T.first_due(C.credit_table(df))
+    valid = T.valid_range(timing, upper=0.5)
+    assert sorted(r.days_to_due for r in valid.collect()) == [0, 10]
+    assert {r.gap_limit for r in valid.collect()} == {10.0}
+    assert rows_of(T.valid_range_size(timing, 0.5)) == [(6, 2, 10.0)]
+    assert [r.credit_id for r in T.negative_gaps(timing).collect()] == ["-400"]
+    assert sum(r.n for r in T.gap_histogram(timing, upper=0.5).collect()) == 2
+    assert rows_of(T.gap_by_disbursement_day(timing, 1.0)) == [(1, 15.0, 7.5, 22.5, 4)]
+
+
+def test_maturity_edges(payments):
+    cut = day("2024-06-30")
+    due = lambda d: d + dt.timedelta(days=30)
+    exact, early, short = (cut - dt.timedelta(days=n) for n in (90, 10, 89))
+    df = payments(
+        ("exact", 1, 0, exact, due(exact)), ("early", 1, 61, early, due(early)),
+        ("short", 1, 0, short, due(short)), ("undue", 1, 0, exact, None), ("last", 1, 45, cut, due(cut)),
+    )
+    matured = M.maturity(C.credit_table(df), M.cutoff_date(df))
+    found = {r.credit_id: (r.mature, r.label, r.clean_label) for r in matured.collect()}
+    assert found == {
+        "exact": (True, 1, 1), "early": (False, 0, None), "short": (False, 1, None),
+        "undue": (False, 1, None), "last": (False, None, None),
+    }
+    report = M.maturity_report(matured).collect()[0]
+    assert (report.n_mature, report.n_immature, report.n_labelled, report.n_labelled_mature) == (1, 4, 4, 1)
+    assert (report.default_rate, report.default_rate_mature) == (25.0, 0.0)
+    known = M.maturity(C.credit_table(df), cut)
+    assert sorted(map(str, known.collect())) == sorted(map(str, matured.collect()))
+
+
+def test_rates_of_an_empty_table_are_null(payments):
+    df = payments()
+    report = M.maturity_report(M.maturity(C.credit_table(df), M.cutoff_date(df))).collect()[0]
+    assert report.n_credits == 0 and report.default_rate is None and report.pct_mature is None
+
+
+def test_ties_for_the_worst_installment_all_count(payments):
+    df = payments(
+        ("a", 2, 70, D, E), ("a", 5, 70, D, E), ("a", 5, 70, D, E), ("a", 1, 3, D, E),
+        ("b", 2, 10, D, E), ("g", 2, 45, D, E), (None, 2, 99, D, E), ("u", 3, None, D, E),
+        ("x", None, 80, D, E),
+    )
+    assert rows_of(W.default_by_worst_installment(df)) == [(2, 2, 1, 50.0), (5, 2, 2, 100.0)]
+    assert rows_of(W.default_by_worst_installment(df, min_rows=3)) == []
+    worst = W.worst_installments(df)
+    assert sorted((r.credit_id, r.installment_no or 0, r.label) for r in worst.collect()) == [
+        ("a", 2, 0), ("a", 5, 0), ("a", 5, 0), ("b", 2, 1), ("x", 0, 0)
+    ]
+    assert worst.columns == [*df.columns, "label"]
+
+
+def test_report_adds_up(spark, payments):
+    rows = [
+        (str(i % 40), i % 7, (i * 13) % 100 if i % 11 else None, D + dt.timedelta(days=i % 40), E)
+        for i in range(400)
+    ]
+    df = payments(*rows)
+    report = credit_report(df, min_rows=5)
+    classes = report["class_distribution"].collect()[0]
+    assert classes.n_paid + classes.n_default + classes.n_grey == classes.n_credits == 40
+    m = report["maturity_report"].collect()[0]
+    assert m.n_mature + m.n_immature == m.n_credits and m.n_labelled_mature <= m.n_labelled
+    assert report["shape"].collect()[0].n_rows == 400
+    size = report["valid_range_size"].collect()[0]
+    assert sum(r.n for r in report["gap_histogram"].collect()) == size.n_valid
+    assert sum(r.n for r in report["gap_by_disbursement_day"].collect()) == size.n_valid
+    for name, frame in report.items():
+        assert frame.columns, name
+    supported = report["default_by_installment_supported"].collect()
+    assert supported == [r for r in report["default_by_installment"].collect() if r.n_credits >= 5]
+
+
+@pytest.mark.parametrize("partitions", [1, 64])
+def test_same_answers_whatever_the_partitions(spark, partitions):
+    from contract.queries import QUERIES
+
+    from .conftest import SMALL
+
+    names = ["first_due", "maturity_report", "default_by_installment", "gap_by_day", "split_exact"]
+    expected = {n: sorted(map(str, QUERIES[n](spark, SMALL).collect())) for n in names}
+    spark.conf.set("spark.sql.shuffle.partitions", partitions)
+    try:
+        for n in names:
+            assert sorted(map(str, QUERIES[n](spark, SMALL).collect())) == expected[n], n
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", 8)

@@ -1,0 +1,119 @@
+import datetime as dt
+
+import pytest
+from pyspark.sql import functions as F
+
+from duefold import functions as fn
+
+
+def one(spark, column, **values):
+    df = spark.range(1)
+    for name, (value, data_type) in values.items():
+        df = df.withColumn(name, F.lit(value).cast(data_type))
+    return df.select(column.alias("r")).collect()[0].r
+
+
+@pytest.mark.parametrize(
+    "days, label", [(None, None), (-5, 1), (30, 1), (31, None), (60, None), (61, 0)]
+)
+def test_label_boundaries(spark, days, label):
+    assert one(spark, fn.three_way_label(F.col("d")), d=(days, "int")) == label
+
+
+def test_label_thresholds_are_parameters(spark):
+    label = fn.three_way_label(F.col("d"), paid_max=0, default_min=90)
+    assert one(spark, label, d=(90, "int")) is None
+    assert one(spark, label, d=(91, "int")) == 0
+
+
+@pytest.mark.parametrize(
+    "later, earlier, days",
+    [
+        ("2024-01-01 00:00:00", "2024-01-01 06:00:00", -1),
+        ("2024-01-01 06:00:00", "2024-01-01 00:00:00", 0),
+        ("2024-01-03 05:00:00", "2024-01-01 06:00:00", 1),
+        ("2024-01-03 06:00:00", "2024-01-01 06:00:00", 2),
+        ("2023-12-30 18:00:00", "2024-01-01 00:00:00", -2),
+        ("9999-12-31 23:59:59.999999", "0001-01-01 00:00:00", 3652058),
+        ("9999-12-31 00:00:00", "0001-01-01 00:00:00.000001", 3652057),
+        (None, "2024-01-01 00:00:00", None),
+    ],
+)
+def test_elapsed_days_rounds_down(spark, later, earlier, days):
+    column = fn.elapsed_days(F.col("a"), F.col("b"))
+    assert one(spark, column, a=(later, "timestamp_ntz"), b=(earlier, "timestamp_ntz")) == days
+
+
+def test_elapsed_days_ignores_the_session_zone(spark):
+    spark.conf.set("spark.sql.session.timeZone", "Europe/Madrid")
+    try:
+        column = fn.elapsed_days(F.col("a"), F.col("b"))
+        # A clock change lies between the two.
+        a, b = ("2024-04-01 00:00:00", "timestamp_ntz"), ("2024-03-30 00:00:00", "timestamp_ntz")
+        assert one(spark, column, a=a, b=b) == 2
+        start = fn.month_start(F.col("a"))
+        assert one(spark, start, a=a) == dt.date(2024, 4, 1)
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", "UTC")
+
+
+@pytest.mark.parametrize(
+    "later, earlier, months",
+    [
+        ("2024-02-01", "2024-01-31", 1),
+        ("2024-01-01", "2023-12-31", 1),
+        ("2024-01-31", "2024-01-01", 0),
+        ("2022-11-05", "2024-01-01", -14),
+        (None, "2024-01-01", None),
+    ],
+)
+def test_month_gap(spark, later, earlier, months):
+    column = fn.month_gap(F.col("a"), F.col("b"))
+    assert one(spark, column, a=(later, "timestamp_ntz"), b=(earlier, "timestamp_ntz")) == months
+
+
+@pytest.mark.parametrize("flag, value", [("t", True), ("f", False), ("T", False), (None, False)])
+def test_is_true(spark, flag, value):
+    assert one(spark, fn.is_true(F.col("f")), f=(flag, "string")) is value
+
+
+def test_parse_text_numbers(spark):
+    money, percent = fn.parse_money(F.col("s")), fn.parse_percentage(F.col("s"))
+    assert one(spark, money, s=("$1,234.50", "string")) == 1234.5
+    assert one(spark, percent, s=("95%", "string")) == 0.95
+    assert one(spark, money, s=(None, "string")) is None
+    assert one(spark, percent, s=("nan", "string")) is None
+
+
+def test_bad_text_raises_unless_lenient(spark):
+    with pytest.raises(Exception, match="CAST_INVALID_INPUT"):
+        one(spark, fn.parse_money(F.col("s")), s=("cheap", "string"))
+    assert one(spark, fn.parse_money(F.col("s"), lenient=True), s=("cheap", "string")) is None
+
+
+def test_parse_timestamp(spark):
+    stated = fn.parse_timestamp(F.col("s"), "dd/MM/yyyy")
+    assert one(spark, stated, s=("31/01/2024", "string")) == dt.datetime(2024, 1, 31)
+    iso = fn.parse_timestamp(F.col("s"))
+    assert one(spark, iso, s=("2024-01-31 10:20:30", "string")) == dt.datetime(2024, 1, 31, 10, 20, 30)
+    with pytest.raises(Exception, match="CANNOT_PARSE_TIMESTAMP|CAST_INVALID_INPUT"):
+        one(spark, stated, s=("2024-01-31", "string"))
+
+
+def test_maturity_flag_is_never_null(spark):
+    flag = fn.is_mature(F.col("o"), F.col("m"))
+    assert one(spark, flag, o=(90, "int"), m=(90, "int")) is True
+    assert one(spark, flag, o=(89, "int"), m=(90, "int")) is False
+    assert one(spark, flag, o=(None, "int"), m=(90, "int")) is False
+    assert one(spark, flag, o=(90, "int"), m=(None, "int")) is False
+
+
+def test_percentage_of_nothing_is_null(spark):
+    share = fn.percentage(F.col("a"), F.col("b"))
+    assert one(spark, share, a=(1, "int"), b=(8, "int")) == 12.5
+    assert one(spark, share, a=(0, "int"), b=(0, "int")) is None
+
+
+def test_half_even(spark):
+    rounded = fn.round_half_even(F.col("a"))
+    assert [one(spark, rounded, a=(v, "double")) for v in (0.5, 1.5, 2.5)] == [0.0, 2.0, 2.0]

@@ -1,0 +1,124 @@
+import numpy as np
+import pandas as pd
+import pytest
+from hypothesis import HealthCheck, given, settings
+from hypothesis import strategies as st
+from pyspark.sql import functions as F
+
+from duefold.operators import profile as P
+from duefold.operators.histogram import histogram
+from duefold.operators.quantiles import exact_quantiles
+from duefold.operators.summary import percentile_name, summary
+
+from .conftest import rows_of
+
+PROBS = [0.0, 0.01, 0.25, 0.5, 0.9, 0.99, 1.0]
+slow = settings(max_examples=8, deadline=None, suppress_health_check=list(HealthCheck))
+
+
+def frame(spark, values):
+    return spark.createDataFrame([(None if v is None else float(v),) for v in values], "x double")
+
+
+@pytest.mark.parametrize("small", [True, False])
+@pytest.mark.parametrize(
+    "values",
+    [
+        [3.0],
+        [1, 2],
+        [5.0] * 50,
+        [7.0] * 400 + list(range(200)) + [None, float("nan")],  # one value holds most rows
+        list(np.random.default_rng(1).lognormal(10, 3, 5000)),  # wider than the ranges
+        [-1e300, 1e300, 0.0, -0.0, 1e-300],
+    ],
+)
+def test_quantiles_equal_numpy(spark, values, small):
+    kept = np.array([v for v in values if v is not None and v == v])
+    found = exact_quantiles(frame(spark, values), "x", PROBS, small_domain=small).collect()
+    assert np.allclose(found[0].quantiles, np.quantile(kept, PROBS), rtol=1e-12, atol=0)
+
+
+@slow
+@given(st.lists(st.tuples(st.sampled_from("ab"), st.integers(-30, 30)), min_size=1, max_size=60))
+def test_quantiles_per_group(spark, pairs):
+    df = spark.createDataFrame(pairs, "k string, x int")
+    expected = pd.DataFrame(pairs, columns=["k", "x"]).groupby("k").x.quantile([0.25, 0.5, 0.99])
+    for small in (True, False):
+        found = exact_quantiles(df, "x", [0.25, 0.5, 0.99], ["k"], small)
+        for row in found.collect():
+            assert np.allclose(row.quantiles, expected[row.k].to_numpy())
+
+
+def test_quantiles_of_nothing(spark):
+    assert exact_quantiles(frame(spark, [None]), "x", [0.5], [], False).collect() == []
+
+
+@slow
+@given(
+    st.lists(st.floats(-1e6, 1e6, allow_nan=False, width=32), min_size=1, max_size=80),
+    st.integers(1, 60),
+)
+def test_histogram_equals_numpy(spark, values, bins):
+    counts, edges = np.histogram(values, bins=bins)
+    rows = histogram(frame(spark, values), "x", bins).collect()
+    assert sum(r.n for r in rows) == len(values)
+    assert np.allclose([r.left_edge for r in rows], edges[:-1], rtol=1e-9, atol=1e-6)
+    if np.ptp(values) > 1e-3:
+        assert [r.n for r in rows] == counts.tolist()
+
+
+def test_histogram_keeps_empty_bins_and_closes_the_last(spark):
+    rows = histogram(frame(spark, [0, 0.5, 10, None]), "x", 5).collect()
+    assert [r.n for r in rows] == [2, 0, 0, 0, 1]
+    assert [r.n for r in histogram(frame(spark, [4, 4]), "x", 2).collect()] == [0, 2]
+    empty = histogram(frame(spark, []), "x", 2).collect()
+    assert [(r.left_edge, r.right_edge, r.n) for r in empty] == [(0.0, 0.5, 0), (0.5, 1.0, 0)]
+
+
+@pytest.mark.parametrize("small", [True, False])
+def test_summary_equals_pandas(spark, small):
+    rng = np.random.default_rng(2)
+    pdf = pd.DataFrame(
+        {"a": rng.integers(0, 40, 300), "b": 1e9 + rng.normal(0, 1, 300), "c": [1.0] * 300}
+    )
+    pdf.loc[::7, "b"] = None
+    df = spark.createDataFrame(pdf)
+    points = [0.01, 0.25, 0.75, 0.999]
+    expected = pdf.describe(percentiles=points)
+    for row in summary(df, ["a", "b", "c"], points, small_domain=small).collect():
+        want = expected[row.column]
+        assert row["count"] == want["count"]
+        for ours, theirs in [("mean", "mean"), ("std", "std"), ("min", "min"), ("max", "max"),
+                             ("p1", "1%"), ("p25", "25%"), ("p50", "50%"), ("p99_9", "99.9%")]:
+            assert row[ours] == pytest.approx(want[theirs], rel=1e-9, abs=1e-9), (row.column, ours)
+
+
+def test_summary_of_an_empty_column(spark):
+    row = summary(frame(spark, [None, None]), ["x"], count_negative=True).collect()[0]
+    assert row["count"] == 0 and row.n_negative == 0 and row["mean"] is None and row["p50"] is None
+    single = summary(frame(spark, [2.5]), ["x"], digits=0).collect()[0]
+    assert single["mean"] == 2.0 and single["std"] is None
+
+
+def test_percentile_names():
+    assert [percentile_name(p) for p in (0.01, 0.5, 0.999)] == ["p1", "p50", "p99_9"]
+
+
+def test_missing_share_orders_worst_first(spark):
+    df = spark.createDataFrame(
+        [(1, None, float("nan")), (2, "x", 1.0), (3, "y", None), (4, "z", 2.0)],
+        "a int, b string, c double",
+    )
+    assert rows_of(P.missing_share(df)) == [("c", 0.5), ("b", 0.25), ("a", 0.0)]
+    assert rows_of(P.schema_profile(df)) == [
+        (0, "a", "int", 4), (1, "b", "string", 3), (2, "c", "double", 2)
+    ]
+    assert rows_of(P.missing_share(df.limit(0)))[0][1] is None
+    assert rows_of(P.table_shape(df)) == [(4, 3)]
+    assert rows_of(P.preview(df, ["b"], ["a"], 2)) == [(None,), ("x",)]
+
+
+def test_distinct_counts_skip_nulls(spark):
+    df = spark.createDataFrame([(1, "x"), (1, None), (2, "x"), (None, "y")], "a int, b string")
+    assert rows_of(P.distinct_counts(df, ["a", "b"])) == [("a", 2), ("b", 2)]
+    assert rows_of(P.distinct_counts(df, ["a"], relative_error=0.05)) == [("a", 2)]
