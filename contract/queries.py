@@ -233,18 +233,14 @@ def crosstab(spark, folder):
 KEYS = ["review_id"]
 
 
-def _divided(spark, folder, exact):
-    options = R.ModelOptions()
-    table = _model_table(spark, folder).select(*KEYS, *options.features, options.target)
-    return R.split(table, KEYS, options.test_size, options.seed, exact)
-
-
 def split(spark, folder):
-    return _divided(spark, folder, False).select("review_id", "is_test")
+    keys = _model_table(spark, folder).select(*KEYS)
+    return R.split(keys, KEYS, exact=False)
 
 
 def split_exact(spark, folder):
-    return _divided(spark, folder, True).select("review_id", "is_test")
+    keys = written(_model_table(spark, folder).select(*KEYS), "model-keys")
+    return R.split(keys, KEYS)
 
 
 def _fitted(spark, folder):

@@ -37,34 +37,26 @@ class ModelOptions:
 _PREFIX = 4  # hex digits: 65,536 groups of rows, each with about as small a share
 
 
-def split(
-    df: DataFrame,
-    keys: Sequence[str],
-    test_size: float = 0.2,
-    seed: int = 3,
-    exact: bool = True,
-) -> DataFrame:
-    """Add ``is_test``, decided by a hash of ``keys`` and the seed.
+def _with_hash(df: DataFrame, keys: Sequence[str], seed: int) -> DataFrame:
+    text = [F.coalesce(F.col(k).cast("string"), F.lit("")) for k in keys]
+    return df.withColumn("_hash", F.md5(F.concat_ws("|", *text, F.lit(str(seed)))))
 
-    The answer does not depend on partitioning or row order, so the two sides can be computed
-    apart. ``keys`` should identify a row; rows with equal keys share a side.
 
-    ``exact`` sends precisely ``ceil(test_size * rows)`` rows to the test side (more only when
-    the last of them has equals). It finds the hash to cut at in two narrow passes: counts per
-    hash prefix, then the hashes under the one prefix that holds the cut. Without it the hash
-    is compared with the share, no pass is needed, and the size is right up to chance.
-    """
-    text = [F.coalesce(F.col(k).cast("string"), F.lit("")) for k in keys]
-    hashed = df.withColumn("_hash", F.md5(F.concat_ws("|", *text, F.lit(str(seed)))))
-    if not exact:
-        limit = format(round(test_size * 16**8), "08x")
-        return hashed.withColumn("is_test", F.substring("_hash", 1, 8) < F.lit(limit)).drop("_hash")
+def split_point(
+    df: DataFrame, keys: Sequence[str], test_size: float = 0.2, seed: int = 3
+) -> DataFrame:
+    """The greatest hash on the test side when it holds ``ceil(test_size * rows)`` rows.
 
+    One row with one text, null when the test side is empty. Two narrow passes over the keys:
+    counts per hash prefix, then the hashes under the one prefix that holds the cut.
+    """
     prefix = F.substring("_hash", 1, _PREFIX).alias("_prefix")
-    by_prefix = hashed.groupBy(prefix).agg(F.count(F.lit(1)).alias("held"))
+    hashed = _with_hash(df.select(*keys), keys, seed).select("_hash", prefix)
     upto = Window.orderBy("_prefix").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     cut_prefix = (
-        by_prefix.select(
+        hashed.groupBy("_prefix")
+        .agg(F.count(F.lit(1)).alias("held"))
+        .select(
             "_prefix",
             "held",
             F.sum("held").over(upto).alias("upto"),
@@ -75,23 +67,46 @@ def split(
         .select("_prefix", (F.col("wanted") - (F.col("upto") - F.col("held"))).alias("missing"))
     )
     upto = Window.orderBy("_hash").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    cut = (
-        hashed.select("_hash", prefix)
-        .join(F.broadcast(cut_prefix), "_prefix")
+    return (
+        hashed.join(F.broadcast(cut_prefix), "_prefix")  # one row at most
         .groupBy("_hash")
         .agg(F.count(F.lit(1)).alias("held"), F.max("missing").alias("missing"))
         .withColumn("upto", F.sum("held").over(upto))
         .where(F.col("upto") >= F.col("missing"))
-        .agg(F.min("_hash").alias("_cut"))
-    )
-    # One row, also when nothing goes to the test side.
-    return (
-        hashed.crossJoin(F.broadcast(cut))
-        .withColumn("is_test", F.coalesce(F.col("_hash") <= F.col("_cut"), F.lit(False)))
-        .drop("_hash", "_cut")
+        .agg(F.min("_hash").alias("cut"))
     )
 
 
+def split(
+    df: DataFrame,
+    keys: Sequence[str],
+    test_size: float = 0.2,
+    seed: int = 3,
+    exact: bool = True,
+    cut: str | None = None,
+) -> DataFrame:
+    """Add ``is_test``, decided by a hash of ``keys`` and the seed.
+
+    The answer does not depend on partitioning or row order, so the two sides can be computed
+    apart. ``keys`` should identify a row; rows with equal keys share a side.
+
+    ``exact`` sends precisely ``ceil(test_size * rows)`` rows to the test side (more only when
+    the last of them has equals), at :func:`split_point`; give its text as ``cut`` if it is
+    known. Without ``exact`` the hash is compared with the share: no pass is needed, and the
+    size is right up to chance.
+    """
+    hashed = _with_hash(df, keys, seed)
+    if cut is not None:
+        is_test = F.col("_hash") <= F.lit(cut)
+    elif exact:
+        hashed = hashed.crossJoin(F.broadcast(split_point(df, keys, test_size, seed)))
+        is_test = F.coalesce(F.col("_hash") <= F.col("cut"), F.lit(False))
+    else:
+        limit = format(round(test_size * 16**8), "08x")
+        is_test = F.substring("_hash", 1, 8) < F.lit(limit)
+    return hashed.withColumn("is_test", is_test).select(*df.columns, "is_test")
+
+
 def fit(train: DataFrame, options: ModelOptions = ModelOptions()) -> PipelineModel:
     """Ordinary least squares with an intercept: one pass that sums the normal equations."""
     assembler = VectorAssembler(inputCols=list(options.features), outputCol="features")
