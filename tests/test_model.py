@@ -148,6 +148,14 @@ def test_fit_equals_numpy(spark):
     assert scores.max_error == pytest.approx(np.abs(residual).max())
 
 
+def test_collinear_features_still_predict(spark):
+    df = spark.range(60).selectExpr(
+        "double(id % 9) AS a", "2.0D * (id % 9) AS b", "5.0D + 4 * (id % 9) AS y"
+    )
+    options = R.ModelOptions(target="y", features=("a", "b"))
+    assert R.score(R.predict(R.fit(df, options), df), "y").collect()[0].max_error < 1e-4
+
+
 @pytest.mark.parametrize(
     "pairs, r2",
     [
