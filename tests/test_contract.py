@@ -27,4 +27,5 @@ def test_query_equals_sql(spark, connection, name):
     found = entry_points.queries()[name](spark, SMALL).toArrow()
     expected = connection.sql(entry_points.oracle_sql()[name]).to_arrow_table()
     assert differences(found, expected) == ""
-    assert found.num_rows > 0
+    # The smallest tables have no date errors; those ten times larger do.
+    assert found.num_rows > 0 or name == "negative_gaps"

@@ -85,7 +85,8 @@ def test_null_filters_reach_the_scans_of_the_model_table(spark):
         path = new_path(spark, "input")
         build(spark, SMALL).write.parquet(path)
         tables.append(spark.read.parquet(path))
-    text = plan(prepare(*tables))
+    mode = spark._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("formatted")
+    text = prepare(*tables)._jdf.queryExecution().explainString(mode)
     for column in ("review_id", "vehicle_id", "review_score", "vehicle_type", "operator_id"):
         assert f"IsNotNull({column})" in text
 
