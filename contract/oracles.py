@@ -388,6 +388,8 @@ SELECT review_id, round(price, 3) AS price, round(prediction, 3) AS prediction F
     "model_round_trip": _SCORES,
     "csv_round_trip": f"WITH {VEHICLES} SELECT * FROM vehicles",
     "installments_csv_round_trip": _MATURITY_REPORT,
+    "credits_csv_round_trip": f"WITH {LABELS} SELECT * FROM labels_",
+    "model_table_csv_round_trip": _MODEL_ROWS,
     "delimited_round_trip": f"WITH {OPERATORS} SELECT * FROM operators",
     "parquet_round_trip": _MODEL_ROWS,
     "table_round_trip": f"WITH {CLEAN_VEHICLES} {_VEHICLE_ROWS} UNION ALL {_VEHICLE_ROWS}",

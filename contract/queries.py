@@ -292,6 +292,23 @@ def installments_csv_round_trip(spark, folder):
     return rounded(M.maturity_report(matured))
 
 
+def credits_csv_round_trip(spark, folder):
+    """The credit-level table under its raw headers."""
+    raw_names = {ours: raw for raw, ours in schemas.CREDIT_NAMES.items()}
+    path = new_path(spark, "credits-csv")
+    writers.write_csv(credit_labels(spark, folder).withColumnsRenamed(raw_names), path)
+    return readers.read_typed_csv(
+        spark, path, schemas.CREDITS, names=schemas.CREDIT_NAMES
+    ).withColumn("credit_id", F.col("credit_id").cast("bigint"))
+
+
+def model_table_csv_round_trip(spark, folder):
+    table = _model_table(spark, folder)
+    path = new_path(spark, "model-table-csv")
+    writers.write_csv(table, path)
+    return rounded(readers.read_typed_csv(spark, path, table.schema))
+
+
 def delimited_round_trip(spark, folder):
     path = new_path(spark, "operators-delimited")
     writers.write_csv(stand_ins.operators(spark, folder), path, sep="|")
@@ -363,6 +380,8 @@ QUERIES: dict[str, Query] = {
         model_round_trip,
         csv_round_trip,
         installments_csv_round_trip,
+        credits_csv_round_trip,
+        model_table_csv_round_trip,
         delimited_round_trip,
         parquet_round_trip,
         table_round_trip,

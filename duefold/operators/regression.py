@@ -34,7 +34,8 @@ class ModelOptions:
     )
 
 
-_PREFIX = 4  # hex digits: 65,536 groups of rows, each with about as small a share
+# Hex digits: a million prefixes at most, and at a trillion rows a million hashes under each.
+_PREFIX = 5
 
 
 def _with_hash(df: DataFrame, keys: Sequence[str], seed: int) -> DataFrame:

@@ -16,6 +16,12 @@ INSTALLMENT_NAMES = {
     "valor_pagado": "amount_paid",
 }
 
+CREDIT_NAMES = {
+    "credito_id_anon": "credit_id",
+    "max_mora": "max_days_late",
+    "target": "label",
+}
+
 VEHICLE_NAMES = {
     "id": "id",
     "company_id": "operator_id",
@@ -45,6 +51,14 @@ INSTALLMENTS = T.StructType(
     ]
 )
 
+CREDITS = T.StructType(
+    [
+        T.StructField("credit_id", T.StringType()),
+        T.StructField("max_days_late", T.IntegerType()),
+        T.StructField("label", T.IntegerType()),
+    ]
+)
+
 VEHICLES = T.StructType(
     [
         T.StructField("id", T.LongType()),
