@@ -365,7 +365,7 @@ SELECT id, round(rating, 6) AS rating, approved FROM clean_operators""",
     "clean_vehicles": f"""WITH {CLEAN_VEHICLES}
 SELECT id, vehicle_type, passenger_capacity, engines, crew, check_complete, clearance_complete,
        round(price, 6) AS price, operator_id FROM clean_vehicles""",
-    "parsed_dates": "SELECT o_orderkey, date_trunc('minute', o_orderdate) AS ordered_at FROM orders",
+    "parsed_dates": "SELECT o_orderkey, o_orderdate AS ordered_at FROM orders",
     "model_table": _MODEL_ROWS,
     "mean_by_type": f"WITH {CLEAN_VEHICLES} {_MEANS}",
     "capacity_by_type": f"""WITH {CLEAN_VEHICLES}

@@ -196,9 +196,9 @@ def clean_vehicles(spark, folder):
 
 def parsed_dates(spark, folder):
     orders = stand_ins.given_table(spark, folder, "orders")
-    text = F.date_format(F.col("o_orderdate"), "dd/MM/yyyy HH:mm")
+    text = F.replace(F.col("o_orderdate").cast("string"), F.lit("-"), F.lit("/"))
     return orders.select(
-        F.col("o_orderkey"), parse_timestamp(text, "dd/MM/yyyy HH:mm").alias("ordered_at")
+        F.col("o_orderkey"), parse_timestamp(text, "yyyy/MM/dd HH:mm:ss").alias("ordered_at")
     )
 
 

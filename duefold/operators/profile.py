@@ -30,7 +30,9 @@ def schema_profile(df: DataFrame) -> DataFrame:
             for i, f in enumerate(df.schema)
             for part in (
                 F.lit(f.name),
-                F.struct(F.lit(i).alias("position"), F.lit(f.dataType.simpleString()).alias("type")),
+                F.struct(
+                    F.lit(i).alias("position"), F.lit(f.dataType.simpleString()).alias("type")
+                ),
             )
         ]
     )

@@ -85,7 +85,8 @@ def _ordered_quantiles(
 
     # For each probability the two ranks whose values it lies between, counted from zero.
     points = "array(" + ", ".join(f"{float(p)!r}D" for p in probabilities) + ")"
-    ranks = f"flatten(transform({points}, p -> array(floor(p * (total - 1)), ceil(p * (total - 1)))))"
+    pair = "array(floor(p * (total - 1)), ceil(p * (total - 1)))"
+    ranks = f"flatten(transform({points}, p -> {pair}))"
 
     # At most ``_RANGES`` rows per group.
     by_range = Window.partitionBy(*by).orderBy("range")

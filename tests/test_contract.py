@@ -29,3 +29,13 @@ def test_query_equals_sql(spark, connection, name):
     assert differences(found, expected) == ""
     # The smallest tables have no date errors; those ten times larger do.
     assert found.num_rows > 0 or name == "negative_gaps"
+
+
+def test_the_session_zone_changes_nothing(spark, connection):
+    """A zone whose clock change falls on midnight, where some local times do not exist."""
+    spark.conf.set("spark.sql.session.timeZone", "America/Sao_Paulo")
+    try:
+        for name in ("first_due", "maturity_report", "parsed_dates", "installments_csv_round_trip"):
+            test_query_equals_sql(spark, connection, name)
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", "UTC")

@@ -3,7 +3,6 @@ import pandas as pd
 import pytest
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
-from pyspark.sql import functions as F
 
 from duefold.operators import profile as P
 from duefold.operators.histogram import histogram
