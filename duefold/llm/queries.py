@@ -5,14 +5,17 @@ from __future__ import annotations
 from collections.abc import Callable
 from functools import wraps
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from duefold.llm import exact_dedup, mixing, sharding, simhash
+from duefold.llm import exact_dedup, language_id, mixing, packing, sharding, simhash
 from duefold.llm.common import workers_find_package
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
+TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
+
 
 def _query(name: str, sql: str | None = None):
     def register(function):
@@ -57,11 +60,21 @@ def op3_simhash_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return simhash.near_groups(_table(spark, folder, "documents"))
 
 
+@_query("op4_language_id")
+def op4_language_id(spark: SparkSession, folder: str) -> DataFrame:
+    return language_id.identify(_table(spark, folder, "documents"))
+
+
 @_query("op7_sharding")
 def op7_sharding(spark: SparkSession, folder: str) -> DataFrame:
     return sharding.shard_documents(_table(spark, folder, "documents"))
 
 
+@_query("op9_packing")
+def op9_packing(spark: SparkSession, folder: str) -> DataFrame:
+    return packing.pack(_table(spark, folder, "documents"), TOKENIZER)
+
+
 @_query(
     "op10_mixing",
     r"""
