@@ -5,16 +5,25 @@ from __future__ import annotations
 from collections.abc import Callable
 from functools import wraps
 
-import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from duefold.llm import exact_dedup, language_id, mixing, packing, sharding, simhash
+import corpus_pipeline
+from duefold.llm import (
+    exact_dedup,
+    language_id,
+    license_scan,
+    mixing,
+    packing,
+    quality,
+    sharding,
+    simhash,
+)
 from duefold.llm.common import workers_find_package
+from duefold.llm.settings import TOKENIZER
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
-TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
 
 
 def _query(name: str, sql: str | None = None):
@@ -55,6 +64,11 @@ def op1_exact_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return exact_dedup.exact_dedup(_table(spark, folder, "documents"))
 
 
+@_query("op2_license_scan")
+def op2_license_scan(spark: SparkSession, folder: str) -> DataFrame:
+    return license_scan.scan_licenses(_table(spark, folder, "documents"))
+
+
 @_query("op3_simhash_near_dedup")
 def op3_simhash_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return simhash.near_groups(_table(spark, folder, "documents"))
@@ -65,6 +79,13 @@ def op4_language_id(spark: SparkSession, folder: str) -> DataFrame:
     return language_id.identify(_table(spark, folder, "documents"))
 
 
+@_query("op6_quality")
+def op6_quality(spark: SparkSession, folder: str) -> DataFrame:
+    return quality.score_quality(
+        _table(spark, folder, "documents"), _table(spark, folder, "labels")
+    )
+
+
 @_query("op7_sharding")
 def op7_sharding(spark: SparkSession, folder: str) -> DataFrame:
     return sharding.shard_documents(_table(spark, folder, "documents"))
@@ -132,3 +153,8 @@ def op9_packing(spark: SparkSession, folder: str) -> DataFrame:
 )
 def op10_mixing(spark: SparkSession, folder: str) -> DataFrame:
     return mixing.mix_report(_table(spark, folder, "documents"))
+
+
+@_query("pipeline", corpus_pipeline.ORACLE_SQL)
+def pipeline(spark: SparkSession, folder: str) -> DataFrame:
+    return corpus_pipeline.run(spark, folder)
