@@ -70,11 +70,10 @@ def deduplicate(
         "digests",
     )
     # One row per text: partial maxima and counts are taken before the shuffle.
-    groups = (
-        rows.groupBy("digest")
-        .agg(F.max("id").alias("newest"), F.count("*").alias("group_size"))
-        .repartition(index.buckets, "digest")
-    )
+    groups = written(
+        rows.groupBy("digest").agg(F.max("id").alias("newest"), F.count("*").alias("group_size")),
+        "groups",
+    ).repartition(index.buckets, "digest")
     fresh = groups.hint("merge").join(index.read(spark), "digest", "left_anti")
     (
         fresh.select("digest", F.col("newest").alias("keep_id"))

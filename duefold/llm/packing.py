@@ -13,6 +13,9 @@ window a split, go into windows whose lengths are powers of two, which need no p
 
 from __future__ import annotations
 
+import re
+import struct
+import unicodedata
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
@@ -34,42 +37,61 @@ _COLUMNS = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id
 _SCHEMA = ", ".join(f"{name} long" for name in _COLUMNS)
 
 
-class WordTokenizer:
+def _printable_bytes() -> dict[int, int]:
+    """The public byte-level alphabet: printable bytes stand for themselves, others follow at 256."""
+    itself = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    others = [b for b in range(256) if b not in itself]
+    return {b: 256 + k for k, b in enumerate(others)}
+
+
+_PRINTABLE = _printable_bytes()
+#: Letters, then marks that neither start a contraction nor hold a letter, digit or special token.
+_MARKED = re.compile(r"([A-Za-z]+)([!-&(-/:-;=-@\[-`{-~]+)")
+
+
+class WordTokenizer(dict):
     """Ids of a tokenizer whose tokens never cross white space, as little-endian 32-bit integers.
 
     A text is cut at blanks and line ends, and the ids of each piece are looked up, so a
     frequent word is tokenized once a process. The cache has a bound and starts anew when full.
+    Plain words go to the tokenizer's model directly, others through its normalizer and
+    pre-tokenizer first.
     """
 
     def __init__(self, path: str) -> None:
+        super().__init__({"": b""})
         self.whole = Tokenizer.from_file(path)
         self.model = self.whole.model
-        self.known: dict[str, bytes] = {"": b""}
 
     def ids(self, text: str) -> bytes:
-        words = text.replace("\n", " ").split(" ")
-        known = self.known
-        try:
-            return b"".join([known[w] for w in words])
-        except KeyError:
-            pass
-        if len(known) > CACHED_WORDS:
-            known.clear()
-            known[""] = b""
-        for word in words:
-            if word not in known:
-                known[word] = np.array(self._word(word), "<u4").tobytes()
-        return b"".join([known[w] for w in words])
+        if len(self) > CACHED_WORDS:
+            self.clear()
+            self[""] = b""
+        return b"".join([self[w] for w in text.replace("\n", " ").split(" ")])
+
+    def __missing__(self, word: str) -> bytes:
+        ids = self._word(word)
+        found = self[word] = struct.pack(f"<{len(ids)}I", *ids)
+        return found
 
     def _word(self, word: str) -> list[int]:
-        if word.isascii() and word.isalpha():
-            return [t.id for t in self.model.tokenize(word.lower())]
+        tokenize = self.model.tokenize
+        if word.isalpha():
+            if word.isascii():
+                return [t.id for t in tokenize(word.lower())]
+            # Latin letters have no forms that depend on their neighbours.
+            lower = word.lower()
+            if max(word) < "\u0250" and unicodedata.is_normalized("NFC", word) and lower.isalpha():
+                letters = lower.encode().decode("latin-1").translate(_PRINTABLE)
+                return [t.id for t in tokenize(letters)]
+        elif marked := _MARKED.fullmatch(word):
+            return [t.id for part in marked.groups() for t in tokenize(part.lower())]
         if "<|" in word:  # may hold a special token
             return self.whole.encode(word, add_special_tokens=False).ids
         parts = self.whole.pre_tokenizer.pre_tokenize_str(
             self.whole.normalizer.normalize_str(word)
         )
-        return [t.id for part, _ in parts for t in self.model.tokenize(part)]
+        return [t.id for part, _ in parts for t in tokenize(part)]
 
 
 @lru_cache(maxsize=2)
