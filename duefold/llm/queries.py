@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 import corpus_pipeline
 from duefold.llm import (
     exact_dedup,
+    hamming_topk,
     language_id,
     license_scan,
     mixing,
@@ -79,6 +80,27 @@ def op4_language_id(spark: SparkSession, folder: str) -> DataFrame:
     return language_id.identify(_table(spark, folder, "documents"))
 
 
+@_query(
+    "op5_topk_search",
+    """
+    WITH e AS (
+      SELECT vec_id, [coalesce(x > 0 AND NOT isnan(x), false) FOR x IN embedding] AS signs
+      FROM embeddings
+    ), p AS (
+      SELECT q.vec_id AS query_id, n.vec_id AS neighbor_id,
+             list_sum([(q.signs[i] <> n.signs[i])::INT FOR i IN range(1, 65)])::INT AS distance
+      FROM e q JOIN e n ON q.vec_id % 20 = 0 AND q.vec_id <> n.vec_id
+    ), r AS (
+      SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY distance, neighbor_id)::INT AS rank
+      FROM p
+    )
+    SELECT query_id, neighbor_id, distance, rank FROM r WHERE rank <= 10
+    """,
+)
+def op5_topk_search(spark: SparkSession, folder: str) -> DataFrame:
+    return hamming_topk.nearest_signs(_table(spark, folder, "embeddings"))
+
+
 @_query("op6_quality")
 def op6_quality(spark: SparkSession, folder: str) -> DataFrame:
     return quality.score_quality(
