@@ -15,6 +15,7 @@ from duefold.llm import (
     license_scan,
     mixing,
     packing,
+    passages,
     quality,
     sharding,
     simhash,
@@ -113,6 +114,11 @@ def op7_sharding(spark: SparkSession, folder: str) -> DataFrame:
     return sharding.shard_documents(_table(spark, folder, "documents"))
 
 
+@_query("op8_substring_dedup")
+def op8_substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    return passages.repeated_passages(_table(spark, folder, "documents"))
+
+
 @_query("op9_packing")
 def op9_packing(spark: SparkSession, folder: str) -> DataFrame:
     return packing.pack(_table(spark, folder, "documents"), TOKENIZER)
