@@ -20,6 +20,7 @@ __all__ = [
     "crc32_of_id",
     "long_array",
     "new_path",
+    "stored",
     "text_slices",
     "workers_find_package",
     "written",
@@ -75,6 +76,17 @@ def long_array(values: np.ndarray) -> pa.Array:
     return pa.array(values.view(np.int64) if values.dtype == np.uint64 else values)
 
 
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """``written``, then give back the disk space of the job's shuffles.
+
+    Spark removes shuffle files when the driver's JVM collects the plan that made them, which
+    may be long after the job. For operators that run several large shuffles one after another.
+    """
+    result = written(df, name)
+    df.sparkSession.sparkContext._jvm.System.gc()
+    return result
+
+
 def connected(nodes_linked: DataFrame, most_rounds: int = 60) -> DataFrame:
     """Connected components: (node, component), the component being its smallest node.
 
