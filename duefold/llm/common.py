@@ -108,7 +108,10 @@ def connected(nodes_linked: DataFrame, most_rounds: int = 60) -> DataFrame:
         if before == (0, None):
             break
         both = links.unionByName(links.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
+        # Stored, so that both sides of the join are shuffled and a hub's links can be split.
+        least = written(
+            both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")), "least"
+        )
         large = (
             both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
         ).distinct()
