@@ -85,7 +85,8 @@ def top_k(
         .withColumnRenamed("id", "query_id"),
         "queries",
     )
-    opened = written(asked.select("query").distinct(), "open")
+    # ``far``: distance of the (k + 1)-th best so far; no code beyond it can be an answer.
+    opened = written(asked.select("query", F.lit(bits).alias("far")).distinct(), "open")
     best, closed = None, None
     for radius in range(width + 1):
         if opened.isEmpty():
@@ -95,16 +96,24 @@ def top_k(
             found = found.unionByName(best)
         best = written(_first(found, "query", ["distance", "id"], k + 1), "best")
         covered = segments * (radius + 1) - 1
-        done = (
-            best.groupBy("query")
-            .agg(F.count("*").alias("n"), F.max("distance").alias("far"))
-            .where((F.col("n") >= total) | ((F.col("n") > k) & (F.col("far") <= covered)))
-            .select("query")
+        state = best.groupBy("query").agg(
+            F.count("*").alias("n"), F.max("distance").alias("reach")
         )
-        done = written(done, "done")
-        answers = best.join(done, "query", "left_semi")
+        full = F.col("n") > k
+        state = written(
+            opened.drop("far")
+            .join(state, "query", "left")
+            .select(
+                "query",
+                F.when(full, F.col("reach")).otherwise(bits).alias("far"),
+                F.coalesce((F.col("n") >= total) | (full & (F.col("reach") <= covered)), F.lit(False))
+                .alias("done"),
+            ),
+            "state",
+        )
+        answers = best.join(state.where("done"), "query", "left_semi")
         closed = answers if closed is None else closed.unionByName(answers)
-        opened = written(opened.join(done, "query", "left_anti"), "open")
+        opened = state.where("NOT done").select("query", "far")
         best = best.join(opened, "query", "left_semi")
     if closed is None:
         return spark.createDataFrame(
@@ -131,7 +140,9 @@ def _met(
 ) -> DataFrame:
     """(query, id, distance) of codes that have a segment at ``radius`` and none nearer.
 
-    A pair is met once: in the first of its segments that are nearest.
+    A pair is met once: in the first of its segments that are nearest. Once the first s segments have
+    been looked up at this radius, every code within segments * radius + s - 1 bits has been met, so a query
+    asks no further segments than its ``far`` needs.
     """
     flips = spark.createDataFrame([(_flips(width, radius),)], "flips array<long>")
     parts = [
@@ -140,15 +151,18 @@ def _met(
     ]
     # One row of at most 2^(width of a segment) words joins every open query.
     probes = (
-        opened.select("query", F.inline(F.array(*parts)))
+        opened.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "query")
+        .select("query", "far", F.inline(F.array(*parts)))
+        .where(F.col("segment") <= F.col("far") - segments * radius)
         .join(F.broadcast(flips))
-        .select("query", "segment", F.explode("flips").alias("flip"), "own")
-        .select("query", "segment", F.col("own").bitwiseXOR(F.col("flip")).alias("value"))
+        .select("query", "far", "segment", F.explode("flips").alias("flip"), "own")
+        .select("query", "far", "segment", F.col("own").bitwiseXOR(F.col("flip")).alias("value"))
     )
     apart = F.col("query").bitwiseXOR(F.col("code"))
     ranks = [F.bit_count(_segment(apart, s, width)) * segments + s for s in range(segments)]
     return (
         probes.join(index, ["segment", "value"])
+        .where(F.bit_count(apart) <= F.col("far"))
         .where(F.least(*ranks) == radius * segments + F.col("segment"))
         .select("query", F.bit_count(apart).alias("distance"), F.explode("ids").alias("id"))
         .select("query", "id", "distance")
