@@ -89,16 +89,27 @@ def _source_key(source: Column) -> Column:
     return F.coalesce(F.concat(F.lit("+"), source), F.lit(""))
 
 
-def _cell(doc_id: Column, source: Column, size: Column, salts: int) -> list[Column]:
-    """Where a document is counted: source, size to five binary digits, and a salt."""
+def _band(size: Column) -> Column:
+    """The size to five binary digits, as a number that rises with it."""
     shift = F.greatest(F.length(F.bin(size)) - 5, F.lit(0))
     top = size
     for step in (16, 8, 4, 2, 1):
         top = F.when(shift.bitwiseAND(step) != 0, F.shiftright(top, step)).otherwise(top)
+    return (shift * 32 + top).cast("long")
+
+
+def _cell(doc_id: Column, source: Column, size: Column, salts: int) -> list[Column]:
+    """Size and cell of a document: source, band of sizes, and a salt.
+
+    The size is bound once, for counting words is dear and the band uses it often.
+    """
+    sized = F.transform(
+        F.array(size), lambda s: F.struct(s.alias("size"), _band(s).alias("band"))
+    )
     salt = F.pmod(_hex_number(F.coalesce(doc_id.cast("string"), F.lit("")), 8), F.lit(salts))
     return [
         _source_key(source).alias("source_key"),
-        (shift * 32 + top).cast("long").alias("band"),
+        F.inline(sized),
         salt.alias("salt"),
     ]
 
@@ -119,7 +130,7 @@ def mixing_plan(
     """
     salts = max(16, -(-sizes.count() // ROWS_PER_CELL))
     cells = (
-        sizes.select("source", "size", *_cell(F.col("doc_id"), F.col("source"), F.col("size"), salts))
+        sizes.select("source", *_cell(F.col("doc_id"), F.col("source"), F.col("size"), salts))
         .groupBy("source_key", "band", "salt")
         .agg(F.first("source").alias("source"), F.count("*").alias("n"), F.sum("size").alias("words"))
     )
@@ -156,8 +167,9 @@ def with_copies(docs: DataFrame, plan: tuple[DataFrame, int], size: Column) -> D
     all sizes. Rows are shuffled once, with their columns.
     """
     cells, salts = plan
-    rows = docs.select(F.struct("*").alias("doc"), size.alias("size"))
-    rows = rows.select("*", *_cell(F.col("doc.doc_id"), F.col("doc.source"), F.col("size"), salts))
+    rows = docs.select(
+        F.struct("*").alias("doc"), *_cell(F.col("doc_id"), F.col("source"), size, salts)
+    )
     within = W.partitionBy("source_key", "band", "salt").orderBy(
         "size", F.col("doc.doc_id").asc_nulls_first()
     )
