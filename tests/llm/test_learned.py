@@ -1,0 +1,140 @@
+import zlib
+
+import numpy as np
+import pytest
+
+from duefold.llm import language_id, license_scan, quality
+from tests.conftest import SMALL
+
+from .conftest import lower
+
+MIDDLE = "/root/testdata/sf0.01"
+
+
+def crc(doc_id):
+    return zlib.crc32(str(doc_id).encode()) % 3
+
+
+def test_code_lengths_by_hand(spark):
+    """The vectorised code lengths against a plain walk down the contexts."""
+    docs = spark.read.parquet(f"{SMALL}/documents.parquet")
+    counts = {}
+    sample = {"en": [b"the cat sat on the mat", b"a hat"], "fr": ["été où là".encode(), b"le chat"]}
+    for lang, texts in sample.items():
+        for text in texts:
+            symbols = [256] * 3 + list(text.lower())
+            for k in range(3, len(symbols)):
+                for order in range(4):
+                    key = (lang, tuple(symbols[k - order : k]), symbols[k])
+                    counts[key] = counts.get(key, 0) + 1
+    rows = [(lang, t) for lang, texts in sample.items() for t in texts]
+    frame = spark.createDataFrame([(a, b.decode()) for a, b in rows], "lang string, text string")
+    model = language_id.build(
+        frame.mapInArrow(language_id._grams, "lang string, gram long, n long")
+        .groupBy("lang", "gram").sum("n").withColumnRenamed("sum(n)", "n").toArrow()
+    )
+
+    def bits(lang, text):
+        symbols, total = [256] * 3 + list(text.lower()), 0.0
+        for k in range(3, len(symbols)):
+            chance = 1.0
+            for order in (3, 2, 1, 0, -1):
+                if order < 0:
+                    chance /= 256
+                    break
+                context = tuple(symbols[k - order : k])
+                seen = {s: n for (a, c, s), n in counts.items() if (a, c) == (lang, context)}
+                if not seen:
+                    continue
+                whole = sum(seen.values()) + len(seen)
+                if symbols[k] in seen:
+                    chance *= seen[symbols[k]] / whole
+                    break
+                chance *= len(seen) / whole
+            total -= np.log2(chance)
+        return total
+
+    texts = [b"the chat", "où esté THE ?".encode(), b"", b"zzz"]
+    got = model.code_lengths(texts, step=5)
+    for t, row in zip(texts, got):
+        assert row == pytest.approx([bits(lang, t) for lang in model.languages], rel=1e-5)
+    assert docs.count()
+
+
+def test_language_accuracy_and_rules(spark, odd_docs):
+    docs = spark.read.parquet(f"{MIDDLE}/documents.parquet")
+    truth = {r.doc_id: r.lang for r in docs.collect()}
+    found = language_id.identify(docs).collect()
+    held = [r for r in found if r.held_out]
+    assert {r.doc_id for r in held} == {i for i in truth if crc(i) == 1}
+    assert np.mean([r.lang_pred == truth[r.doc_id] for r in held]) > 0.98
+    # Labels of held-out documents have no say.
+    scrambled = docs.selectExpr("doc_id", "text", "IF(crc32(cast(doc_id AS string)) % 3 = 1, 'xx', lang) AS lang")
+    assert language_id.identify(scrambled).collect() == found
+    odd = {r.doc_id: r for r in language_id.identify(odd_docs).collect()}
+    assert {odd[i].lang_pred for i in (1, 2, 3, 7)} == {"und"} and odd[1].score == 0.0
+    assert odd[None].held_out is False
+
+
+def test_quality_accuracy_and_rules(spark):
+    docs = spark.read.parquet(f"{MIDDLE}/documents.parquet")
+    labels = spark.read.parquet(f"{MIDDLE}/labels.parquet")
+    found = {r.doc_id: r for r in quality.score_quality(docs, labels).collect()}
+    held = [r for r in labels.collect() if crc(r.doc_id) == 1 and r.doc_id in found]
+    good = [found[r.doc_id].score for r in held if r.quality == 1]
+    bad = [found[r.doc_id].score for r in held if r.quality == 0]
+    assert np.mean([(g > b) + 0.5 * (g == b) for g in good for b in bad]) > 0.9
+    assert all(0 <= r.score <= 1 and r.predicted == (r.score >= 0.5) for r in found.values())
+    scrambled = labels.selectExpr(
+        "doc_id", "IF(crc32(cast(doc_id AS string)) % 3 = 1, 1 - quality, quality) AS quality"
+    )
+    again = {r.doc_id: r.score for r in quality.score_quality(docs, scrambled).collect()}
+    assert again == pytest.approx({i: r.score for i, r in found.items()})
+    none = quality.score_quality(docs, labels.where("false")).select("score").distinct().collect()
+    assert [r.score for r in none] == [0.5]
+
+
+def test_pooled_means_rise():
+    first, means = quality.rising(np.array([0.1, 0.5, 0.3, 0.2, 0.9]), np.array([1, 1, 1, 2, 1]))
+    assert first.tolist() == [0, 1, 4] and means == pytest.approx([0.1, 0.3, 0.9])
+
+
+def test_expressions():
+    parse, evaluate = license_scan.parse_expression, license_scan.evaluate
+    assert parse("MIT OR Apache-2.0 AND GPL-3.0") == ["mit", "apache-2.0", "gpl-3.0", "and", "or"]
+    assert parse("(MIT OR Apache-2.0) AND GPL-3.0 */") == ["mit", "apache-2.0", "or", "gpl-3.0", "and"]
+    assert parse("MIT OR") is None and parse("(MIT") is None and parse("AND MIT") is None and parse("") is None
+    assert evaluate(parse("GPL-3.0 OR MIT"))[0] and not evaluate(parse("GPL-3.0 AND MIT"))[0]
+    assert evaluate(parse("GPL-2.0 WITH Classpath-exception-2.0")) == (
+        False, {"gpl-2.0 with classpath-exception-2.0"})
+
+
+def base_by_hand(text):
+    kept = "".join(c if c > "\x7f" or c.isalnum() else " " for c in lower(text))
+    words = [w for w in kept.split(" ") if w]
+    places, labels = [], set()
+    for phrase, label in license_scan.BASE_PHRASES.items():
+        p = phrase.split()
+        for k in range(len(words) - len(p) + 1):
+            if words[k : k + len(p)] == p:
+                places.append(k)
+                labels.add(label)
+    return (len(words), len(places), min(places, default=None), max(places, default=None),
+            ",".join(sorted(labels)))
+
+
+def test_license_scan_equals_brute_force(spark):
+    texts = [r.text for r in spark.read.parquet(f"{MIDDLE}/documents.parquet").collect()]
+    texts += [
+        "Under the MIT License under the mit license", "cc-by-nc cc by nc by nc", "ucc by nc",
+        "Apache License, Version 2.0; CC BY-NC", None, "", "é under the mit license under the mit license",
+        "// SPDX-License-Identifier: (MIT OR GPL-3.0-only) AND ISC\nunder the mit licenses",
+    ]
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for r in license_scan.scan_licenses(frame).collect():
+        got = (r.n_words, r.n_base, r.first_word, r.last_word, r.base_labels)
+        assert got == base_by_hand(texts[r.doc_id]), texts[r.doc_id]
+        assert set(filter(None, r.base_labels.split(","))) <= set(r.labels.split(","))
+        assert 0 <= r.score <= 1 and (r.score == 0) == (r.labels == "")
+        last = r if r.doc_id == len(texts) - 1 else None
+    assert last and last.labels == "gpl-3.0-only,isc,mit" and last.permissive and last.n_expressions == 1
