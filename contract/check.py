@@ -6,6 +6,7 @@
 import glob
 import os
 import sys
+import tempfile
 import time
 
 import duckdb
@@ -28,6 +29,8 @@ def spark_session(cores: str = "8", partitions: str = "8") -> SparkSession:
         .getOrCreate()
     )
     spark.sparkContext.setLogLevel("ERROR")
+    if not spark.conf.get("spark.checkpoint.dir", None):
+        spark.conf.set("spark.checkpoint.dir", tempfile.mkdtemp(prefix="contract-"))
     return spark
 
 

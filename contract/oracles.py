@@ -345,9 +345,10 @@ FROM valid GROUP BY disbursement_day""",
     "table_shape": f"""WITH {INSTALLMENTS}
 SELECT count(*) AS n_rows, CAST(8 AS BIGINT) AS n_columns FROM installments""",
     "preview": f"""WITH {INSTALLMENTS}
-SELECT * FROM installments WHERE credit_id IS NOT NULL
-ORDER BY credit_id NULLS FIRST, installment_no NULLS FIRST, amount_paid NULLS FIRST,
-         due_at NULLS FIRST, days_late NULLS FIRST LIMIT 3""",
+SELECT * FROM installments
+ORDER BY credit_id NULLS FIRST, client_id NULLS FIRST, disbursed_at NULLS FIRST,
+         installment_no NULLS FIRST, days_late NULLS FIRST, due_at NULLS FIRST,
+         paid_at NULLS FIRST, amount_paid NULLS FIRST LIMIT 3""",
     "amount_quantiles": f"WITH {INSTALLMENTS} SELECT installment_no, "
     + ", ".join(
         f"round(quantile_cont(amount_paid, {p}), 6) AS p{100 * p:g}"
@@ -374,6 +375,9 @@ FROM clean_vehicles GROUP BY vehicle_type""",
     "crosstab": """SELECT quality AS actual, count(*) FILTER (WHERE toxic = 0) AS predicted_0,
        count(*) FILTER (WHERE toxic = 1) AS predicted_1
 FROM labels WHERE quality IS NOT NULL AND toxic IS NOT NULL GROUP BY quality""",
+    "crosstab_text": "SELECT source, "
+    + ", ".join(f"count(*) FILTER (WHERE lang = '{x}') AS lang_{x}" for x in ("de", "en", "es", "fr"))
+    + " FROM documents WHERE source IS NOT NULL AND lang IS NOT NULL GROUP BY source",
     "split": f"""WITH {MODEL_TABLE}
 SELECT review_id, substr(md5(review_id || '|3'), 1, 8) < '33333333' AS is_test FROM model_table""",
     "split_exact": f"WITH {DIVIDED} SELECT review_id, is_test FROM divided",
@@ -388,6 +392,8 @@ SELECT review_id, round(price, 3) AS price, round(prediction, 3) AS prediction F
     "model_round_trip": _SCORES,
     "csv_round_trip": f"WITH {VEHICLES} SELECT * FROM vehicles",
     "installments_csv_round_trip": _MATURITY_REPORT,
+    "csv_text_round_trip": "SELECT doc_id, text, lang, source FROM documents",
+    "raw_tables_model_table": _MODEL_ROWS,
     "credits_csv_round_trip": f"WITH {LABELS} SELECT * FROM labels_",
     "model_table_csv_round_trip": _MODEL_ROWS,
     "delimited_round_trip": f"WITH {OPERATORS} SELECT * FROM operators",

@@ -159,10 +159,7 @@ def preview(spark, folder):
         "paid_at",
         "amount_paid",
     ]
-    payments = stand_ins.installments(spark, folder).where("credit_id IS NOT NULL")
-    return P.preview(
-        payments, columns, ["credit_id", "installment_no", "amount_paid", "due_at", "days_late"]
-    )
+    return P.preview(stand_ins.installments(spark, folder), columns, columns)
 
 
 def amount_quantiles(spark, folder):
@@ -230,6 +227,11 @@ def crosstab(spark, folder):
     return TA.crosstab(stand_ins.confusion(spark, folder), "actual", "predicted", [0, 1])
 
 
+def crosstab_text(spark, folder):
+    """Languages by source, the languages looked up."""
+    return TA.crosstab(stand_ins.given_table(spark, folder, "documents"), "source", "lang")
+
+
 KEYS = ["review_id"]
 
 
@@ -292,6 +294,30 @@ def installments_csv_round_trip(spark, folder):
     return rounded(M.maturity_report(matured))
 
 
+def csv_text_round_trip(spark, folder):
+    """Texts with quotes, commas, backslashes and line breaks."""
+    documents = stand_ins.given_table(spark, folder, "documents")
+    path = new_path(spark, "documents-csv")
+    writers.write_csv(documents, path)
+    return readers.read_typed_csv(spark, path, documents.schema, multi_line=True)
+
+
+def raw_tables_model_table(spark, folder):
+    """The three tables written under their raw headers, read back and joined."""
+    tables = {
+        "vehicles": (schemas.VEHICLES, schemas.VEHICLE_NAMES),
+        "ratings": (schemas.RATINGS, schemas.RATING_NAMES),
+        "operators": (schemas.OPERATORS, schemas.OPERATOR_NAMES),
+    }
+    read = []
+    for name, (schema, names) in tables.items():
+        path = new_path(spark, f"raw-{name}")
+        raw_names = {ours: raw for raw, ours in names.items()}
+        writers.write_csv(getattr(stand_ins, name)(spark, folder).withColumnsRenamed(raw_names), path)
+        read.append(readers.read_typed_csv(spark, path, schema, names))
+    return rounded(prepare(*read))
+
+
 def credits_csv_round_trip(spark, folder):
     """The credit-level table under its raw headers."""
     raw_names = {ours: raw for raw, ours in schemas.CREDIT_NAMES.items()}
@@ -330,7 +356,9 @@ def table_round_trip(spark, folder):
     cleaned = FE.clean_vehicles(stand_ins.vehicles(spark, folder))
     writers.write_table(cleaned, name, "fail", path)
     writers.write_table(cleaned, name, "append", path)
-    return rounded(readers.read_table(spark, name, ["vehicle_type", "price"], index=["id"]))
+    found = rounded(readers.read_table(spark, name, ["vehicle_type", "price"], index=["id"]))
+    spark.sql(f"DROP TABLE {name}")  # the name only: its files have a path of their own
+    return found
 
 
 def report_round_trip(spark, folder):
@@ -372,6 +400,7 @@ QUERIES: dict[str, Query] = {
         mean_by_type,
         capacity_by_type,
         crosstab,
+        crosstab_text,
         split,
         split_exact,
         ols_fit,
@@ -380,6 +409,8 @@ QUERIES: dict[str, Query] = {
         model_round_trip,
         csv_round_trip,
         installments_csv_round_trip,
+        csv_text_round_trip,
+        raw_tables_model_table,
         credits_csv_round_trip,
         model_table_csv_round_trip,
         delimited_round_trip,

@@ -3,6 +3,7 @@
 from .dates import day_of_month, elapsed_days, month_gap, month_start, parse_timestamp
 from .first import first_non_null
 from .labels import is_mature, keep_if_mature, minimum_days, three_way_label
+from .names import named, or_raise, quoted
 from .numbers import absolute_error, is_missing, percentage, round_half_even, squared_error
 from .text import is_true, parse_money, parse_percentage
 
@@ -18,10 +19,13 @@ __all__ = [
     "minimum_days",
     "month_gap",
     "month_start",
+    "named",
+    "or_raise",
     "parse_money",
     "parse_percentage",
     "parse_timestamp",
     "percentage",
+    "quoted",
     "round_half_even",
     "squared_error",
     "three_way_label",

@@ -7,12 +7,14 @@ daylight-saving jumps cannot move a date.
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .names import or_raise
+
 
 def parse_timestamp(text: Column, pattern: str | None = None) -> Column:
     """Text to a zone-less timestamp; bad text raises. Without a pattern: ISO 8601."""
     if pattern is None:
-        return text.cast("timestamp_ntz")
-    return F.to_timestamp_ntz(text, F.lit(pattern))
+        return or_raise(text, text.cast("timestamp_ntz"), "a timestamp")
+    return or_raise(text, F.to_timestamp_ntz(text, F.lit(pattern)), "a timestamp")
 
 
 def day_of_month(moment: Column) -> Column:

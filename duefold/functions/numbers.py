@@ -4,6 +4,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .names import named
+
 
 def percentage(part: Column, whole: Column) -> Column:
     """``100 * part / whole``; null when ``whole`` is zero."""
@@ -24,7 +26,7 @@ def squared_error(actual: Column, predicted: Column) -> Column:
 
 def is_missing(name: str, data_type: T.DataType) -> Column:
     """Null, or NaN where the type can hold it."""
-    column = F.col(f"`{name}`")
+    column = named(name)
     if isinstance(data_type, (T.FloatType, T.DoubleType)):
         return column.isNull() | F.isnan(column)
     return column.isNull()

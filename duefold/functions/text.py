@@ -3,6 +3,8 @@
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .names import or_raise
+
 
 def is_true(flag: Column, token: str = "t") -> Column:
     """True where the text equals ``token``; false for other text and for null."""
@@ -10,7 +12,10 @@ def is_true(flag: Column, token: str = "t") -> Column:
 
 
 def _to_double(text: Column, lenient: bool) -> Column:
-    number = text.try_cast("double") if lenient else text.cast("double")
+    if lenient:
+        number = text.try_cast("double")
+    else:
+        number = or_raise(text, text.cast("double"), "a number")
     return F.nanvl(number, F.lit(None).cast("double"))
 
 

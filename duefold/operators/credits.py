@@ -5,7 +5,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from duefold.functions import first_non_null, percentage, three_way_label
+from duefold.functions import first_non_null, named, percentage, three_way_label
 from duefold.functions.labels import DEFAULT_MIN, PAID_MAX
 from duefold.operators.missing import nan_to_null
 
@@ -19,12 +19,12 @@ def first_values(
     its own nulls. Rows with a null key are dropped.
     """
     kept = [c for c in (df.columns if columns is None else columns) if c != key]
-    order_columns = [F.col(c) for c in order]
+    order_columns = [named(c) for c in order]
     return (
         nan_to_null(df)
-        .where(F.col(key).isNotNull())
-        .groupBy(key)
-        .agg(*[first_non_null(F.col(c), order_columns).alias(c) for c in kept])
+        .where(named(key).isNotNull())
+        .groupBy(named(key))
+        .agg(*[first_non_null(named(c), order_columns).alias(c) for c in kept])
     )
 
 

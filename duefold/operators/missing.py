@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from duefold.functions import is_missing
+from duefold.functions import is_missing, named
 
 
 def nan_to_null(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
@@ -22,7 +22,7 @@ def nan_to_null(df: DataFrame, columns: Sequence[str] | None = None) -> DataFram
         for field in df.schema
         if field.name in chosen and isinstance(field.dataType, (T.FloatType, T.DoubleType))
     ]
-    return df.withColumns({c: F.nanvl(F.col(f"`{c}`"), F.lit(None)) for c in floats})
+    return df.withColumns({c: F.nanvl(named(c), F.lit(None)) for c in floats})
 
 
 def complete_rows(df: DataFrame) -> DataFrame:

@@ -5,13 +5,14 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from duefold.functions import is_missing
+from duefold.functions import is_missing, named
+from duefold.operators.missing import nan_to_null
 
 
 def _per_column(df: DataFrame, aggregate: dict, name: str) -> DataFrame:
     """One row per column from a single pass that yields one wide row."""
     return df.agg(*[measure.alias(c) for c, measure in aggregate.items()]).unpivot(
-        [], list(aggregate), "column", name
+        [], [named(c) for c in aggregate], "column", name
     )
 
 
@@ -52,15 +53,16 @@ def schema_profile(df: DataFrame) -> DataFrame:
 def distinct_counts(
     df: DataFrame, columns: Sequence[str], relative_error: float | None = None
 ) -> DataFrame:
-    """Different values per column, nulls not counted.
+    """Different values per column, nulls and NaN not counted.
 
     Exact by default. With ``relative_error`` a sketch answers instead, without a shuffle of
     the values; it is never used unless asked for.
     """
+    df = nan_to_null(df, columns)
     if relative_error is None:
-        counts = {c: F.count_distinct(F.col(c)) for c in columns}
+        counts = {c: F.count_distinct(named(c)) for c in columns}
     else:
-        counts = {c: F.approx_count_distinct(F.col(c), relative_error) for c in columns}
+        counts = {c: F.approx_count_distinct(named(c), relative_error) for c in columns}
     return _per_column(df, counts, "n_distinct").orderBy("column")
 
 

@@ -12,15 +12,16 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from duefold.functions import named
 from duefold.operators.missing import nan_to_null
 
 
 def value_counts(df: DataFrame, column: str, by: Sequence[str] = ()) -> DataFrame:
     """Rows per different value, within groups if given; missing values and groups dropped."""
-    kept = nan_to_null(df.select(*by, F.col(column).alias("value")), ["value"])
+    kept = nan_to_null(df.select(*map(named, by), named(column).alias("value")), ["value"])
     for name in (*by, "value"):
-        kept = kept.where(F.col(name).isNotNull())
-    return kept.groupBy(*by, "value").agg(F.count(F.lit(1)).alias("copies"))
+        kept = kept.where(named(name).isNotNull())
+    return kept.groupBy(*map(named, by), "value").agg(F.count(F.lit(1)).alias("copies"))
 
 
 def quantiles_from_counts(

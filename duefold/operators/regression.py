@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from duefold.functions import absolute_error, squared_error
+from duefold.functions import absolute_error, named, squared_error
 
 
 @dataclass(frozen=True)
@@ -34,12 +34,18 @@ class ModelOptions:
     )
 
 
-# Hex digits: a million prefixes at most, and at a trillion rows a million hashes under each.
+# Hex digits of a prefix. Each of the two levels orders a million prefixes at most, and of
+# a trillion rows one hash on average is left under a prefix of both.
 _PREFIX = 5
 
 
+def _check_share(test_size: float) -> None:
+    if not 0 <= test_size <= 1:
+        raise ValueError(f"the test share must lie between 0 and 1, not {test_size}")
+
+
 def _with_hash(df: DataFrame, keys: Sequence[str], seed: int) -> DataFrame:
-    text = [F.coalesce(F.col(k).cast("string"), F.lit("")) for k in keys]
+    text = [F.coalesce(named(k).cast("string"), F.lit("")) for k in keys]
     return df.withColumn("_hash", F.md5(F.concat_ws("|", *text, F.lit(str(seed)))))
 
 
@@ -48,33 +54,40 @@ def split_point(
 ) -> DataFrame:
     """The greatest hash on the test side when it holds ``ceil(test_size * rows)`` rows.
 
-    One row with one text, null when the test side is empty. Two narrow passes over the keys:
-    counts per hash prefix, then the hashes under the one prefix that holds the cut.
+    One row with one text, null when the test side is empty. Three narrow passes over the keys:
+    counts per hash prefix, counts per longer prefix under the one that holds the cut, then
+    the few hashes under that one. What one task orders has a bound at both levels.
     """
-    prefix = F.substring("_hash", 1, _PREFIX).alias("_prefix")
-    hashed = _with_hash(df.select(*keys), keys, seed).select("_hash", prefix)
-    upto = Window.orderBy("_prefix").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    cut_prefix = (
-        hashed.groupBy("_prefix")
-        .agg(F.count(F.lit(1)).alias("held"))
-        .select(
-            "_prefix",
-            "held",
-            F.sum("held").over(upto).alias("upto"),
-            F.sum("held").over(Window.partitionBy()).alias("total"),
-        )
-        .withColumn("wanted", F.ceil(F.lit(float(test_size)) * F.col("total")))
-        .where(F.col("wanted").between(F.col("upto") - F.col("held") + 1, F.col("upto")))
-        .select("_prefix", (F.col("wanted") - (F.col("upto") - F.col("held"))).alias("missing"))
+    _check_share(test_size)
+    hashed = _with_hash(df.select(*map(named, keys)), keys, seed).select("_hash")
+    wanted = F.ceil(F.lit(float(test_size)) * F.col("total"))
+    total = F.sum("held").over(Window.partitionBy())
+    held = _held(hashed, _PREFIX).withColumn("total", total).withColumn("missing", wanted)
+    first = _cut(held)
+    under = hashed.join(F.broadcast(first), F.substring("_hash", 1, _PREFIX) == F.col("at"))
+    second = _cut(_held(under, 2 * _PREFIX, "missing"))
+    under = hashed.join(F.broadcast(second), F.substring("_hash", 1, 2 * _PREFIX) == F.col("at"))
+    return _cut(_held(under, 32, "missing")).agg(F.min("at").alias("cut"))
+
+
+def _held(hashed: DataFrame, digits: int, *carried: str) -> DataFrame:
+    """Rows per hash prefix."""
+    return hashed.groupBy(F.substring("_hash", 1, digits).alias("prefix")).agg(
+        F.count(F.lit(1)).alias("held"), *[F.max(c).alias(c) for c in carried]
     )
-    upto = Window.orderBy("_hash").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+
+
+def _cut(held: DataFrame) -> DataFrame:
+    """(at, missing): the prefix with the row of rank ``missing``, and that row's rank in it.
+
+    One row at most.
+    """
+    upto = Window.orderBy("prefix").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    before = F.col("upto") - F.col("held")
     return (
-        hashed.join(F.broadcast(cut_prefix), "_prefix")  # one row at most
-        .groupBy("_hash")
-        .agg(F.count(F.lit(1)).alias("held"), F.max("missing").alias("missing"))
-        .withColumn("upto", F.sum("held").over(upto))
-        .where(F.col("upto") >= F.col("missing"))
-        .agg(F.min("_hash").alias("cut"))
+        held.withColumn("upto", F.sum("held").over(upto))
+        .where(F.col("missing").between(before + 1, F.col("upto")))
+        .select(F.col("prefix").alias("at"), (F.col("missing") - before).alias("missing"))
     )
 
 
@@ -96,6 +109,7 @@ def split(
     known. Without ``exact`` the hash is compared with the share: no pass is needed, and the
     size is right up to chance.
     """
+    _check_share(test_size)
     hashed = _with_hash(df, keys, seed)
     if cut is not None:
         is_test = F.col("_hash") <= F.lit(cut)
@@ -103,8 +117,8 @@ def split(
         hashed = hashed.crossJoin(F.broadcast(split_point(df, keys, test_size, seed)))
         is_test = F.coalesce(F.col("_hash") <= F.col("cut"), F.lit(False))
     else:
-        limit = format(round(test_size * 16**8), "08x")
-        is_test = F.substring("_hash", 1, 8) < F.lit(limit)
+        number = F.conv(F.substring("_hash", 1, 8), 16, 10).cast("bigint")
+        is_test = number < F.lit(round(test_size * 16**8))
     return hashed.withColumn("is_test", is_test).select(*df.columns, "is_test")
 
 
@@ -140,10 +154,13 @@ def predict(model: PipelineModel, df: DataFrame) -> DataFrame:
 def score(predicted: DataFrame, target: str = "price", prediction: str = "prediction") -> DataFrame:
     """R squared, mean absolute error and greatest error, in one pass and one row.
 
+    Rows without a target or without a prediction, NaN included, count for nothing.
     With a constant target R squared is 1 if every prediction is right, else 0. With fewer
     than two rows it is null.
     """
-    y, p = F.col(target).cast("double"), F.col(prediction).cast("double")
+    y, p = named(target).cast("double"), named(prediction).cast("double")
+    both = y.isNotNull() & p.isNotNull() & ~F.isnan(y) & ~F.isnan(p)
+    y, p = F.when(both, y), F.when(both, p)
     sums = predicted.agg(
         F.count(y - p).alias("n"),
         F.sum(squared_error(y, p)).alias("residual"),

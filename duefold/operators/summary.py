@@ -5,7 +5,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from duefold.functions import round_half_even
+from duefold.functions import named, round_half_even
 from duefold.operators.quantiles import quantiles_from_counts, value_counts
 
 
@@ -29,8 +29,8 @@ def summary(
     half to even.
     """
     points = sorted({*probabilities, 0.5})
-    melted = df.select(*[F.col(c).cast("double").alias(c) for c in columns]).unpivot(
-        [], list(columns), "column", "value"
+    melted = df.select(*[named(c).cast("double").alias(c) for c in columns]).unpivot(
+        [], [named(c) for c in columns], "column", "value"
     )
     counts = value_counts(melted, "value", ["column"])
 

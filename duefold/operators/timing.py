@@ -3,7 +3,7 @@
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from duefold.functions import day_of_month, elapsed_days, month_gap, month_start
+from duefold.functions import day_of_month, elapsed_days, month_gap, month_start, named
 from duefold.operators.histogram import histogram
 from duefold.operators.quantiles import quantiles_from_counts, value_counts
 from duefold.operators.summary import summary
@@ -32,7 +32,7 @@ def timing_summary(timing: DataFrame) -> DataFrame:
     """Summary statistics of day, month gap, first lateness and label."""
     return summary(
         timing,
-        ["disbursement_day", "month_gap", "first_days_late", "label"],
+        ["disbursement_day", "month_gap", "first_days_late", "label"],  # fixed values
         small_domain=_DAYS_ARE_FEW,
     )
 
@@ -42,7 +42,7 @@ def gap_summary(timing: DataFrame, digits: int = 0) -> DataFrame:
     return summary(
         timing,
         ["days_to_due"],
-        probabilities=(0.01, 0.05, 0.25, 0.5, 0.75, 0.95, 0.99),
+        probabilities=(0.01, 0.05, 0.25, 0.5, 0.75, 0.95, 0.99),  # fixed values
         digits=digits,
         small_domain=_DAYS_ARE_FEW,
         count_negative=True,
@@ -63,9 +63,11 @@ def valid_range(timing: DataFrame, upper: float = 0.99) -> DataFrame:
     """Credits whose gap lies between zero and its upper quantile, both included.
 
     The quantile is taken over all gaps, before negative ones are removed. The limit is one
-    row whatever the input, so broadcasting it is safe.
+    row whatever the input, so broadcasting it is safe. Its branch of the plan asks for all
+    columns that the rows have, so both share one grouping of the detail.
     """
-    limit = _gap_limit(value_counts(timing, "days_to_due"), upper)
+    whole = timing.where(F.hash(*map(named, timing.columns)) >= F.lit(-(2**31)))  # always true
+    limit = _gap_limit(value_counts(whole, "days_to_due"), upper)
     return timing.crossJoin(F.broadcast(limit)).where(
         F.col("days_to_due").between(F.lit(0), F.col("gap_limit"))
     )

@@ -3,7 +3,7 @@
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from duefold.functions import percentage, three_way_label
+from duefold.functions import named, percentage, three_way_label
 from duefold.functions.labels import DEFAULT_MIN, PAID_MAX
 from duefold.operators.missing import nan_to_null
 
@@ -16,18 +16,22 @@ def rows_at_group_maximum(df: DataFrame, key: str, value: str) -> DataFrame:
     adaptive skew handling can split the other side.
     """
     rows = nan_to_null(df, [value])
-    peaks = rows.where(F.col(key).isNotNull()).groupBy(key).agg(F.max(value).alias(value))
+    peaks = rows.where(named(key).isNotNull()).groupBy(key).agg(F.max(value).alias(value))
     return rows.join(peaks, [key, value]).select(*df.columns)
 
 
 def worst_installments(
     installments: DataFrame, paid_max: int = PAID_MAX, default_min: int = DEFAULT_MIN
 ) -> DataFrame:
-    """Installments at the worst lateness of their credit, grey credits left out."""
+    """Installments at the worst lateness of their credit, grey credits left out.
+
+    Grey is left out by plain comparisons, which reach the scan; a null label would not.
+    """
+    late = F.col("days_late")
     return (
         rows_at_group_maximum(installments, "credit_id", "days_late")
-        .withColumn("label", three_way_label(F.col("days_late"), paid_max, default_min))
-        .where(F.col("label").isNotNull())
+        .where((late <= paid_max) | (late > default_min))
+        .withColumn("label", three_way_label(late, paid_max, default_min))
     )
 
 

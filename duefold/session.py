@@ -1,6 +1,5 @@
 """Where jobs may leave files."""
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -9,14 +8,11 @@ from pyspark.sql import DataFrame, SparkSession
 def shared_folder(spark: SparkSession) -> str:
     """The folder all executors can reach, taken from ``spark.checkpoint.dir``.
 
-    In local mode an unset value means a new temporary folder. On a cluster a
-    machine-local folder would lose files, so an unset value is an error there.
+    A machine-local folder would lose files, so an unset value is an error everywhere.
     """
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if configured:
         return configured.rstrip("/")
-    if spark.conf.get("spark.master", "").startswith("local"):
-        return tempfile.mkdtemp(prefix="duefold-")
     raise ValueError("set spark.checkpoint.dir to a folder shared by all executors")
 
 

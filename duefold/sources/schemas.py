@@ -36,7 +36,11 @@ VEHICLE_NAMES = {
 
 OPERATOR_NAMES = {"id": "id", "company_rating": "rating", "iata_approved": "approved"}
 
-RATING_NAMES = {"shuttle_id": "vehicle_id", "review_scores_rating": "review_score"}
+RATING_NAMES = {
+    "review_id": "review_id",
+    "shuttle_id": "vehicle_id",
+    "review_scores_rating": "review_score",
+}
 
 INSTALLMENTS = T.StructType(
     [
@@ -83,6 +87,7 @@ OPERATORS = T.StructType(
 
 RATINGS = T.StructType(
     [
+        T.StructField("review_id", T.StringType()),
         T.StructField("vehicle_id", T.LongType()),
         T.StructField("review_score", T.DoubleType()),
     ]

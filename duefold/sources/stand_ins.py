@@ -15,6 +15,7 @@ _SCHEMAS = {
     "part": "p_partkey BIGINT, p_type STRING, p_size INT, p_retailprice DOUBLE",
     "supplier": "s_suppkey BIGINT",
     "labels": "quality INT, toxic INT",
+    "documents": "doc_id BIGINT, text STRING, lang STRING, source STRING",
 }
 
 

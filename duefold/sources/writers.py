@@ -16,13 +16,20 @@ def write_parquet(
 
 
 def write_csv(df: DataFrame, path: str, sep: str = ",", if_exists: str = "replace") -> None:
-    """CSV with a header in every file; missing values are empty cells."""
+    """CSV with a header in every file; missing values are empty cells.
+
+    Quotes inside cells are doubled. Line breaks inside cells are written as they are; such
+    files are read back with ``multi_line``.
+    """
     (
         df.write.mode(_WRITE_MODES[if_exists])
         .options(
             header=True,
             sep=sep,
             emptyValue="",
+            escape='"',
+            ignoreLeadingWhiteSpace=False,
+            ignoreTrailingWhiteSpace=False,
             timestampNTZFormat="yyyy-MM-dd'T'HH:mm:ss[.SSSSSS]",
         )
         .csv(path)
