@@ -254,7 +254,7 @@ def near_groups(
     )
 
 
-def one_of_each(docs: DataFrame, words: int = 5, most: int = 3) -> DataFrame:
+def one_of_each(docs: DataFrame, words: int = 3, most: int = 3) -> DataFrame:
     """The rows of ``docs`` whose id names its component, with their columns.
 
     Rows with a null id stay, for nothing tells them apart.

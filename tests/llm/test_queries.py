@@ -88,6 +88,6 @@ def test_pipeline_keeps_clean_documents(spark):
     once = corpus_pipeline.exact(spark, known, SMALL)
     assert once.count() == known.selectExpr("sha2(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), 256)").distinct().count()
     near = corpus_pipeline.near(spark, once, SMALL)
-    groups = simhash.near_groups(once, words=5)
+    groups = simhash.near_groups(once)
     assert near.count() == groups.select("component_id").distinct().count()
     assert QUERIES["pipeline"](spark, SMALL).count() > 0
