@@ -67,28 +67,52 @@ def fingerprint(hashes: np.ndarray) -> int:
     return int(sum(1 << b for b in np.flatnonzero(counts * 2 > len(hashes)).tolist()))
 
 
-def _fingerprints(words: int):
+def rehashed(hashes: np.ndarray, salt: int) -> np.ndarray:
+    """Other hashes of the same shingles; salt 0 leaves them as they are."""
+    if not salt:
+        return hashes
+    mixed = (hashes ^ np.uint64(salt * 0x9E3779B97F4A7C15 % (1 << 64))) * np.uint64(0xBF58476D1CE4E5B9)
+    mixed ^= mixed >> np.uint64(31)
+    mixed *= np.uint64(0x94D049BB133111EB)
+    return mixed ^ (mixed >> np.uint64(29))
+
+
+def _fingerprints(words: int, prints: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [
-                fingerprint(shingle_hashes(text, words))
-                for _, texts in text_slices(batch.column(1))
-                for text in texts
-            ]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), long_array(np.array(found, np.uint64))], ["id", "fp"]
-            )
+            found: list[list[int]] = [[] for _ in range(prints)]
+            for _, texts in text_slices(batch.column(1)):
+                for text in texts:
+                    hashes = shingle_hashes(text, words)
+                    for salt in range(prints):
+                        found[salt].append(fingerprint(rehashed(hashes, salt)))
+            for salt in range(prints):
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        batch.column(0),
+                        pa.array(np.full(batch.num_rows, salt, np.int64)),
+                        long_array(np.array(found[salt], np.uint64)),
+                    ],
+                    ["id", "salt", "fp"],
+                )
 
     return run
 
 
 def fingerprints(
-    docs: DataFrame, words: int = 3, id_column: str = "doc_id", text_column: str = "text"
+    docs: DataFrame,
+    words: int = 3,
+    id_column: str = "doc_id",
+    text_column: str = "text",
+    prints: int = 1,
 ) -> DataFrame:
-    """(id, fp): one row per row of ``docs``; fp is the fingerprint's 64 bits as a long."""
+    """(id, salt, fp): ``prints`` rows per row of ``docs``; fp is a fingerprint's 64 bits as a long.
+
+    Salt 0 has the fingerprint of the shingles' XXH64, others are made from those hashes mixed anew.
+    """
     return docs.select(
         column(id_column).cast("long").alias("id"), column(text_column).alias("text")
-    ).mapInArrow(_fingerprints(words), "id long, fp long")
+    ).mapInArrow(_fingerprints(words, prints), "id long, salt long, fp long")
 
 
 def _golay_leaders() -> np.ndarray:
@@ -154,6 +178,7 @@ def _keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fps = batch.column(0).to_numpy(zero_copy_only=False).view(np.uint64)
         nodes = batch.column(1).to_numpy(zero_copy_only=False)
         at, keys = fuzzy_keys(fps)
+        keys |= batch.column(2).to_numpy(zero_copy_only=False)[at] << 30
         for k in range(0, len(at), 1 << 16):
             part = slice(k, k + (1 << 16))
             yield pa.RecordBatch.from_arrays(
@@ -194,11 +219,15 @@ def _linked(most: int):
 def linked_fingerprints(nodes: DataFrame, most: int = 3) -> DataFrame:
     """Links (a, b) that connect what fingerprints at ``most`` or fewer differing bits connect.
 
-    ``nodes`` is a stored frame of distinct (fp, node).
+    ``nodes`` is a stored frame of distinct (fp, node), or (salt, fp, node): then only fingerprints of
+    one salt are compared.
     """
     if not 0 <= most <= 3:
         raise ValueError("the keys find fingerprints that differ in at most three bits")
-    keyed = written(nodes.select("fp", "node").mapInArrow(_keyed, "key long, fp long, node long"), "keys")
+    salt = F.col("salt") if "salt" in nodes.columns else F.lit(0).cast("long")
+    keyed = written(
+        nodes.select("fp", "node", salt).mapInArrow(_keyed, "key long, fp long, node long"), "keys"
+    )
     # Stored, so that adaptive execution can split a key that many fingerprints share.
     sizes = written(keyed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"), "key-sizes")
     # A full key is dealt into blocks; every two blocks meet, so that a key of any size is
@@ -254,12 +283,25 @@ def near_groups(
     )
 
 
-def one_of_each(docs: DataFrame, words: int = 3, most: int = 3) -> DataFrame:
-    """The rows of ``docs`` whose id names its component, with their columns.
+#: Fingerprints a document has in ``one_of_each``.
+PRINTS = 4
+
 
-    Rows with a null id stay, for nothing tells them apart.
+def one_of_each(
+    docs: DataFrame, words: int = 3, most: int = 3, prints: int = PRINTS
+) -> DataFrame:
+    """The rows of ``docs`` that are no near copy of a row with a smaller id, with their columns.
+
+    Documents link if any of ``prints`` independent fingerprints differ in at most ``most`` bits, for one
+    alone misses many light edits. Of a group that links connect, the smallest id stays, with
+    all rows that repeat it. Rows with a null id stay, for nothing tells them apart.
     """
-    kept = near_groups(docs, words, most).where("doc_id = component_id").select("doc_id").distinct()
-    named = docs.where("doc_id IS NOT NULL").select(F.struct("*").alias("doc"), "doc_id")
-    found = named.join(kept, "doc_id", "left_semi").select("doc.*")
-    return found.unionByName(docs.where("doc_id IS NULL"))
+    rows = written(fingerprints(docs, words, prints=prints).where("id IS NOT NULL"), "fingerprints")
+    nodes = written(rows.groupBy("salt", "fp").agg(F.min("id").alias("node")), "nodes")
+    same = rows.join(nodes, ["salt", "fp"]).where("id != node")
+    links = linked_fingerprints(nodes, most).unionByName(
+        same.select(F.col("id").alias("a"), F.col("node").alias("b"))
+    )
+    gone = connected(links).select(F.col("node").alias("doc_id")).distinct()
+    rows = docs.select(F.struct("*").alias("doc"), F.col("doc_id").cast("long").alias("doc_id"))
+    return rows.join(gone, "doc_id", "left_anti").select("doc.*")

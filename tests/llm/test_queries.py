@@ -19,6 +19,8 @@ from duefold.llm.queries import ORACLES, QUERIES
 from duefold.llm.settings import TOKENIZER
 from tests.conftest import SMALL
 
+from .test_dedup import components
+
 
 @pytest.fixture(scope="module")
 def connection():
@@ -88,6 +90,17 @@ def test_pipeline_keeps_clean_documents(spark):
     once = corpus_pipeline.exact(spark, known, SMALL)
     assert once.count() == known.selectExpr("sha2(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), 256)").distinct().count()
     near = corpus_pipeline.near(spark, once, SMALL)
-    groups = simhash.near_groups(once)
-    assert near.count() == groups.select("component_id").distinct().count()
+    texts = {r.doc_id: r.text.encode() for r in once.collect()}
+    prints = {}
+    for i, text in texts.items():
+        hashes = simhash.shingle_hashes(text, 3)
+        prints[i] = [simhash.fingerprint(simhash.rehashed(hashes, k)) for k in range(simhash.PRINTS)]
+    links = [
+        (a, b)
+        for a in prints
+        for b in prints
+        if a < b and any((x ^ y).bit_count() <= 3 for x, y in zip(prints[a], prints[b]))
+    ]
+    expected = set(components(prints, links).values())
+    assert {r.doc_id for r in near.collect()} == expected and len(expected) == near.count()
     assert QUERIES["pipeline"](spark, SMALL).count() > 0
