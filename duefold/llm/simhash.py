@@ -56,14 +56,24 @@ def shingle_hashes(text: bytes, words: int) -> np.ndarray:
     return np.fromiter((one(joined[a:b], 42) for a, b in pairs), np.uint64)
 
 
+#: Each byte with its eight bits spread over eight bytes, the lowest bit in the lowest byte.
+_SPREAD = (
+    np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder="little")
+    .view("<u8")
+    .ravel()
+)
+
+
 def fingerprint(hashes: np.ndarray) -> int:
     """Bit b is 1 if it is set in more than half of the hashes; 0 without hashes."""
     if not len(hashes):
         return 0
     counts = np.zeros(64, np.int64)
     for k in range(0, len(hashes), 1 << 16):
-        bits = hashes[k : k + (1 << 16)].astype("<u8").view(np.uint8).reshape(-1, 8)
-        counts += np.unpackbits(bits, axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+        spread = _SPREAD[hashes[k : k + (1 << 16)].astype("<u8").view(np.uint8).reshape(-1, 8)]
+        # Bytes cannot overflow within 255 rows.
+        sums = np.add.reduceat(spread, np.arange(0, len(spread), 255), axis=0)
+        counts += sums.view(np.uint8).reshape(-1, 64).sum(axis=0, dtype=np.int64)
     return int(sum(1 << b for b in np.flatnonzero(counts * 2 > len(hashes)).tolist()))
 
 
@@ -188,19 +198,24 @@ def _keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def spanning_links(fps: np.ndarray, nodes: np.ndarray, most: int) -> list[tuple[int, int]]:
-    """A spanning forest of the links among some fingerprints, each link to its tree's first node."""
-    left = np.argsort(nodes)
+    """A spanning forest of the links among some fingerprints.
+
+    Each tree starts at the fingerprint with the most links, which is the original of a group of edited
+    copies rather than one of them; every entry of the forest is a link itself.
+    """
+    degree = np.array([np.count_nonzero(np.bitwise_count(fps ^ one) <= most) for one in fps])
+    left = np.lexsort((nodes, -degree))
     links = []
     while len(left) > 1:
-        root, left = left[0], left[1:]
-        front = np.array([root])
+        front, left = left[:1], left[1:]
         while len(front) and len(left):
-            near = np.zeros(len(left), bool)
+            reached = []
             for one in front:
-                near |= np.bitwise_count(fps[left] ^ fps[one]) <= most
-            front = left[near]
-            left = left[~near]
-            links += [(int(nodes[x]), int(nodes[root])) for x in front]
+                near = np.bitwise_count(fps[left] ^ fps[one]) <= most
+                links += [(int(nodes[x]), int(nodes[one])) for x in left[near]]
+                reached.append(left[near])
+                left = left[~near]
+            front = np.concatenate(reached)
     return links
 
 
@@ -283,25 +298,77 @@ def near_groups(
     )
 
 
-#: Fingerprints a document has in ``one_of_each``.
-PRINTS = 4
+#: Words of a shingle and fingerprints of a document with which ``one_of_each`` looks for candidates.
+SEARCH_WORDS = 2
+PRINTS = 8
+
+
+def _verified(words: int, similarity: float):
+    def run(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, centre = None, frozenset()
+        for batch in frames:
+            kept = []
+            for k in range(batch.num_rows):
+                at = batch.column(1)[k].as_py()
+                if at != last:  # rows of one centre mostly follow each other
+                    text = batch.column(3)[k].as_py() or ""
+                    last, centre = at, frozenset(shingle_hashes(text.encode(), words).tolist())
+                text = batch.column(2)[k].as_py() or ""
+                own = frozenset(shingle_hashes(text.encode(), words).tolist())
+                both = len(own & centre)
+                if both >= similarity * (len(own) + len(centre) - both):
+                    kept.append(k)
+            yield batch.select(["a", "b"]).take(pa.array(kept, pa.int64()))
+
+    return run
+
+
+def verified_links(docs: DataFrame, links: DataFrame, words: int, similarity: float) -> DataFrame:
+    """The links (a, b) whose texts have a Jaccard similarity of at least ``similarity``.
+
+    It is taken over the different shingles of ``words`` words; two texts without words are alike. Of
+    rows that repeat an id the greatest text counts.
+    """
+    ends = links.select(F.explode(F.array("a", "b")).alias("id")).distinct()
+    texts = written(
+        docs.select(F.col("doc_id").cast("long").alias("id"), "text")
+        .join(ends, "id")
+        .groupBy("id")
+        .agg(F.max("text").alias("text")),
+        "linked-texts",
+    )
+    pairs = (
+        links.join(texts.select(F.col("id").alias("a"), F.col("text").alias("text_a")), "a")
+        .join(texts.select(F.col("id").alias("b"), F.col("text").alias("text_b")), "b")
+        .select("a", "b", "text_a", "text_b")
+    )
+    return pairs.mapInArrow(_verified(words, similarity), "a long, b long")
 
 
 def one_of_each(
-    docs: DataFrame, words: int = 3, most: int = 3, prints: int = PRINTS
+    docs: DataFrame, words: int = 5, similarity: float = 0.8, prints: int = PRINTS
 ) -> DataFrame:
     """The rows of ``docs`` that are no near copy of a row with a smaller id, with their columns.
 
-    Documents link if any of ``prints`` independent fingerprints differ in at most ``most`` bits, for one
-    alone misses many light edits. Of a group that links connect, the smallest id stays, with
-    all rows that repeat it. Rows with a null id stay, for nothing tells them apart.
+    Candidates are documents of which any of ``prints`` independent fingerprints of two-word shingles
+    differ in at most three bits; the link stands if the texts' Jaccard similarity over shingles of
+    ``words`` words is at least ``similarity``. Of a group that links connect, the smallest id stays,
+    with all rows that repeat it. Rows with a null id stay, for nothing tells them apart. Under a key
+    that many fingerprints share, the candidates are a spanning forest, not all pairs.
     """
-    rows = written(fingerprints(docs, words, prints=prints).where("id IS NOT NULL"), "fingerprints")
+    found = fingerprints(docs, SEARCH_WORDS, prints=prints).where("id IS NOT NULL")
+    rows = written(found, "fingerprints")
     nodes = written(rows.groupBy("salt", "fp").agg(F.min("id").alias("node")), "nodes")
     same = rows.join(nodes, ["salt", "fp"]).where("id != node")
-    links = linked_fingerprints(nodes, most).unionByName(
+    candidates = linked_fingerprints(nodes).unionByName(
         same.select(F.col("id").alias("a"), F.col("node").alias("b"))
     )
+    # Ends in one order, so that a pair found under several keys is checked once.
+    links = written(
+        candidates.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(),
+        "candidates",
+    )
+    links = verified_links(docs, links, words, similarity)
     gone = connected(links).select(F.col("node").alias("doc_id")).distinct()
     rows = docs.select(F.struct("*").alias("doc"), F.col("doc_id").cast("long").alias("doc_id"))
     return rows.join(gone, "doc_id", "left_anti").select("doc.*")

@@ -83,6 +83,27 @@ def test_simhash_equals_brute_force(spark):
         assert (r.fingerprint, r.component_id) == (f"{prints[r.doc_id]:016x}", expected[r.doc_id])
 
 
+def test_near_copies_go_and_looser_ones_stay(spark):
+    """Copies with one word in 60 changed are close; with one in 12 they fall under 0.8."""
+    rows, near, loose = [], set(), set()
+    for k in range(12):
+        base = words(240, 100 + k)
+        rows.append((k, " ".join(base)))
+        for kind, every in ((100, 60), (200, 12)):
+            edited = [f"new{j}" if j % every == 5 else w for j, w in enumerate(base)]
+            rows.append((kind + k, " ".join(edited)))
+            (near if kind == 100 else loose).add(kind + k)
+    # A large group: light edits of one original, whose id is not the smallest.
+    base = words(300, 1)
+    group = {i: [f"e{i}" if j == i * 7 % 300 else w for j, w in enumerate(base)] for i in range(1000, 1300)}
+    rows += [(i, " ".join(w)) for i, w in group.items()] + [(1500, " ".join(base))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    kept = {r.doc_id for r in simhash.one_of_each(docs).collect()}
+    assert loose <= kept and set(range(12)) <= kept
+    assert kept & {*group, 1500} == {1000}
+    assert len(near - kept) >= 10
+
+
 def test_empty_texts_have_fingerprint_zero(odd_docs):
     rows = {r.doc_id: r for r in simhash.near_groups(odd_docs).collect()}
     assert {rows[i].fingerprint for i in (1, 2, 3)} == {"0" * 16}
