@@ -163,8 +163,9 @@ def preview(spark, folder):
 
 
 def amount_quantiles(spark, folder):
+    amounts = stand_ins.installments(spark, folder).select("installment_no", "amount_paid")
     found = Q.exact_quantiles(
-        stand_ins.installments(spark, folder),
+        written(amounts, "amounts"),
         "amount_paid",
         [0.01, 0.25, 0.5, 0.75, 0.99],
         ["installment_no"],
@@ -178,9 +179,9 @@ def amount_quantiles(spark, folder):
 
 
 def amount_summary(spark, folder):
-    return rounded(
-        S.summary(stand_ins.installments(spark, folder), ["amount_paid", "days_late"]), 4
-    )
+    columns = ["amount_paid", "days_late"]
+    amounts = written(stand_ins.installments(spark, folder).select(*columns), "amounts")
+    return rounded(S.summary(amounts, columns), 4)
 
 
 def clean_operators(spark, folder):

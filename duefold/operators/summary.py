@@ -1,4 +1,4 @@
-"""Summary statistics of numeric columns, from one pass over the rows."""
+"""Summary statistics of numeric columns."""
 
 from collections.abc import Sequence
 
@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from duefold.functions import named, round_half_even
-from duefold.operators.quantiles import quantiles_from_counts, value_counts
+from duefold.operators.quantiles import exact_quantiles, present, value_counts
 
 
 def percentile_name(probability: float) -> str:
@@ -24,15 +24,19 @@ def summary(
 ) -> DataFrame:
     """Count, mean, deviation, extremes and exact percentiles: one row per column.
 
-    The columns are melted and equal values counted together, once for all columns; every
-    statistic is computed from these counts. The median is always included. ``digits`` rounds
-    half to even.
+    The columns are melted. With ``small_domain``, which promises few different values a column,
+    equal values are counted together first and every statistic comes from these counts;
+    otherwise from the rows, without shuffling them. The median is always included. ``digits``
+    rounds half to even.
     """
     points = sorted({*probabilities, 0.5})
     melted = df.select(*[named(c).cast("double").alias(c) for c in columns]).unpivot(
         [], [named(c) for c in columns], "column", "value"
     )
-    counts = value_counts(melted, "value", ["column"])
+    if small_domain:
+        counts = value_counts(melted, "value", ["column"])
+    else:
+        counts = present(melted, "value", ["column"]).withColumn("copies", F.lit(1))
 
     value, copies = F.col("value"), F.col("copies")
     aggregates = [
@@ -54,7 +58,7 @@ def summary(
     )
     parts = [totals, spread]
     if not small_domain:
-        parts.append(quantiles_from_counts(counts, points, ["column"]))
+        parts.append(exact_quantiles(melted, "value", points, ["column"]))
 
     names = df.sparkSession.range(1).select(
         F.posexplode(F.array(*[F.lit(c) for c in columns])).alias("position", "column")

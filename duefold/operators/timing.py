@@ -55,7 +55,7 @@ def negative_gaps(timing: DataFrame) -> DataFrame:
 
 
 def _gap_limit(counts: DataFrame, upper: float) -> DataFrame:
-    limit = quantiles_from_counts(counts, [upper], small_domain=_DAYS_ARE_FEW)
+    limit = quantiles_from_counts(counts, [upper])
     return limit.select(F.col("quantiles")[0].alias("gap_limit"))
 
 

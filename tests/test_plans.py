@@ -68,8 +68,40 @@ def test_timing_reports_scan_once(stored, report):
     assert text.count("FileScan") == 1
 
 
-def test_ordered_quantiles_scan_once(stored):
-    assert final_plan(Q.exact_quantiles(stored, "amount_paid", [0.5])).count("FileScan") == 1
+def nodes(node):
+    """All operators of a plan that ran, query stages opened."""
+    name = node.getClass().getSimpleName()
+    yield node
+    if name == "AdaptiveSparkPlanExec":
+        below = [node.executedPlan()]
+    elif name.endswith("QueryStageExec"):
+        below = [node.plan()]
+    else:
+        below = [node.children().apply(i) for i in range(node.children().size())]
+    for child in below:
+        yield from nodes(child)
+
+
+def shuffled_rows(df):
+    """Rows that each shuffle of the frame wrote."""
+    df.collect()
+    found = nodes(df._jdf.queryExecution().executedPlan())
+    return [
+        n.metrics().apply("shuffleRecordsWritten").value()
+        for n in found
+        if n.getClass().getSimpleName() == "ShuffleExchangeExec"
+    ]
+
+
+@pytest.mark.parametrize("by", [[], ["installment_no"]])
+def test_ordered_quantiles_do_not_shuffle_the_column(stored, by):
+    rows = stored.where("amount_paid IS NOT NULL")
+    found = Q.exact_quantiles(rows, "amount_paid", [0.5], by)
+    groups = rows.select(*by).distinct().count() if by else 1
+    assert rows.count() > 5000
+    assert max(shuffled_rows(found), default=0) <= 40 * groups
+    for keys in re.findall(r"hashpartitioning\(([^)]*)\)", plan(found)):
+        assert "value#" not in keys or "cut_0#" in keys
 
 
 def test_worst_installment_report_has_no_join(stored):
@@ -121,35 +153,37 @@ def test_skewed_answers_equal_pandas(skewed):
     assert W.worst_installments(skewed).count() == len(at_peak)
 
 
-def test_hot_rows_shrink_before_the_shuffle(spark, skewed):
-    """The rows that reach the window are the different ones only."""
-    pairs = skewed.where("credit_id = 7").select("installment_no", "days_late").distinct().count()
+def test_hot_rows_shrink_before_the_shuffle(skewed):
+    """A hot credit's equal rows combine in their task: repeating them adds nothing to the shuffle."""
     hot = skewed.where("credit_id = 7")
-    assert hot.count() > 1000 and pairs < 200
-    repeated = skewed.unionAll(hot).unionAll(hot)
-    before = {r.installment_no: r for r in W.default_by_worst_installment(skewed).collect()}
-    after = {r.installment_no: r for r in W.default_by_worst_installment(repeated).collect()}
-    worst = C.label_credits(skewed).where("credit_id = 7").collect()[0]
-    if worst.label is None:
-        assert before == after
-    else:
-        assert sum(r.n_credits for r in after.values()) >= sum(r.n_credits for r in before.values())
+    rows = hot.count()
+    repeated = hot.withColumn("copy", F.explode(F.sequence(F.lit(1), F.lit(20)))).drop("copy")
+    once = shuffled_rows(W.default_by_worst_installment(hot))
+    assert rows > 1000 and max(once) < rows / 4
+    assert max(shuffled_rows(W.default_by_worst_installment(repeated))) == max(once)
 
 
 def test_adaptive_skew_join_keeps_all_rows(spark, skewed):
-    """Forced to shuffle and split, the join returns the same rows."""
-    expected = sorted(map(str, W.worst_installments(skewed).collect()))
+    """Forced to shuffle, the join is split at the hot credit and returns the same rows."""
+    path = new_path(spark, "skewed")
+    late = F.when(F.col("credit_id") == 7, F.lit(90)).otherwise(F.col("days_late"))
+    skewed.withColumn("days_late", late).repartition(8).write.parquet(path)
+    many = spark.read.parquet(path)
+    expected = sorted(map(str, W.worst_installments(many).collect()))
     settings = {
+        "spark.sql.shuffle.partitions": "64",
         "spark.sql.autoBroadcastJoinThreshold": "-1",
         "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "2k",
         "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "1.5",
         "spark.sql.adaptive.advisoryPartitionSizeInBytes": "2k",
     }
+    before = {key: spark.conf.get(key, None) for key in settings}
     for key, value in settings.items():
         spark.conf.set(key, value)
     try:
-        df = W.worst_installments(skewed)
+        df = W.worst_installments(many)
         assert sorted(map(str, df.collect())) == expected
+        assert "SortMergeJoin(skew=true)" in plan(df)
     finally:
-        for key in settings:
-            spark.conf.unset(key)
+        for key, value in before.items():
+            spark.conf.unset(key) if value is None else spark.conf.set(key, value)

@@ -6,6 +6,7 @@ from hypothesis import strategies as st
 
 from duefold.operators import profile as P
 from duefold.operators.histogram import histogram
+from duefold.operators import quantiles
 from duefold.operators.quantiles import exact_quantiles
 from duefold.operators.summary import percentile_name, summary
 
@@ -48,6 +49,17 @@ def test_quantiles_per_group(spark, pairs):
             assert np.allclose(row.quantiles, expected[row.k].to_numpy())
 
 
+def test_ranges_are_cut_again(spark, monkeypatch):
+    """Two levels at work, a value that fills a third of the rows among them."""
+    monkeypatch.setattr(quantiles, "_STEP", 2)
+    monkeypatch.setattr(quantiles, "_RANGES", 4)
+    monkeypatch.setattr(quantiles, "_FINE_ROWS", 20)
+    rng = np.random.default_rng(3)
+    values = np.where(rng.random(900) < 1 / 3, 5.0, rng.lognormal(1, 2, 900))
+    found = exact_quantiles(frame(spark, values.tolist()), "x", PROBS).collect()
+    assert np.allclose(found[0].quantiles, np.quantile(values, PROBS), rtol=1e-12, atol=0)
+
+
 def test_quantiles_of_nothing(spark):
     assert exact_quantiles(frame(spark, [None]), "x", [0.5], [], False).collect() == []
 
