@@ -16,6 +16,7 @@ import time
 
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
+from pyspark import SparkConf  # noqa: E402
 from pyspark.sql import SparkSession  # noqa: E402
 
 from contract.queries import QUERIES  # noqa: E402
@@ -26,6 +27,7 @@ def main() -> None:
     cores = os.environ.get("BENCH_CPUS") or str(os.cpu_count())
     runs = int(os.environ.get("BENCH_RUNS", "1"))
     only = [n for n in os.environ.get("BENCH_ONLY", "").split(",") if n]
+    shared = SparkConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="bench-")
     spark = (
         SparkSession.builder.master(f"local[{cores}]")
         .appName("bench")
@@ -35,11 +37,10 @@ def main() -> None:
         .config("spark.ui.showConsoleProgress", "false")
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.dataFrameQueryContext.enabled", "false")
+        .config("spark.checkpoint.dir", shared)
         .getOrCreate()
     )
     spark.sparkContext.setLogLevel("ERROR")
-    if not spark.conf.get("spark.checkpoint.dir", None):
-        spark.conf.set("spark.checkpoint.dir", tempfile.mkdtemp(prefix="bench-"))
     seconds = {}
     for name in only or QUERIES:
         taken = []

@@ -11,6 +11,7 @@ import time
 
 import duckdb
 import pyarrow as pa
+from pyspark import SparkConf
 from pyspark.sql import SparkSession
 
 from contract.oracles import ORACLES
@@ -18,6 +19,7 @@ from contract.queries import QUERIES
 
 
 def spark_session(cores: str = "8", partitions: str = "8") -> SparkSession:
+    shared = SparkConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="contract-")
     spark = (
         SparkSession.builder.master(f"local[{cores}]")
         .config("spark.sql.shuffle.partitions", partitions)
@@ -26,11 +28,10 @@ def spark_session(cores: str = "8", partitions: str = "8") -> SparkSession:
         .config("spark.sql.dataFrameQueryContext.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
         .config("spark.sql.session.timeZone", "UTC")
+        .config("spark.checkpoint.dir", shared)
         .getOrCreate()
     )
     spark.sparkContext.setLogLevel("ERROR")
-    if not spark.conf.get("spark.checkpoint.dir", None):
-        spark.conf.set("spark.checkpoint.dir", tempfile.mkdtemp(prefix="contract-"))
     return spark
 
 

@@ -91,7 +91,8 @@ def _cut(rows: DataFrame, kept: Sequence[str], cut: str) -> DataFrame:
     """
 
     def less(position: Column) -> Column:
-        return (F.element_at("edges", position) < F.col("value")).cast("int")
+        # Never null, so that no null test of the whole sum is moved below it.
+        return F.when(F.element_at("edges", position) < F.col("value"), 1).otherwise(0)
 
     coarse = sum((less(F.lit(_STEP * i)) for i in range(2, _STEP)), less(F.lit(_STEP)))
     at = F.col("coarse") * _STEP
@@ -143,7 +144,8 @@ def _ordered_quantiles(
         wanted = written(
             located.select(*keys, "total", "before", "held", "ranks", "low", "high"), "quantile-ranges"
         )
-        rows = placed.join(wanted.select(*keys), keys, "left_semi")
+        # Keys are unique; a semi join would move below the cut and compute it many times over.
+        rows = placed.join(wanted.select(*keys), keys)
         if wanted.where((F.col("held") > _FINE_ROWS) & (F.col("low") < F.col("high"))).isEmpty():
             break
 
