@@ -215,3 +215,42 @@ def test_passages_miss_no_shared_run(spark):
         for k in range(len(w) - 50):
             if len(where[tuple(w[k : k + 51])]) > 1:
                 assert any(a <= k and k + 50 <= b for a, b in spans[i])
+
+
+def test_passages_do_not_depend_on_the_first_window(spark):
+    """The smallest id shares only a frequent line with the others, but holds the minima."""
+
+    def lows(found):
+        base = passages.shingles(" ".join(found).encode())
+        return [int(passages.hashed(base, f).min()) for f in range(2)]
+
+    # Its shingles are the smallest of all under both functions.
+    line = min((words(20, k) for k in range(1000, 1400)), key=lambda w: max(lows(w)))
+    around = (words(25, k) + line + words(25, k + 1) for k in range(2000, 4000, 2))
+    texts = [w for w in (next(around) for _ in range(40)) if lows(w) == lows(line)][:4]
+    shared = texts[1]
+    edited = shared[:2] + ["changed"] + shared[3:]
+    rows = [(1, texts[0]), (2, shared), (3, shared + ["end"]), (4, texts[2]), (5, edited), (6, texts[3])]
+    docs = spark.createDataFrame([(i, " ".join(w)) for i, w in rows], "doc_id long, text string")
+    found = {r.doc_id: r for r in passages.repeated_passages(docs).collect()}
+    assert set(found) == {2, 3, 5}
+    assert {r.class_id for r in found.values()} == {2}
+    assert (found[3].first_word, found[3].last_word) == (0, 69)
+
+
+def test_later_windows_of_the_first_document(spark):
+    shared = words(60, 21)
+    rows = [
+        (1, words(30, 22) + shared + words(200, 23) + shared + words(30, 24)),
+        (2, words(10, 25) + shared),
+    ]
+    docs = spark.createDataFrame([(i, " ".join(w)) for i, w in rows], "doc_id long, text string")
+    found = {(r.doc_id, r.first_word, r.last_word) for r in passages.repeated_passages(docs).collect()}
+    assert found == {(1, 30, 89), (1, 290, 349), (2, 10, 69)}
+
+
+def test_run_hashes():
+    values = np.array([5, 6, 7, 8, 9, 5, 6, 7, 8, 4], np.uint64)
+    found = passages.run_hashes(values, 4).tolist()
+    assert len(found) == 7 and found[0] == found[5] and len(set(found)) == 6
+    assert len(passages.run_hashes(values, 11)) == 0
