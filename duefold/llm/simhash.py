@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from duefold.llm.common import column, connected, long_array, text_slices, written
+from duefold.llm.common import column, connected, long_array, new_path, text_slices, written
 
 SEGMENTS = 4
 WIDTH = 16
@@ -345,6 +345,72 @@ def verified_links(docs: DataFrame, links: DataFrame, words: int, similarity: fl
     return pairs.mapInArrow(_verified(words, similarity), "a long, b long")
 
 
+def near_members(rows: DataFrame) -> DataFrame:
+    """(group, fp, id): the rows (id, salt, fp) whose fingerprint comes again or has another within three bits.
+
+    A group has all fingerprints of one salt that such links connect.
+    """
+    node = F.xxhash64("salt", "fp").alias("node")
+    nodes = written(rows.select("salt", "fp", node).distinct(), "nodes")
+    parts = connected(linked_fingerprints(nodes))
+    grouped = written(
+        rows.select("id", "fp", node)
+        .join(parts, "node", "left")
+        .select(F.coalesce("component", "node").alias("group"), "fp", "id")
+        .distinct(),
+        "fingerprint-groups",
+    )
+    sizes = grouped.groupBy("group").agg(F.min("id").alias("lo"), F.max("id").alias("hi"))
+    return written(grouped.join(sizes.where("lo < hi").select("group"), "group"), "members")
+
+
+def checked_links(docs: DataFrame, members: DataFrame, words: int, similarity: float) -> DataFrame:
+    """Links (a, b) of alike texts that connect what all alike pairs of ``members`` connect.
+
+    A pair is two members of a group within three bits. In every round some members of each group
+    are heads: a head meets all others that have not been one, unless links found so far connect
+    the two. A group is done when all its members that have not been a head are connected, so no pair stays
+    unchecked but those whose check could connect nothing. Heads become more with every
+    round; a group of alike texts needs one.
+    """
+    spark = docs.sparkSession
+    path = new_path(spark, "alike")
+    spark.createDataFrame([], "a long, b long").write.parquet(path)
+    done = path + "-checked"
+    spark.createDataFrame([], "a long, b long").write.parquet(done)
+    waiting, heads = members, 1
+    while True:
+        parts = connected(spark.read.parquet(path)).select(F.col("node").alias("id"), "component")
+        waiting = written(
+            waiting.select("group", "fp", "id")
+            .join(parts, "id", "left")
+            .select("group", "fp", "id", F.coalesce("component", "id").alias("part")),
+            "waiting",
+        )
+        mixed = waiting.groupBy("group").agg(F.min("part").alias("lo"), F.max("part").alias("hi"))
+        waiting = written(waiting.join(mixed.where("lo < hi").select("group"), "group"), "waiting")
+        if waiting.isEmpty():
+            return spark.read.parquet(path)
+        chosen = written(
+            waiting.groupBy("group", F.pmod(F.xxhash64("id"), F.lit(heads)))
+            .agg(F.min(F.struct("id", "fp", "part")).alias("head"))
+            .select("group", "head"),
+            "heads",
+        )
+        pairs = (
+            waiting.join(chosen, "group")
+            .where("part != head.part AND bit_count(fp ^ head.fp) <= 3")
+            .select(F.greatest("id", "head.id").alias("a"), F.least("id", "head.id").alias("b"))
+            .distinct()
+            .join(spark.read.parquet(done), ["a", "b"], "left_anti")
+        )
+        pairs = written(pairs, "candidates")
+        verified_links(docs, pairs, words, similarity).write.mode("append").parquet(path)
+        pairs.write.mode("append").parquet(done)
+        waiting = waiting.join(chosen.select("group", "head.id"), ["group", "id"], "left_anti")
+        heads *= 8
+
+
 def one_of_each(
     docs: DataFrame, words: int = 5, similarity: float = 0.8, prints: int = PRINTS
 ) -> DataFrame:
@@ -353,22 +419,12 @@ def one_of_each(
     Candidates are documents of which any of ``prints`` independent fingerprints of two-word shingles
     differ in at most three bits; the link stands if the texts' Jaccard similarity over shingles of
     ``words`` words is at least ``similarity``. Of a group that links connect, the smallest id stays,
-    with all rows that repeat it. Rows with a null id stay, for nothing tells them apart. Under a key
-    that many fingerprints share, the candidates are a spanning forest, not all pairs.
+    with all rows that repeat it. Rows with a null id stay, for nothing tells them apart. A candidate
+    is left unchecked only if other links connect its ends.
     """
     found = fingerprints(docs, SEARCH_WORDS, prints=prints).where("id IS NOT NULL")
     rows = written(found, "fingerprints")
-    nodes = written(rows.groupBy("salt", "fp").agg(F.min("id").alias("node")), "nodes")
-    same = rows.join(nodes, ["salt", "fp"]).where("id != node")
-    candidates = linked_fingerprints(nodes).unionByName(
-        same.select(F.col("id").alias("a"), F.col("node").alias("b"))
-    )
-    # Ends in one order, so that a pair found under several keys is checked once.
-    links = written(
-        candidates.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(),
-        "candidates",
-    )
-    links = verified_links(docs, links, words, similarity)
+    links = checked_links(docs, near_members(rows), words, similarity)
     gone = connected(links).select(F.col("node").alias("doc_id")).distinct()
     rows = docs.select(F.struct("*").alias("doc"), F.col("doc_id").cast("long").alias("doc_id"))
     return rows.join(gone, "doc_id", "left_anti").select("doc.*")

@@ -254,3 +254,38 @@ def test_run_hashes():
     found = passages.run_hashes(values, 4).tolist()
     assert len(found) == 7 and found[0] == found[5] and len(set(found)) == 6
     assert len(passages.run_hashes(values, 11)) == 0
+
+
+def test_equal_fingerprints_of_unlike_texts_are_all_compared(spark):
+    """A line repeated most often rules all fingerprints; the smallest id is alike none of the others."""
+    line = " ".join(words(3, 31) * 2000)
+    body = words(60, 32)
+    rows = [(1, f"{line} {' '.join(words(60, 33))}"), (2, f"{line} {' '.join(body)}")]
+    rows += [(3, f"{line} {' '.join(body[:-1])} new"), (4, f"{line} {' '.join(words(60, 34))}")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    same = simhash.fingerprints(docs, simhash.SEARCH_WORDS, prints=simhash.PRINTS)
+    assert same.select("salt", "fp").distinct().count() == simhash.PRINTS
+    assert {r.doc_id for r in simhash.one_of_each(docs).collect()} == {1, 2, 4}
+
+
+def test_checked_links_equal_brute_force(spark):
+    """Edited copies of a few texts around one fingerprint: links connect what all alike pairs connect."""
+    r = random.Random(5)
+    texts, prints = {}, {}
+    for i in range(60):
+        base = words(80, 40 + i % 7)
+        for _ in range(r.randrange(3)):
+            base[r.randrange(80)] = f"e{i}"
+        texts[i] = " ".join(base)
+        prints[i] = sum(1 << b for b in r.sample(range(64), r.randrange(3)))
+    spans = {i: set(simhash.shingle_hashes(t.encode(), 5).tolist()) for i, t in texts.items()}
+    alike = [
+        (a, b) for a in texts for b in texts
+        if a < b and (prints[a] ^ prints[b]).bit_count() <= 3
+        and len(spans[a] & spans[b]) >= 0.8 * len(spans[a] | spans[b])
+    ]
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    rows = [(i, 0, x - (1 << 64) if x >> 63 else x) for i, x in prints.items()]
+    members = simhash.near_members(spark.createDataFrame(rows, "id long, salt long, fp long"))
+    links = simhash.checked_links(docs, members, 5, 0.8)
+    assert components(texts, [(r.a, r.b) for r in links.collect()]) == components(texts, alike)
