@@ -419,12 +419,22 @@ def one_of_each(
     Candidates are documents of which any of ``prints`` independent fingerprints of two-word shingles
     differ in at most three bits; the link stands if the texts' Jaccard similarity over shingles of
     ``words`` words is at least ``similarity``. Of a group that links connect, the smallest id stays,
-    with all rows that repeat it. Rows with a null id stay, for nothing tells them apart. A candidate
-    is left unchecked only if other links connect its ends.
+    with all rows that repeat it and its text. Different texts under one id are documents of their own,
+    each judged by itself; if they are near copies one of them stays. Rows with a null id stay, for
+    nothing tells them apart. A candidate is left unchecked only if other links connect its ends.
     """
-    found = fingerprints(docs, SEARCH_WORDS, prints=prints).where("id IS NOT NULL")
-    rows = written(found, "fingerprints")
-    links = checked_links(docs, near_members(rows), words, similarity)
-    gone = connected(links).select(F.col("node").alias("doc_id")).distinct()
-    rows = docs.select(F.struct("*").alias("doc"), F.col("doc_id").cast("long").alias("doc_id"))
-    return rows.join(gone, "doc_id", "left_anti").select("doc.*")
+    long_id = F.col("doc_id").cast("long")
+    # An id and its text; a null text counts as empty.
+    key = F.when(long_id.isNotNull(), F.xxhash64(long_id, F.coalesce("text", F.lit(""))))
+    keyed = docs.select(key.alias("doc_id"), "text", long_id.alias("id")).where("doc_id IS NOT NULL")
+    rows = written(fingerprints(keyed, SEARCH_WORDS, prints=prints), "fingerprints")
+    links = checked_links(keyed, near_members(rows), words, similarity)
+    parts = written(connected(links), "parts")
+    parts = parts.unionByName(parts.select(F.col("component").alias("node"), "component")).distinct()
+    named = written(
+        parts.join(keyed.select(F.col("doc_id").alias("node"), "id").distinct(), "node"), "near-copies"
+    )
+    first = named.groupBy("component").agg(F.min(F.struct("id", "node")).alias("first"))
+    gone = named.join(first, "component").where("node != first.node").select(F.col("node").alias("key"))
+    rows = docs.select(F.struct("*").alias("doc"), key.alias("key"))
+    return rows.join(gone, "key", "left_anti").select("doc.*")

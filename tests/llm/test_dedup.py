@@ -289,3 +289,13 @@ def test_checked_links_equal_brute_force(spark):
     members = simhash.near_members(spark.createDataFrame(rows, "id long, salt long, fp long"))
     links = simhash.checked_links(docs, members, 5, 0.8)
     assert components(texts, [(r.a, r.b) for r in links.collect()]) == components(texts, alike)
+
+
+def test_texts_under_one_id_are_judged_each(spark):
+    base = words(240, 51)
+    copy = " ".join(["new"] + base[1:])
+    clean = {"a": "zz " + " ".join(words(50, 52)), "b": "aa " + " ".join(words(50, 53))}
+    rows = [(1, " ".join(base)), (5, copy), (5, clean["a"]), (5, clean["b"]), (5, clean["b"]), (None, copy)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    kept = sorted((r.doc_id or 0, r.text) for r in simhash.one_of_each(docs).collect())
+    assert kept == sorted([(0, copy), rows[0], rows[2], rows[3], rows[4]])
