@@ -9,14 +9,18 @@ from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
 from duefold.llm import (
+    conversation_repair,
     exact_dedup,
     hamming_topk,
     language_id,
     license_scan,
     mixing,
+    multi_index,
+    oracles,
     packing,
     passages,
     quality,
+    ranked_search,
     sharding,
     simhash,
 )
@@ -27,7 +31,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
 
-
 def _query(name: str, sql: str | None = None):
     def register(function):
         @wraps(function)
@@ -183,6 +186,26 @@ def op10_mixing(spark: SparkSession, folder: str) -> DataFrame:
     return mixing.mix_report(_table(spark, folder, "documents"))
 
 
+@_query("op11_conversation_repair", oracles.CONVERSATION_REPAIR)
+def op11_conversation_repair(spark: SparkSession, folder: str) -> DataFrame:
+    conversations = _table(spark, folder, "conversations")
+    return conversation_repair.repair_report(
+        conversation_repair.damaged(conversations), conversations
+    )
+
+
+@_query("op12_nearest_neighbours")
+def op12_nearest_neighbours(spark: SparkSession, folder: str) -> DataFrame:
+    return multi_index.nearest(_table(spark, folder, "embeddings"))
+
+
+@_query("op13_ranked_search", oracles.RANKED_SEARCH)
+def op13_ranked_search(spark: SparkSession, folder: str) -> DataFrame:
+    return ranked_search.ranked_search(
+        _table(spark, folder, "documents"), _table(spark, folder, "benchmark")
+    )
+
+
 @_query("pipeline", corpus_pipeline.ORACLE_SQL)
 def pipeline(spark: SparkSession, folder: str) -> DataFrame:
     return corpus_pipeline.run(spark, folder)
