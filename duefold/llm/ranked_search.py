@@ -19,6 +19,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -105,33 +106,35 @@ def build_index(
 
 
 class _Items:
-    """Some items against the weighted terms of the corpus, as one matrix."""
+    """Some items as a matrix of the times that each holds each of their terms."""
 
-    def __init__(self, items: np.ndarray, terms: list[str], times: np.ndarray, weights: dict[str, int]):
+    def __init__(self, items: np.ndarray, terms: np.ndarray, times: np.ndarray, weights: np.ndarray):
         self.names, of = np.unique(items, return_inverse=True)
-        self.terms = {t: k for k, t in enumerate(sorted(set(terms)))}
-        self.weights = np.array([weights.get(t, 0) for t in self.terms], np.int64)
-        place = np.fromiter((self.terms[t] for t in terms), np.int64, len(terms))
+        self.terms, at = np.unique(terms, return_inverse=True)
+        #: Place of each term of the job, or -1.
+        self.place = np.full(len(weights), -1, np.int64)
+        self.place[self.terms] = np.arange(len(self.terms))
+        self.weights = weights[self.terms]
         counts = np.zeros((len(self.terms), len(self.names)), np.int64)
-        np.add.at(counts, (place, of), times)
+        np.add.at(counts, (at, of), times)
         # An impact is at most a million times a weight. Sums that doubles hold exactly are taken in
         # doubles, which is quicker.
         most = (counts.T @ self.weights).max(initial=0) * 1_000_000
         self.counts = counts.astype(np.float64) if most < 1 << 53 else counts
 
 
-def _blocks(rows: list[tuple[int, str, int]]) -> Iterator[tuple]:
-    """(items, terms, times) sorted by item, cut so that their matrix has at most ``CELLS`` numbers."""
-    start, items, terms = 0, set(), set()
-    for k, (item, term, _) in enumerate(rows):
-        new = item not in items
-        if items and new and (len(items) + 1) * (len(terms) + 1) > CELLS:
-            yield rows[start:k]
-            start, items, terms = k, set(), set()
-        items.add(item)
-        terms.add(term)
-    if rows:
-        yield rows[start:]
+def _blocks(items: np.ndarray, terms: np.ndarray) -> list[slice]:
+    """Cuts of rows sorted by item, such that a matrix of items and terms has at most ``CELLS`` numbers."""
+    out, start, held, met = [], 0, 0, set()
+    edges = [*np.flatnonzero(np.diff(items)).tolist(), len(items) - 1]
+    at = 0
+    for edge in edges:
+        own = set(terms[at : edge + 1].tolist())
+        if held and (held + 1) * len(met | own) > CELLS:
+            out.append(slice(start, at))
+            start, held, met = at, 0, set()
+        held, met, at = held + 1, met | own, edge + 1
+    return out + [slice(start, len(items))]
 
 
 class _Best:
@@ -142,97 +145,127 @@ class _Best:
         self.rows: list[list[tuple]] = [[] for _ in range(items)]
         self.floor = np.ones(items, np.int64)
 
-    def take(self, items: np.ndarray, scores: np.ndarray, docs: list) -> None:
+    def take(self, items: np.ndarray, scores: np.ndarray, ids: np.ndarray, absent: np.ndarray) -> None:
         for at in np.flatnonzero((scores >= self.floor[items]).any(axis=0)).tolist():
             item = int(items[at])
             found = np.flatnonzero(scores[:, at] >= self.floor[item])
-            if len(found) > 4 * self.k:
-                least = np.partition(scores[found, at], len(found) - self.k)[len(found) - self.k]
-                found = found[scores[found, at] >= least]
+            # The k best of them by score, then id, nulls last.
+            order = np.lexsort((ids[found], absent[found], -scores[found, at]))[: self.k]
+            found = found[order]
             rows = self.rows[item]
-            rows += [(-int(scores[x, at]), docs[x] is None, docs[x] or 0) for x in found.tolist()]
+            rows += zip((-scores[found, at]).tolist(), absent[found].tolist(), ids[found].tolist())
             rows.sort()
             del rows[self.k :]
             if len(rows) == self.k:
                 self.floor[item] = -rows[-1][0]
 
 
-def _visited(items: _Items, best: _Best, shelf: list[tuple], documents: int, total: int) -> None:
+class _Shelf:
+    """Documents as arrays: ids, lengths, and the postings of terms that the job asks for."""
+
+    def __init__(self, batches: list[pa.RecordBatch], terms: pa.Array):
+        ids, lengths, sizes, places, tfs = [], [], [], [], []
+        for batch in batches:
+            held = batch.column("terms")
+            at = pc.index_in(held.flatten(), value_set=terms)
+            known = at.is_valid().to_numpy(zero_copy_only=False)
+            of = np.repeat(np.arange(len(held)), pc.list_value_length(held).to_numpy())[known]
+            ids.append(batch.column("id"))
+            lengths.append(batch.column("n").to_numpy())
+            sizes.append(np.bincount(of, minlength=len(held)))
+            places.append(at.drop_null().to_numpy().astype(np.int64))
+            tfs.append(batch.column("tfs").flatten().to_numpy()[known])
+        whole = pa.chunked_array(ids, pa.int64())
+        self.absent = whole.is_null().to_numpy()
+        self.ids = whole.fill_null(0).to_numpy()
+        self.n, self.sizes = np.concatenate(lengths), np.concatenate(sizes)
+        self.terms, self.tfs = np.concatenate(places), np.concatenate(tfs)
+
+
+def _visited(items: _Items, best: _Best, shelf: _Shelf, documents: int, total: int) -> None:
     """All documents of a shelf against some items, stratum by stratum."""
-    strata: dict[int, list] = {}
-    for entry in shelf:
-        strata.setdefault(normaliser(entry[1], documents, total), []).append(entry)
-    waiting = []
-    for m, members in strata.items():
-        ids, tfs, ends = [], [], [0]
-        for _, _, terms, counts in members:
-            for term, tf in zip(terms, counts):
-                k = items.terms.get(term)
-                if k is not None:
-                    ids.append(k)
-                    tfs.append(tf)
-            ends.append(len(ids))
-        if not ids:
-            continue
-        ids, tfs, ends = np.array(ids), np.array(tfs, np.int64), np.array(ends)
-        # Postings grouped by term and tf, one impact a group.
-        order = np.lexsort((tfs, ids))
-        opens = np.ones(len(order), bool)
-        opens[1:] = (np.diff(ids[order]) != 0) | (np.diff(tfs[order]) != 0)
-        heads = order[opens]
-        group = (1_000_000_000 * tfs[heads]) // (1000 * tfs[heads] + 8 * m) * items.weights[ids[heads]]
-        impact = np.empty(len(order), np.int64)
-        impact[order] = group[np.cumsum(opens) - 1]
-        terms = np.unique(ids)
-        # The last group of a term has its largest tf.
-        largest = np.zeros(len(terms), np.int64)
-        np.maximum.at(largest, np.searchsorted(terms, ids[heads]), group)
-        counts = items.counts[terms]
-        bound = (largest.astype(counts.dtype) @ counts).astype(np.int64)
-        waiting.append((int(bound.max(initial=0)), members, ids, impact, ends, terms, counts, bound))
-    waiting.sort(key=lambda x: -x[0])
-    for _, members, ids, impact, ends, terms, counts, bound in waiting:
-        place = np.searchsorted(terms, ids)
-        step = max(1, CELLS // len(terms))
-        for lo in range(0, len(members), step):
-            open_items = np.flatnonzero(bound >= best.floor)
-            if not len(open_items):
+    terms = items.place[shelf.terms]
+    docs = np.repeat(np.arange(len(shelf.n)), shelf.sizes)[terms >= 0]
+    tfs, terms = shelf.tfs[terms >= 0], terms[terms >= 0]
+    if not len(terms):
+        return
+    lengths, at = np.unique(shelf.n, return_inverse=True)
+    each = np.array([normaliser(n, documents, total) for n in lengths.tolist()], np.int64)
+    normalisers, stratum = np.unique(each[at], return_inverse=True)
+    # Postings of a stratum grouped by term and tf: one impact a group.
+    order = np.lexsort((tfs, terms, stratum[docs]))
+    keys = np.stack([stratum[docs[order]], terms[order], tfs[order]])
+    opens = np.ones(len(order), bool)
+    opens[1:] = (np.diff(keys) != 0).any(axis=0)
+    of, term, tf = keys[:, opens]
+    group = (1_000_000_000 * tf) // (1000 * tf + 8 * normalisers[of]) * items.weights[term]
+    impact = np.empty(len(order), np.int64)
+    impact[order] = group[np.cumsum(opens) - 1]
+    # The last group of a term has its largest tf, hence its largest impact in the stratum.
+    last = np.ones(len(of), bool)
+    last[:-1] = (np.diff(of) != 0) | (np.diff(term) != 0)
+    of, term, group = of[last], term[last], group[last]
+    found, starts = np.unique(of, return_index=True)
+    bounds = []
+    for lo, hi in zip(starts, [*starts[1:], len(of)]):
+        counts = items.counts[term[lo:hi]]
+        bounds.append((group[lo:hi].astype(counts.dtype) @ counts).astype(np.int64))
+    # Documents and postings by stratum.
+    members = np.argsort(stratum, kind="stable")
+    firsts = np.searchsorted(stratum[members], np.arange(len(normalisers) + 1))
+    place = np.empty(len(members), np.int64)
+    place[members] = np.arange(len(members)) - firsts[stratum[members]]
+    listed = np.lexsort((place[docs], stratum[docs]))
+    edges = np.searchsorted(stratum[docs[listed]], np.arange(len(normalisers) + 1))
+    for x in sorted(range(len(found)), key=lambda x: -int(bounds[x].max())):
+        k = found[x]
+        own = members[firsts[k] : firsts[k + 1]]
+        postings = listed[edges[k] : edges[k + 1]]
+        used = term[starts[x] : starts[x + 1] if x + 1 < len(starts) else len(term)]
+        rows, columns = place[docs[postings]], np.searchsorted(used, terms[postings])
+        step = max(1, CELLS // len(used))
+        for lo in range(0, len(own), step):
+            wanted = np.flatnonzero(bounds[x] >= best.floor)
+            if not len(wanted):
                 break
-            hi = min(lo + step, len(members))
-            part = slice(ends[lo], ends[hi])
-            matrix = np.zeros((hi - lo, len(terms)), counts.dtype)
-            matrix[np.repeat(np.arange(hi - lo), np.diff(ends[lo : hi + 1])), place[part]] = impact[part]
-            chosen = counts if len(open_items) == counts.shape[1] else counts[:, open_items]
-            scores = (matrix @ chosen).astype(np.int64)
-            best.take(open_items, scores, [x[0] for x in members[lo:hi]])
+            part = slice(*np.searchsorted(rows, [lo, lo + step]))
+            ids = own[lo : lo + step]
+            counts = items.counts[np.ix_(used, wanted)] if len(wanted) < len(best.floor) else items.counts[used]
+            matrix = np.zeros((len(ids), len(used)), counts.dtype)
+            matrix[rows[part] - lo, columns[part]] = impact[postings[part]]
+            best.take(wanted, (matrix @ counts).astype(np.int64), shelf.ids[ids], shelf.absent[ids])
+
 
+def _scored(asked: pa.Table, documents: int, total: int, k: int):
+    """Documents -> the best of this task for each item; ``asked`` is sorted by item."""
 
-def _scored(rows: list[tuple[int, str, int]], weights: dict[str, int], documents: int, total: int, k: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        blocks = []
-        for block in _blocks(rows):
-            items, terms, times = zip(*block)
-            blocks.append((np.array(items), terms, np.array(times, np.int64)))
-        kept: dict[int, _Best] = {}
-
-        def visit(shelf):
-            for at, block in enumerate(blocks):
-                items = _Items(*block, weights)
-                best = kept.setdefault(at, _Best(len(items.names), k))
-                _visited(items, best, shelf, documents, total)
-
-        shelf: list[tuple] = []
+        items = asked.column("item").to_numpy()
+        names = pc.unique(asked.column("term")).sort()
+        terms = pc.index_in(asked.column("term"), value_set=names).to_numpy().astype(np.int64)
+        weights = np.zeros(len(names), np.int64)
+        weights[terms] = [weight(documents, df) for df in asked.column("df").to_pylist()]
+        times = asked.column("times").to_numpy()
+        blocks = [(items[b], terms[b], times[b]) for b in _blocks(items, terms)]
+        kept = [_Best(len(np.unique(b[0])), k) for b in blocks]
+
+        def visit(held):
+            shelf = _Shelf(held, names)
+            for block, best in zip(blocks, kept):
+                _visited(_Items(*block, weights), best, shelf, documents, total)
+
+        held, size = [], 0
         for batch in batches:
-            shelf += zip(*(batch.column(c).to_pylist() for c in range(4)))
-            if len(shelf) >= SHELF:
-                visit(shelf)
-                shelf = []
-        if shelf:
-            visit(shelf)
+            held.append(batch)
+            size += batch.num_rows
+            if size >= SHELF:
+                visit(held)
+                held, size = [], 0
+        if size:
+            visit(held)
         out: list[tuple] = []
-        for at, best in kept.items():
-            names = np.unique(blocks[at][0]).tolist()
-            for item, found in zip(names, best.rows):
+        for block, best in zip(blocks, kept):
+            for item, found in zip(np.unique(block[0]).tolist(), best.rows):
                 out += [(item, None if absent else doc, -score) for score, absent, doc in found]
         if out:
             columns = [pa.array(c, pa.int64()) for c in zip(*out)]
@@ -269,17 +302,14 @@ def search(index: DataFrame, items: DataFrame, k: int = 10) -> DataFrame:
     jobs = math.ceil(asked.count() / ITEM_TERMS)
     found = None
     for job in range(jobs):
-        # By hash of the item, so some 2 % more than the bound at most.
+        # By hash of the item, so a few more than the bound at most; one item is never cut.
         part = asked.where(F.pmod(F.xxhash64("item"), F.lit(jobs)) == job).orderBy("item", "term")
-        rows = [tuple(r) for r in part.collect()]
-        weights = {term: weight(documents, df) for _, term, _, df in rows}
-        triples = [(item, term, times) for item, term, times, _ in rows]
         scored = (
             index.where("size(terms) > 0")
             .select("id", "n", "terms", "tfs", "row")
             .repartitionByRange("n", "row")
             .mapInArrow(
-                _scored(triples, weights, documents, total, k), "item long, id long, score long"
+                _scored(part.toArrow(), documents, total, k), "item long, id long, score long"
             )
         )
         found = scored if found is None else found.unionByName(scored)

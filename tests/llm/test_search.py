@@ -3,6 +3,7 @@ import re
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from duefold.llm import multi_index, ranked_search
@@ -185,17 +186,30 @@ def test_one_stratum_several_jobs_and_shelves(spark, monkeypatch):
 
 
 def test_large_sums_stay_exact():
-    rows = [(0, f"t{k}", 10**6) for k in range(50)] + [(1, "t0", 1)]
-    weights = {f"t{k}": 25000 for k in range(50)}
-    blocks = list(ranked_search._blocks(rows))
-    items, terms, times = zip(*blocks[0])
-    block = ranked_search._Items(np.array(items), terms, np.array(times, np.int64), weights)
+    names = pa.array([f"t{k:02}" for k in range(50)])
+    items, terms = np.array([0] * 50 + [1]), np.array([*range(50), 0])
+    times, weights = np.array([10**6] * 50 + [1]), np.full(50, 25000)
+    assert ranked_search._blocks(items, terms) == [slice(0, 51)]
+    block = ranked_search._Items(items, terms, times, weights)
     assert block.counts.dtype == np.int64
     best = ranked_search._Best(2, 3)
-    shelf = [(d, 50, [f"t{k}" for k in range(50)], [1 + d] * 50) for d in range(5)]
-    ranked_search._visited(block, best, shelf, 5, 250)
+    batch = pa.RecordBatch.from_pydict(
+        {
+            "id": pa.array(range(5), pa.int64()), "n": pa.array([50] * 5, pa.int64()),
+            "terms": pa.array([names.to_pylist()] * 5), "tfs": pa.array([[1 + d] * 50 for d in range(5)]),
+        }
+    )
+    ranked_search._visited(block, best, ranked_search._Shelf([batch], names), 5, 250)
     m = ranked_search.normaliser(50, 5, 250)
     expected = sorted(
         ((-50 * 10**6 * 25000 * (10**9 * tf // (1000 * tf + 8 * m)), False, tf - 1) for tf in range(1, 6))
     )[:3]
     assert best.rows[0] == expected
+
+
+def test_blocks_hold_whole_items(monkeypatch):
+    monkeypatch.setattr(ranked_search, "CELLS", 12)
+    items = np.array([0, 0, 0, 1, 1, 2, 3, 3, 3, 3])
+    terms = np.array([0, 1, 2, 2, 3, 3, 4, 5, 6, 7])
+    cuts = ranked_search._blocks(items, terms)
+    assert [set(items[c].tolist()) for c in cuts] == [{0, 1, 2}, {3}]
