@@ -1,12 +1,13 @@
 import hashlib
 import random
 import re
+from collections import Counter
 
 import numpy as np
 import pytest
 import xxhash
 
-from duefold.llm import exact_dedup, passages, simhash
+from duefold.llm import exact_dedup, near_copies, passages, simhash
 from duefold.llm.common import connected, new_path
 from tests.conftest import SMALL
 
@@ -98,7 +99,7 @@ def test_near_copies_go_and_looser_ones_stay(spark):
     group = {i: [f"e{i}" if j == i * 7 % 300 else w for j, w in enumerate(base)] for i in range(1000, 1300)}
     rows += [(i, " ".join(w)) for i, w in group.items()] + [(1500, " ".join(base))]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
-    kept = {r.doc_id for r in simhash.one_of_each(docs).collect()}
+    kept = {r.doc_id for r in near_copies.one_of_each(docs).collect()}
     assert loose <= kept and set(range(12)) <= kept
     assert kept & {*group, 1500} == {1000}
     assert len(near - kept) >= 10
@@ -249,11 +250,85 @@ def test_later_windows_of_the_first_document(spark):
     assert found == {(1, 30, 89), (1, 290, 349), (2, 10, 69)}
 
 
-def test_run_hashes():
-    values = np.array([5, 6, 7, 8, 9, 5, 6, 7, 8, 4], np.uint64)
-    found = passages.run_hashes(values, 4).tolist()
-    assert len(found) == 7 and found[0] == found[5] and len(set(found)) == 6
-    assert len(passages.run_hashes(values, 11)) == 0
+def spans_of(rows):
+    out = {}
+    for r in rows:
+        out.setdefault(r.doc_id, []).append((r.first_word, r.last_word))
+    return out
+
+
+def overlap_by_force(texts, least=46, similarity=0.8):
+    """{(a, b): spans in a} of alike passages, all documents that share enough shingles compared."""
+    arrays = {i: passages.shingles(t.encode()) for i, t in texts.items()}
+    where = {}
+    for i, values in arrays.items():
+        for v in set(values.tolist()):
+            where.setdefault(v, []).append(i)
+    common = Counter()
+    for ids in where.values():
+        for a in ids:
+            for b in ids:
+                if a != b:
+                    common[a, b] += 1
+    return {
+        (a, b): passages.alike_spans(arrays[a], arrays[b], least, similarity)
+        for (a, b), n in common.items()
+        if n >= similarity * least
+    }
+
+
+def test_recall_of_passages_by_band(spark):
+    """Every document with a passage by brute force is found, in each band of similarity."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    texts = {r.doc_id: r.text or "" for r in docs.collect()}
+    found = spans_of(passages.repeated_passages(docs).collect())
+    met, all_ = Counter(), Counter()
+    for (a, _), spans in overlap_by_force(texts).items():
+        for first, last, _, _, jaccard in spans:
+            band = 1.0 if jaccard == 1.0 else 0.9 if jaccard >= 0.9 else 0.8
+            all_[band] += 1
+            covered = max((min(last + 4, y) - max(first, x) + 1 for x, y in found.get(a, [])), default=0)
+            met[band] += covered >= 0.9 * (last + 5 - first)
+    assert all_[0.8] >= 10 and all(met[k] >= 0.9 * all_[k] for k in all_), (met, all_)
+
+
+def test_recall_of_planted_passages(spark):
+    """Passages of 60 to 120 words with words changed, put in or left out, in unlike documents."""
+    r = random.Random(11)
+    rows, planted = [], {}
+    for k in range(150):
+        base = words(r.randrange(60, 121), 5000 + k)
+        copy = list(base)
+        for _ in range(r.randrange(0, 3)):
+            at = r.randrange(len(copy))
+            copy[at : at + 1] = r.choice([["edit"], [], [copy[at], "more"]])
+        spans = [set(passages.shingles(" ".join(x).encode()).tolist()) for x in (base, copy)]
+        jaccard = len(spans[0] & spans[1]) / len(spans[0] | spans[1])
+        rows.append((k, " ".join(words(r.randrange(200), 7000 + k) + base + words(30, 8000 + k))))
+        rows.append((1000 + k, " ".join(words(20, 9000 + k) + copy + words(r.randrange(200), 10000 + k))))
+        planted[k] = jaccard
+    found = spans_of(passages.repeated_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    for lo, hi in ((0.8, 0.9), (0.9, 1.01)):
+        band = [k for k, j in planted.items() if lo <= j < hi]
+        met = sum(k in found and 1000 + k in found for k in band)
+        assert len(band) >= 15 and met >= 0.9 * len(band), (met, len(band))
+    # What is found is alike: no document of a pair below 0.7.
+    assert not [k for k, j in planted.items() if j < 0.5 and k in found]
+
+
+def test_passages_of_odd_rows(spark):
+    shared = words(60, 61)
+    lesser, larger = "a " + " ".join(shared), "zz " + " ".join(words(80, 62))
+    rows = [
+        (1, " ".join(shared) + " end"), (2, "start " + " ".join(shared)), (None, " ".join(shared)),
+        (5, lesser), (5, larger), (6, " ".join(shared)), (6, " ".join(shared)), (7, None), (8, ""),
+    ]
+    full = [r + ("x", 1, 2.0, "y") for r in rows]
+    schema = "doc_id long, text string, value string, doc int, similarity double, class_id string"
+    docs = spark.createDataFrame(full, schema)
+    found = sorted(tuple(r) for r in passages.repeated_passages(docs).collect())
+    # Of the texts under 5 the larger one counts, which has no partner.
+    assert found == [(1, 0, 59, 1, 2, 1.0), (2, 1, 60, 1, 1, 1.0), (6, 0, 59, 1, 1, 1.0)]
 
 
 def test_equal_fingerprints_of_unlike_texts_are_all_compared(spark):
@@ -263,32 +338,105 @@ def test_equal_fingerprints_of_unlike_texts_are_all_compared(spark):
     rows = [(1, f"{line} {' '.join(words(60, 33))}"), (2, f"{line} {' '.join(body)}")]
     rows += [(3, f"{line} {' '.join(body[:-1])} new"), (4, f"{line} {' '.join(words(60, 34))}")]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
-    same = simhash.fingerprints(docs, simhash.SEARCH_WORDS, prints=simhash.PRINTS)
-    assert same.select("salt", "fp").distinct().count() == simhash.PRINTS
-    assert {r.doc_id for r in simhash.one_of_each(docs).collect()} == {1, 2, 4}
+    prints = [near_copies.prints_of(text.encode()) for _, text in rows]
+    assert len({tuple(single) for _, single in prints}) == 1
+    assert max((a ^ b).bit_count() for a, _ in prints for b, _ in prints) <= near_copies.WIDE
+    assert {r.doc_id for r in near_copies.one_of_each(docs).collect()} == {1, 2, 4}
 
 
-def test_checked_links_equal_brute_force(spark):
-    """Edited copies of a few texts around one fingerprint: links connect what all alike pairs connect."""
+def near_by_force(texts, similarity=0.8):
+    """Links (a, b) of alike texts that both meet another one in the search, everything compared."""
+    prints = {i: near_copies.prints_of(t.encode()) for i, t in texts.items()}
+    sets = {i: set(simhash.shingle_hashes(t.encode(), 5).tolist()) or {0} for i, t in texts.items()}
+    where = {}
+    for i, s in sets.items():
+        for v in s:
+            where.setdefault(v, []).append(i)
+    common = Counter((a, b) for ids in where.values() for a in ids for b in ids if a < b)
+    alike = {
+        (a, b): n / (len(sets[a]) + len(sets[b]) - n)
+        for (a, b), n in common.items()
+        if n >= similarity * (len(sets[a]) + len(sets[b]) - n)
+    }
+    meets = {
+        (a, b)
+        for a in texts
+        for b in texts
+        if a < b
+        and (prints[a][0] ^ prints[b][0]).bit_count() <= near_copies.WIDE
+        and any((x ^ y).bit_count() <= 3 for x, y in zip(prints[a][1], prints[b][1]))
+    }
+    members = {i for pair in meets for i in pair}
+    wide = {p for p in alike if (prints[p[0]][0] ^ prints[p[1]][0]).bit_count() <= near_copies.WIDE}
+    return alike, [p for p in wide if set(p) <= members]
+
+
+def test_near_copies_equal_brute_force(spark, monkeypatch):
+    """Groups of edited copies, chains of edits, unlike texts; keys in several blocks."""
+    monkeypatch.setattr(near_copies, "BLOCK", 8)
     r = random.Random(5)
-    texts, prints = {}, {}
-    for i in range(60):
-        base = words(80, 40 + i % 7)
-        for _ in range(r.randrange(3)):
-            base[r.randrange(80)] = f"e{i}"
-        texts[i] = " ".join(base)
-        prints[i] = sum(1 << b for b in r.sample(range(64), r.randrange(3)))
-    spans = {i: set(simhash.shingle_hashes(t.encode(), 5).tolist()) for i, t in texts.items()}
-    alike = [
-        (a, b) for a in texts for b in texts
-        if a < b and (prints[a] ^ prints[b]).bit_count() <= 3
-        and len(spans[a] & spans[b]) >= 0.8 * len(spans[a] | spans[b])
+    texts = {}
+    for group in range(6):
+        base = words(120, 40 + group)
+        for k in range(12):
+            texts[100 * group + k] = " ".join(base)
+            # A chain drifts away from its start, a star comes back to it.
+            copy = base if group % 2 else list(base)
+            for _ in range(r.randrange(4)):
+                copy[r.randrange(120)] = f"e{group}x{k}"
+            texts[100 * group + k] = " ".join(copy)
+    for k in range(40):
+        texts[1000 + k] = " ".join(words(r.randrange(1, 200), 500 + k))
+    texts |= {2000: "", 2001: " \n", 2002: "one", 2003: "one two", 2004: "one"}
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(6)
+    _, links = near_by_force(texts)
+    kept = {x.doc_id for x in near_copies.one_of_each(docs).collect()}
+    assert kept == set(components(texts, links).values()) and len(kept) < len(texts) - 40
+
+
+def test_links_equal_brute_force_where_keys_are_common(spark):
+    """Sets of few different shingles, so that classes are large and unlike sets share them."""
+    r = random.Random(7)
+    sets = {i: sorted(r.sample(range(14), r.randrange(3, 13))) for i in range(90)}
+    frame = spark.createDataFrame([(i, 0, s) for i, s in sets.items()], "node long, wide long, hashes array<long>")
+    found = [(x.a, x.b) for x in near_copies.links_of(frame, 0.8).collect()]
+    expected = [
+        (a, b) for a in sets for b in sets
+        if a < b and len(set(sets[a]) & set(sets[b])) >= 0.8 * len(set(sets[a]) | set(sets[b]))
     ]
-    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
-    rows = [(i, 0, x - (1 << 64) if x >> 63 else x) for i, x in prints.items()]
-    members = simhash.near_members(spark.createDataFrame(rows, "id long, salt long, fp long"))
-    links = simhash.checked_links(docs, members, 5, 0.8)
-    assert components(texts, [(r.a, r.b) for r in links.collect()]) == components(texts, alike)
+    assert {tuple(sorted(x)) for x in found} <= set(expected)
+    assert components(sets, found) == components(sets, expected)
+
+
+def test_recall_of_the_search_by_band(spark):
+    """Of all pairs at 0.8 or more, found without any search, at least 0.9 in each band are linked."""
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet").select("doc_id", "text")
+    texts = {}
+    for x in docs.collect():
+        key = lower(x.text)
+        texts[key] = max(texts.get(key, -1), x.doc_id)
+    texts = {i: t for t, i in texts.items()}
+    sets = {i: set(simhash.shingle_hashes(t.encode(), 5).tolist()) for i, t in texts.items()}
+    where = {}
+    for i, s in sets.items():
+        for v in sorted(s)[: len(s) - int(0.8 * len(s)) + 1]:
+            where.setdefault(v, []).append(i)
+    pairs = {(a, b) for ids in where.values() if len(ids) < 3000 for a in ids for b in ids if a < b}
+    prints = {}
+    met, all_ = Counter(), Counter()
+    for a, b in pairs:
+        n = len(sets[a] & sets[b])
+        jaccard = n / max(1, len(sets[a]) + len(sets[b]) - n)
+        if jaccard >= 0.8:
+            band = 0.9 if jaccard >= 0.9 else 0.85 if jaccard >= 0.85 else 0.8
+            for i in (a, b):
+                prints.setdefault(i, near_copies.prints_of(texts[i].encode()))
+            (wide_a, x), (wide_b, y) = prints[a], prints[b]
+            all_[band] += 1
+            met[band] += (wide_a ^ wide_b).bit_count() <= near_copies.WIDE and any(
+                (p ^ q).bit_count() <= 3 for p, q in zip(x, y)
+            )
+    assert all_[0.8] > 20 and all(met[k] >= 0.9 * all_[k] for k in all_), (met, all_)
 
 
 def test_texts_under_one_id_are_judged_each(spark):
@@ -297,5 +445,5 @@ def test_texts_under_one_id_are_judged_each(spark):
     clean = {"a": "zz " + " ".join(words(50, 52)), "b": "aa " + " ".join(words(50, 53))}
     rows = [(1, " ".join(base)), (5, copy), (5, clean["a"]), (5, clean["b"]), (5, clean["b"]), (None, copy)]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
-    kept = sorted((r.doc_id or 0, r.text) for r in simhash.one_of_each(docs).collect())
+    kept = sorted((r.doc_id or 0, r.text) for r in near_copies.one_of_each(docs).collect())
     assert kept == sorted([(0, copy), rows[0], rows[2], rows[3], rows[4]])

@@ -19,7 +19,7 @@ from duefold.llm.queries import ORACLES, QUERIES
 from duefold.llm.settings import TOKENIZER
 from tests.conftest import SMALL
 
-from .test_dedup import components
+from .test_dedup import components, near_by_force
 
 
 @pytest.fixture(scope="module")
@@ -90,20 +90,8 @@ def test_pipeline_keeps_clean_documents(spark):
     once = corpus_pipeline.exact(spark, known, SMALL)
     assert once.count() == known.selectExpr("sha2(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), 256)").distinct().count()
     near = corpus_pipeline.near(spark, once, SMALL)
-    texts = {r.doc_id: r.text.encode() for r in once.collect()}
-    prints, sets = {}, {}
-    for i, text in texts.items():
-        hashes = simhash.shingle_hashes(text, simhash.SEARCH_WORDS)
-        prints[i] = [simhash.fingerprint(simhash.rehashed(hashes, k)) for k in range(simhash.PRINTS)]
-        sets[i] = set(simhash.shingle_hashes(text, 5).tolist())
-    links = [
-        (a, b)
-        for a in prints
-        for b in prints
-        if a < b
-        and any((x ^ y).bit_count() <= 3 for x, y in zip(prints[a], prints[b]))
-        and len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])
-    ]
-    expected = set(components(prints, links).values())
+    texts = {r.doc_id: r.text for r in once.collect()}
+    _, links = near_by_force(texts)
+    expected = set(components(texts, links).values())
     assert {r.doc_id for r in near.collect()} == expected and len(expected) == near.count()
     assert QUERIES["pipeline"](spark, SMALL).count() > 0
