@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from duefold.llm import exact_dedup, language_id, mixing, packing, simhash
+from duefold.llm import exact_dedup, language_id, mixing, near_copies, packing
 from duefold.llm.common import new_path, workers_find_package
 from duefold.llm.settings import TOKENIZER
 
@@ -23,7 +23,7 @@ def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies."""
     workers_find_package(spark)
-    return simhash.one_of_each(docs)
+    return near_copies.one_of_each(docs)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
