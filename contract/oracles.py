@@ -207,6 +207,16 @@ def _least_squares() -> str:
 
 FITTED = _least_squares()
 
+# The shortest weights of w1 + 2 d = b1, w2 + s = b2 and w3 + s = b3: a fifth of b1 and twice that for
+# the doubled feature; a third of b2 + b3 for the sum, the rest for its two parts.
+_MIN_NORM = """shared AS (SELECT *, b1 / 5 AS fifth, (b2 + b3) / 3 AS third FROM weights)
+SELECT 'intercept' AS term, round(b0, 3) AS weight FROM shared
+UNION ALL SELECT 'doubled', round(2 * fifth, 3) FROM shared
+UNION ALL SELECT 'summed', round(third, 3) FROM shared""" + "".join(
+    f" UNION ALL SELECT '{f}', round({ {1: 'fifth', 2: 'b2 - third', 3: 'b3 - third'}.get(j, f'b{j}')}, 3) FROM shared"
+    for j, f in enumerate(FEATURES, start=1)
+)
+
 _SCORES = f"""WITH {FITTED},
 centre AS (SELECT avg(price) AS m FROM predicted)
 SELECT count(*) AS n,
@@ -323,6 +333,15 @@ FROM valid GROUP BY disbursement_day""",
     "maturity": f"WITH {MATURITY} SELECT * FROM matured",
     "maturity_report": _MATURITY_REPORT,
     "worst_installments": f"WITH {WORST} SELECT * FROM worst",
+    "worst_installments_in_one_scan": f"WITH {WORST} SELECT * FROM worst",
+    "default_by_month_pair": f"""WITH {TIMING}, both_ AS (SELECT * FROM timing JOIN labels_ USING (credit_id)),
+counts AS (
+  SELECT disbursement_month, due_month, CAST(grouping(disbursement_month, due_month) AS INTEGER) AS level,
+         count(*) AS n_credits, count(label) AS n_labelled, count(*) FILTER (WHERE label = 0) AS n_default
+  FROM both_
+  GROUP BY GROUPING SETS ((disbursement_month, due_month), (disbursement_month), (due_month), ())
+)
+SELECT *, round(100.0 * n_default / nullif(n_labelled, 0), 6) AS default_rate FROM counts""",
     "default_by_installment": f"WITH {WORST} SELECT * FROM rates",
     "default_by_installment_supported": f"WITH {WORST} SELECT * FROM rates WHERE n_credits >= 50",
     "missing_share": f"WITH {INSTALLMENTS} "
@@ -386,6 +405,7 @@ SELECT review_id, substr(md5(review_id || '|3'), 1, 8) < '33333333' AS is_test F
         f" UNION ALL SELECT '{f}', round(b{j}, 3) FROM weights"
         for j, f in enumerate(FEATURES, start=1)
     ),
+    "ols_min_norm": f"WITH {FITTED}, {_MIN_NORM}",
     "ols_predictions": f"""WITH {FITTED}
 SELECT review_id, round(price, 3) AS price, round(prediction, 3) AS prediction FROM predicted""",
     "ols_scores": _SCORES,
@@ -399,5 +419,6 @@ SELECT review_id, round(price, 3) AS price, round(prediction, 3) AS prediction F
     "delimited_round_trip": f"WITH {OPERATORS} SELECT * FROM operators",
     "parquet_round_trip": _MODEL_ROWS,
     "table_round_trip": f"WITH {CLEAN_VEHICLES} {_VEHICLE_ROWS} UNION ALL {_VEHICLE_ROWS}",
+    "versioned_model_table": _MODEL_ROWS,
     "report_round_trip": _MATURITY_REPORT,
 }

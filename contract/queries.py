@@ -122,6 +122,14 @@ def worst_installments(spark, folder):
     return W.worst_installments(stand_ins.installments(spark, folder))
 
 
+def worst_installments_in_one_scan(spark, folder):
+    return W.worst_installments(stand_ins.installments(spark, folder), in_one_scan=True)
+
+
+def default_by_month_pair(spark, folder):
+    return rounded(TI.default_by_month_pair(_timing(spark, folder)))
+
+
 def default_by_installment(spark, folder):
     return rounded(W.default_by_worst_installment(stand_ins.installments(spark, folder)))
 
@@ -257,6 +265,21 @@ def ols_fit(spark, folder):
     return rounded(R.coefficients(model, R.ModelOptions().features, spark), 3)
 
 
+def ols_min_norm(spark, folder):
+    """With one feature doubled and one the sum of two, so that many weights fit equally well."""
+    options = R.ModelOptions()
+    first, second, third = options.features[:3]
+    table = _model_table(spark, folder).select(*KEYS, *options.features, options.target)
+    table = written(
+        table.withColumn("doubled", 2 * F.col(first)).withColumn("summed", F.col(second) + F.col(third)),
+        "model-table",
+    )
+    wide = R.ModelOptions(features=(*options.features, "doubled", "summed"))
+    cut = R.split_point(table, KEYS, wide.test_size, wide.seed).first().cut
+    train = R.split(table, KEYS, seed=wide.seed, cut=cut or "").where("NOT is_test")
+    return rounded(R.linear_weights(R.fit_min_norm(train, wide), spark), 3)
+
+
 def ols_predictions(spark, folder):
     _, predicted = _fitted(spark, folder)
     return rounded(predicted.select("review_id", "price", "prediction"), 3)
@@ -362,6 +385,14 @@ def table_round_trip(spark, folder):
     return found
 
 
+def versioned_model_table(spark, folder):
+    """Two versions of the model table, the older one read back."""
+    table, path = _model_table(spark, folder), new_path(spark, "model-versions")
+    older = writers.write_version(table, path)
+    writers.write_version(table.where("price > 5000"), path)
+    return rounded(writers.read_version(spark, path, older))
+
+
 def report_round_trip(spark, folder):
     report = maturity_report(spark, folder)
     written = writers.write_report(report, new_path(spark, "maturity-report"))
@@ -385,6 +416,8 @@ QUERIES: dict[str, Query] = {
         maturity,
         maturity_report,
         worst_installments,
+        worst_installments_in_one_scan,
+        default_by_month_pair,
         default_by_installment,
         default_by_installment_supported,
         missing_share,
@@ -405,6 +438,7 @@ QUERIES: dict[str, Query] = {
         split,
         split_exact,
         ols_fit,
+        ols_min_norm,
         ols_predictions,
         ols_scores,
         model_round_trip,
@@ -417,6 +451,7 @@ QUERIES: dict[str, Query] = {
         delimited_round_trip,
         parquet_round_trip,
         table_round_trip,
+        versioned_model_table,
         report_round_trip,
     )
 }

@@ -13,6 +13,14 @@ def named(name: str) -> Column:
     return F.col(quoted(name))
 
 
+def unused(name: str, columns) -> str:
+    """A name like this one that none of the columns has, letter case aside."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def or_raise(text: Column, value: Column, what: str) -> Column:
     """The value parsed from a text; an error if there is a text but no value.
 

@@ -3,9 +3,8 @@
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
-from duefold.functions import is_true, parse_money, parse_percentage
+from duefold.functions import is_true, named, parse_money, parse_percentage
 from duefold.operators.missing import complete_rows
 
 
@@ -17,8 +16,8 @@ def clean_operators(
 ) -> DataFrame:
     """Approval flags to booleans, ratings in percent to fractions."""
     return operators.withColumns(
-        {c: is_true(F.col(c)) for c in flags}
-        | {c: parse_percentage(F.col(c), lenient) for c in percentages}
+        {c: is_true(named(c)) for c in flags}
+        | {c: parse_percentage(named(c), lenient) for c in percentages}
     )
 
 
@@ -30,7 +29,7 @@ def clean_vehicles(
 ) -> DataFrame:
     """Completion flags to booleans, prices to numbers."""
     return vehicles.withColumns(
-        {c: is_true(F.col(c)) for c in flags} | {c: parse_money(F.col(c), lenient) for c in money}
+        {c: is_true(named(c)) for c in flags} | {c: parse_money(named(c), lenient) for c in money}
     )
 
 

@@ -3,6 +3,7 @@
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from duefold.functions import named
 from duefold.operators.missing import nan_to_null
 
 
@@ -14,9 +15,9 @@ def histogram(
     ``copies`` names a column telling how many rows an input row stands for. When all values
     are equal the range is widened by a half on both sides; without values it is 0 to 1.
     """
-    weight = F.lit(1) if copies is None else F.col(copies)
+    weight = F.lit(1) if copies is None else named(copies)
     values = nan_to_null(
-        df.select(F.col(column).cast("double").alias("x"), weight.cast("bigint").alias("w"))
+        df.select(named(column).cast("double").alias("x"), weight.cast("bigint").alias("w"))
     ).where(F.col("x").isNotNull())
 
     # One row: least and greatest value.

@@ -77,4 +77,4 @@ def preview(
     df: DataFrame, columns: Sequence[str], order: Sequence[str], rows: int = 3
 ) -> DataFrame:
     """The first rows of the chosen columns in a stated order."""
-    return df.orderBy(*order).limit(rows).select(*columns)
+    return df.orderBy(*map(named, order)).limit(rows).select(*map(named, columns))

@@ -2,7 +2,9 @@
 
 from collections.abc import Sequence
 from dataclasses import dataclass, field
+from itertools import combinations_with_replacement
 
+import numpy as np
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.regression import LinearRegression
@@ -11,6 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from duefold.functions import absolute_error, named, squared_error
+from duefold.functions.names import unused
 
 
 @dataclass(frozen=True)
@@ -34,8 +37,8 @@ class ModelOptions:
     )
 
 
-# Hex digits of a prefix. Each of the two levels orders a million prefixes at most, and of
-# a trillion rows one hash on average is left under a prefix of both.
+# Hex digits of a prefix. The first level orders a million prefixes at most, and of a trillion
+# rows a million hashes on average are left under one of them for the second.
 _PREFIX = 5
 
 
@@ -44,9 +47,9 @@ def _check_share(test_size: float) -> None:
         raise ValueError(f"the test share must lie between 0 and 1, not {test_size}")
 
 
-def _with_hash(df: DataFrame, keys: Sequence[str], seed: int) -> DataFrame:
+def _with_hash(df: DataFrame, keys: Sequence[str], seed: int, name: str = "_hash") -> DataFrame:
     text = [F.coalesce(named(k).cast("string"), F.lit("")) for k in keys]
-    return df.withColumn("_hash", F.md5(F.concat_ws("|", *text, F.lit(str(seed)))))
+    return df.withColumn(name, F.md5(F.concat_ws("|", *text, F.lit(str(seed)))))
 
 
 def split_point(
@@ -54,19 +57,19 @@ def split_point(
 ) -> DataFrame:
     """The greatest hash on the test side when it holds ``ceil(test_size * rows)`` rows.
 
-    One row with one text, null when the test side is empty. Three narrow passes over the keys:
-    counts per hash prefix, counts per longer prefix under the one that holds the cut, then
-    the few hashes under that one. What one task orders has a bound at both levels.
+    One row with one text, null when the test side is empty. Two narrow passes over the keys:
+    counts per hash prefix, then the hashes under the prefix that holds the cut.
     """
     _check_share(test_size)
-    hashed = _with_hash(df.select(*map(named, keys)), keys, seed).select("_hash")
+    name = unused("_hash", keys)
+    hashed = _with_hash(df.select(*map(named, keys)), keys, seed, name).select(
+        named(name).alias("_hash")
+    )
     wanted = F.ceil(F.lit(float(test_size)) * F.col("total"))
     total = F.sum("held").over(Window.partitionBy())
     held = _held(hashed, _PREFIX).withColumn("total", total).withColumn("missing", wanted)
     first = _cut(held)
     under = hashed.join(F.broadcast(first), F.substring("_hash", 1, _PREFIX) == F.col("at"))
-    second = _cut(_held(under, 2 * _PREFIX, "missing"))
-    under = hashed.join(F.broadcast(second), F.substring("_hash", 1, 2 * _PREFIX) == F.col("at"))
     return _cut(_held(under, 32, "missing")).agg(F.min("at").alias("cut"))
 
 
@@ -110,16 +113,20 @@ def split(
     size is right up to chance.
     """
     _check_share(test_size)
-    hashed = _with_hash(df, keys, seed)
+    # Temporary names that no column of the caller has.
+    name, cut_name = unused("_hash", df.columns), unused("cut", df.columns)
+    hashed, digest = _with_hash(df, keys, seed, name), F.col(name)
     if cut is not None:
-        is_test = F.col("_hash") <= F.lit(cut)
+        is_test = digest <= F.lit(cut)
     elif exact:
-        hashed = hashed.crossJoin(F.broadcast(split_point(df, keys, test_size, seed)))
-        is_test = F.coalesce(F.col("_hash") <= F.col("cut"), F.lit(False))
+        point = split_point(df, keys, test_size, seed).withColumnRenamed("cut", cut_name)
+        hashed = hashed.crossJoin(F.broadcast(point))
+        is_test = F.coalesce(digest <= F.col(cut_name), F.lit(False))
     else:
-        number = F.conv(F.substring("_hash", 1, 8), 16, 10).cast("bigint")
+        number = F.conv(F.substring(digest, 1, 8), 16, 10).cast("bigint")
         is_test = number < F.lit(round(test_size * 16**8))
-    return hashed.withColumn("is_test", is_test).select(*df.columns, "is_test")
+    kept = [named(c) for c in df.columns if c != "is_test"]
+    return hashed.select(*kept, is_test.alias("is_test"))
 
 
 def fit(train: DataFrame, options: ModelOptions = ModelOptions()) -> PipelineModel:
@@ -146,6 +153,101 @@ def coefficients(model: PipelineModel, features: Sequence[str], spark) -> DataFr
     return spark.createDataFrame(rows, schema)
 
 
+@dataclass(frozen=True)
+class LinearFit:
+    """Weights of a linear model, and how many of its features are independent."""
+
+    features: tuple[str, ...]
+    weights: tuple[float, ...]
+    intercept: float
+    rank: int
+    n: int
+
+
+#: Moments that one pass sums.
+_MOMENTS = 1000
+#: Share of the largest eigenvalue of the correlations below which a direction counts as none.
+_TOLERANCE = 1e-10
+
+
+def co_moments(df: DataFrame, columns: Sequence[str]) -> tuple[int, np.ndarray, np.ndarray]:
+    """(n, means, covariances) of the rows that have all columns, NaN counting as missing.
+
+    Moments are summed around running means and merged, never as raw squares, which would
+    cancel. One pass up to some 40 columns, beyond that one for every thousand pairs. The driver
+    receives one number per pair of columns, however many rows there are.
+    """
+    numbers = df.select(*[named(c).cast("double").alias(f"x{i}") for i, c in enumerate(columns)])
+    names = numbers.columns
+    for name in names:
+        numbers = numbers.where(F.col(name).isNotNull() & ~F.isnan(name))
+    pairs = list(combinations_with_replacement(range(len(names)), 2))
+    matrix = np.zeros((len(names), len(names)))
+    for start in range(0, max(len(pairs), 1), _MOMENTS):
+        part = pairs[start : start + _MOMENTS]
+        row = numbers.agg(
+            F.count(F.lit(1)),
+            *[F.avg(c) for c in names],
+            *[F.covar_pop(names[i], names[j]) for i, j in part],
+        ).first()
+        for (i, j), value in zip(part, row[1 + len(names) :]):
+            matrix[i, j] = matrix[j, i] = value or 0.0
+    return row[0], np.array([v or 0.0 for v in row[1 : 1 + len(names)]]), matrix
+
+
+def minimum_norm(covariances: np.ndarray, with_target: np.ndarray) -> tuple[np.ndarray, int]:
+    """The least-squares weights of the smallest length, and the rank.
+
+    Directions without spread are found among the correlations, so features of any scale do;
+    of all weights that fit equally well the shortest are those with no part along these
+    directions in the features' own units.
+    """
+    spread = np.sqrt(np.diag(covariances))
+    varies = spread > 0
+    weights = np.zeros(len(spread))
+    scale = spread[varies]
+    if not varies.any():
+        return weights, 0
+    values, vectors = np.linalg.eigh(covariances[np.ix_(varies, varies)] / np.outer(scale, scale))
+    kept = values > _TOLERANCE * values.max()
+    inside, outside = vectors[:, kept], vectors[:, ~kept]
+    found = inside @ ((inside.T @ (with_target[varies] / scale)) / values[kept]) / scale
+    if outside.size:
+        # An orthonormal basis of the directions along which predictions do not change.
+        free, _ = np.linalg.qr(outside / scale[:, None])
+        found -= free @ (free.T @ found)
+    weights[varies] = found
+    return weights, int(kept.sum())
+
+
+def fit_min_norm(train: DataFrame, options: ModelOptions = ModelOptions()) -> LinearFit:
+    """Ordinary least squares with an intercept; with collinear features the shortest weights.
+
+    The features' covariances and those with the target are summed by Spark; the driver solves a
+    system as large as the number of features squared. Rows that miss a feature or the target are left out. A
+    feature without spread has weight zero. Without rows all weights are zero and the rank is 0.
+    """
+    columns = [*options.features, options.target]
+    n, means, matrix = co_moments(train, columns)
+    weights, rank = minimum_norm(matrix[:-1, :-1], matrix[:-1, -1])
+    intercept = float(means[-1] - means[:-1] @ weights)
+    return LinearFit(tuple(options.features), tuple(map(float, weights)), intercept, rank, n)
+
+
+def linear_weights(fitted: LinearFit, spark) -> DataFrame:
+    """Term and weight, the intercept first."""
+    rows = [("intercept", fitted.intercept), *zip(fitted.features, fitted.weights, strict=True)]
+    return spark.createDataFrame(rows, "term string, weight double")
+
+
+def predict_linear(fitted: LinearFit, df: DataFrame, prediction: str = "prediction") -> DataFrame:
+    """Add the prediction, one expression; null where a feature is missing."""
+    total = F.lit(fitted.intercept)
+    for name, weight in zip(fitted.features, fitted.weights, strict=True):
+        total = total + F.nanvl(named(name).cast("double"), F.lit(None)) * F.lit(weight)
+    return df.withColumn(prediction, total)
+
+
 def predict(model: PipelineModel, df: DataFrame) -> DataFrame:
     """Add ``prediction``."""
     return model.transform(df).drop("features")

@@ -41,22 +41,32 @@ def summary(
     value, copies = F.col("value"), F.col("copies")
     aggregates = [
         F.sum("copies").alias("count"),
-        (F.sum(value * copies) / F.sum("copies")).alias("mean"),
         F.min("value").alias("min"),
         F.max("value").alias("max"),
         F.sum(F.when(value < 0, copies).otherwise(0)).alias("n_negative"),
     ]
+    # Deviations from the mean, not sums of squares, which would cancel, and all in one pass: rows by
+    # moments that merge; the few different values, which ``percentile`` gathers too, by their list.
     if small_domain:
-        aggregates.append(F.percentile("value", points, copies).alias("quantiles"))
+        aggregates += [
+            F.collect_list(F.struct("value", "copies")).alias("held"),
+            F.percentile("value", points, copies).alias("quantiles"),
+        ]
+    else:
+        aggregates += [F.avg("value").alias("mean"), F.stddev_samp("value").alias("std")]
     totals = counts.groupBy("column").agg(*aggregates)
-    # Deviations from the mean, not sums of squares, which would cancel. ``totals`` has a row
-    # per column, so it is safe to broadcast.
-    spread = (
-        counts.join(F.broadcast(totals.select("column", "mean")), "column")
-        .groupBy("column")
-        .agg(F.sum(copies * (value - F.col("mean")) * (value - F.col("mean"))).alias("squares"))
-    )
-    parts = [totals, spread]
+    if small_domain:
+        zero = F.lit(0.0)
+        total = F.aggregate("held", zero, lambda t, x: t + x["value"] * x["copies"])
+        totals = totals.withColumn("mean", total / F.col("count"))
+        squares = F.aggregate(
+            "held",
+            zero,
+            lambda t, x: t + x["copies"] * (x["value"] - F.col("mean")) * (x["value"] - F.col("mean")),
+        )
+        spread = F.sqrt(squares / F.nullif(F.col("count") - 1, F.lit(0)))
+        totals = totals.withColumn("std", spread).drop("held")
+    parts = [totals]
     if not small_domain:
         parts.append(exact_quantiles(melted, "value", points, ["column"]))
 
@@ -66,10 +76,9 @@ def summary(
     wide = names
     for part in parts:
         wide = wide.join(F.broadcast(part), "column", "left")
-    deviation = F.sqrt(F.col("squares") / F.nullif(F.col("count") - 1, F.lit(0)))
     numbers = {
         "mean": F.col("mean"),
-        "std": deviation,
+        "std": F.col("std"),
         "min": F.col("min"),
         **{percentile_name(p): F.col("quantiles")[i] for i, p in enumerate(points)},
         "max": F.col("max"),

@@ -3,7 +3,7 @@
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from duefold.functions import day_of_month, elapsed_days, month_gap, month_start, named
+from duefold.functions import day_of_month, elapsed_days, month_gap, month_start, named, percentage
 from duefold.operators.histogram import histogram
 from duefold.operators.quantiles import quantiles_from_counts, value_counts
 from duefold.operators.summary import summary
@@ -54,6 +54,28 @@ def negative_gaps(timing: DataFrame) -> DataFrame:
     return timing.where(F.col("days_to_due") < 0)
 
 
+def default_by_month_pair(timing: DataFrame) -> DataFrame:
+    """Default rates by month of disbursement and month of first payment, with all margins.
+
+    Cells, both margins and the total come from one aggregation by grouping sets. ``level`` tells
+    them apart (0 cell, 1 all due months, 2 all disbursement months, 3 total), since a month
+    can be null for a credit without that date, too. Rates are shares of the labelled credits.
+    """
+    pair = [F.col("disbursement_month"), F.col("due_month")]
+    sets = [pair, pair[:1], pair[1:], []]
+    return (
+        timing.groupingSets(sets, *pair)
+        .agg(
+            F.grouping_id().cast("int").alias("level"),
+            F.count(F.lit(1)).alias("n_credits"),
+            F.count("label").alias("n_labelled"),
+            F.count_if(F.col("label") == 0).alias("n_default"),
+        )
+        .withColumn("default_rate", percentage(F.col("n_default"), F.col("n_labelled")))
+        .orderBy("level", "disbursement_month", "due_month")
+    )
+
+
 def _gap_limit(counts: DataFrame, upper: float) -> DataFrame:
     limit = quantiles_from_counts(counts, [upper])
     return limit.select(F.col("quantiles")[0].alias("gap_limit"))

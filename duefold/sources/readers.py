@@ -123,7 +123,7 @@ def read_parquet(
     spark: SparkSession, path: str, columns: Sequence[str] | None = None
 ) -> DataFrame:
     df = spark.read.parquet(path)
-    return nan_to_null(df if columns is None else df.select(*columns))
+    return nan_to_null(df if columns is None else df.select(*map(named, columns)))
 
 
 def read_table(
@@ -136,4 +136,4 @@ def read_table(
     df = spark.read.table(name)
     if columns is None:
         columns = df.columns
-    return df.select(*index, *[c for c in columns if c not in index])
+    return df.select(*map(named, index), *[named(c) for c in columns if c not in index])

@@ -9,14 +9,16 @@ from pyspark.sql import functions as F
 from duefold import session
 from duefold.functions import parse_money, parse_percentage, parse_timestamp
 from duefold.operators import credits as C
+from duefold.operators import features as FE
 from duefold.operators import profile as P
 from duefold.operators import regression as R
 from duefold.operators import summary as S
 from duefold.operators import tables as TA
 from duefold.operators import timing as TI
 from duefold.operators import worst as W
+from duefold.operators.histogram import histogram
 from duefold.sources import stand_ins
-from duefold.sources.readers import read_delimited, read_typed_csv
+from duefold.sources.readers import read_delimited, read_parquet, read_typed_csv
 from duefold.sources.writers import write_csv
 
 from .conftest import SMALL
@@ -169,3 +171,34 @@ def test_no_table_name_is_left(spark):
     found = QUERIES["table_round_trip"](spark, SMALL)
     assert not [t for t in spark.catalog.listTables() if t.name.startswith("vehicles_")]
     assert found.count() > 0
+
+
+NAMES = ["k.k", "a.x", "t.t", "_hash", "cut", "peak", "peak_key", "part", "rank", "x", "value", "column"]
+
+
+def odd_names(spark):
+    rows = [("k", 1.0, "5%", "mine", 1, 2, 3, 4, 5, 6, 7, 8), ("k", 3.0, "10%", "own", 1, 2, 3, 4, 5, 6, 7, 8)]
+    types = ["string", "double", "string", "string", *["int"] * 8]
+    return spark.createDataFrame(rows, ", ".join(f"`{n}` {t}" for n, t in zip(NAMES, types)))
+
+
+def test_operators_on_names_of_all_kinds(spark, tmp_path):
+    df = odd_names(spark)
+    for find in (W.rows_at_group_maximum, W.rows_at_group_maximum_in_one_scan):
+        assert [tuple(r) for r in find(df, "k.k", "a.x").collect()] == [tuple(df.collect()[1])]
+    for options in ({}, {"exact": False}, {"cut": "f" * 32}):
+        back = R.split(df, ["a.x"], 0.5, **options)
+        assert back.columns == [*NAMES, "is_test"]
+        assert sorted(r._hash for r in back.collect()) == ["mine", "own"]
+    assert P.preview(df, ["a.x", "_hash"], ["a.x"], 1).first() == (1.0, "mine")
+    assert histogram(df, "a.x", 2).agg(F.sum("n")).first()[0] == 2
+    cleaned = FE.clean_operators(df, flags=["_hash"], percentages=["t.t"]).collect()
+    assert sorted(r["t.t"] for r in cleaned) == [0.05, 0.1]
+    prices = spark.createDataFrame([("$1,234.0", "t")], "`p.p` string, `f.f` string")
+    assert tuple(FE.clean_vehicles(prices, flags=["f.f"], money=["p.p"]).first()) == (1234.0, True)
+    df.write.parquet(str(tmp_path / "p"))
+    assert read_parquet(spark, str(tmp_path / "p"), ["k.k", "cut"]).columns == ["k.k", "cut"]
+    options = R.ModelOptions(target="a.x", features=("x", "cut"))
+    fitted = R.fit_min_norm(df, options)
+    assert fitted.rank == 0 and fitted.intercept == 2.0 and fitted.n == 2
+    assert {r.prediction for r in R.predict_linear(fitted, df).collect()} == {2.0}

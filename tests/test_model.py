@@ -156,6 +156,52 @@ def test_collinear_features_still_predict(spark):
     assert R.score(R.predict(R.fit(df, options), df), "y").collect()[0].max_error < 1e-4
 
 
+@pytest.mark.parametrize("scale", [1.0, 1e-6, 1e7])
+def test_minimum_norm_equals_numpy(spark, scale):
+    """A doubled feature, a sum of two, a constant one and very different units."""
+    rng = np.random.default_rng(8)
+    x = rng.normal(size=(400, 4)) * [1.0, scale, 1.0, 3.0] + [5.0, 0.0, 1000.0, 0.0]
+    design = np.column_stack([x, 2 * x[:, 0], x[:, 2] + x[:, 3], np.full(400, 7.0)])
+    y = 3 + x @ [1.0, 2.0 / scale, -1.0, 0.5] + rng.normal(size=400)
+    names = tuple(f"f{k}" for k in range(design.shape[1]))
+    pdf = pd.DataFrame(design, columns=list(names)).assign(y=y)
+    df = spark.createDataFrame(pdf).repartition(7)
+    fitted = R.fit_min_norm(df, R.ModelOptions(target="y", features=names))
+    centred = design - design.mean(axis=0)
+    # Of the independent features' weights, shared out over the features that depend on them.
+    b = np.linalg.lstsq(centred[:, :4] / [1.0, scale, 1.0, 1.0], y - y.mean(), rcond=None)[0]
+    third = (b[2] + b[3]) / 3
+    expected = np.array([b[0] / 5, b[1] / scale, b[2] - third, b[3] - third, 2 * b[0] / 5, third, 0])
+    if scale == 1.0:
+        assert np.allclose(expected, np.linalg.lstsq(centred, y - y.mean(), rcond=1e-9)[0])
+    assert fitted.rank == 4 and fitted.n == 400
+    assert np.allclose(fitted.weights, expected, rtol=1e-5, atol=1e-9)
+    assert fitted.intercept == pytest.approx(y.mean() - design.mean(axis=0) @ expected, rel=1e-5)
+    errors = R.predict_linear(fitted, df).selectExpr("max(abs(prediction - y)) AS e").first().e
+    assert errors == pytest.approx(np.abs(centred @ expected + y.mean() - y).max(), rel=1e-6)
+
+
+def test_minimum_norm_of_missing_and_few_rows(spark):
+    rows = [(1.0, 2.0), (2.0, 4.0), (3.0, 6.0), (None, 9.0), (4.0, None), (float("nan"), 1.0)]
+    df = spark.createDataFrame(rows, "a double, y double")
+    options = R.ModelOptions(target="y", features=("a",))
+    fitted = R.fit_min_norm(df, options)
+    assert fitted.n == 3 and fitted.weights[0] == pytest.approx(2) and abs(fitted.intercept) < 1e-9
+    assert [r.prediction is None for r in R.predict_linear(fitted, df).collect()] == [False] * 3 + [True, False, True]
+    empty = R.fit_min_norm(df.limit(0), options)
+    assert (empty.n, empty.weights, empty.intercept, empty.rank) == (0, (0.0,), 0.0, 0)
+
+
+def test_many_features_take_several_passes(spark, monkeypatch):
+    monkeypatch.setattr(R, "_MOMENTS", 7)
+    rng = np.random.default_rng(2)
+    x = rng.normal(size=(200, 6))
+    df = spark.createDataFrame(pd.DataFrame(x, columns=list("abcdef")))
+    n, means, matrix = R.co_moments(df, list("abcdef"))
+    assert n == 200 and np.allclose(means, x.mean(axis=0))
+    assert np.allclose(matrix, np.cov(x.T, bias=True))
+
+
 @pytest.mark.parametrize(
     "pairs, r2",
     [

@@ -163,6 +163,46 @@ def test_hot_rows_shrink_before_the_shuffle(skewed):
     assert max(shuffled_rows(W.default_by_worst_installment(repeated))) == max(once)
 
 
+def test_rows_at_maximum_in_one_scan(spark, skewed):
+    """A limit by rank below the shuffle; the hot credit leaves its tasks as little more than its ties."""
+    path = new_path(spark, "detail")
+    skewed.repartition(4).write.parquet(path)
+    stored = spark.read.parquet(path)
+    expected = sorted(map(str, W.rows_at_group_maximum(stored, "credit_id", "days_late").collect()))
+    kept = []
+    real = W.written
+    W.written = lambda df, name: kept.append(df) or real(df, name)
+    try:
+        found = W.rows_at_group_maximum_in_one_scan(stored, "credit_id", "days_late")
+    finally:
+        W.written = real
+    assert sorted(map(str, found.collect())) == expected
+    text = final_plan(kept[0])
+    limits = [text.index("WindowGroupLimit"), text.rindex("WindowGroupLimit")]
+    assert text.count("FileScan") == 1 and limits[0] < text.index("Exchange") < limits[1]
+    kept.clear()
+    W.written = lambda df, name: kept.append(df) or real(df, name)
+    try:
+        W.rows_at_group_maximum_in_one_scan(stored.where("credit_id = 7"), "credit_id", "days_late")
+    finally:
+        W.written = real
+    assert max(shuffled_rows(kept[0])) < stored.where("credit_id = 7").count() / 4
+
+
+def test_month_pairs_come_from_one_aggregation(stored):
+    timing = T.first_due(C.credit_table(stored))
+    text = plan(T.default_by_month_pair(timing))
+    assert text.count("FileScan") == 1 and text.count("Expand") == 1
+
+
+def test_moments_take_one_scan(stored):
+    """All moments of money in one pass of the rows; those of day counts from one list of counts."""
+    from duefold.operators import summary as S
+
+    text = plan(S.summary(T.first_due(C.credit_table(stored)), ["days_to_due", "month_gap"], small_domain=True))
+    assert text.count("FileScan") == 1
+
+
 def test_adaptive_skew_join_keeps_all_rows(spark, skewed):
     """Forced to shuffle, the join is split at the hot credit and returns the same rows."""
     path = new_path(spark, "skewed")

@@ -10,7 +10,7 @@ from duefold.sources import (
     write_csv, write_parquet, write_report, write_table,
 )
 from duefold.sources import schemas
-from duefold.sources.writers import new_version, versions
+from duefold.sources.writers import new_version, read_version, versions, write_version
 
 from .conftest import rows_of
 
@@ -127,6 +127,27 @@ def test_model_versions(spark, tmp_path):
     assert load_model(spark, path, first).stages[-1].coefficients[0] == pytest.approx(2)
 
 
+def test_torn_versions_are_never_read(spark, tmp_path):
+    path = str(tmp_path / "versions")
+    assert versions(spark, path) == []
+    with pytest.raises(FileNotFoundError):
+        read_version(spark, path)
+    df = spark.createDataFrame([(1, None), (2, 0.5)], "a int, b double")
+    first = write_version(df, path, "json", ignoreNullFields=False)
+    second = write_version(df.where("a = 2"), path)
+    # A job that died: its folder is there, whole or not, but no manifest, or an empty one.
+    df.write.parquet(f"{path}/9999-torn")
+    (tmp_path / "versions/_versions/9999-empty.json").write_text("")
+    assert versions(spark, path) == [first, second]
+    assert rows_of(read_version(spark, path)) == [(2, 0.5)]
+    assert sorted(rows_of(read_version(spark, path, first))) == [(1, None), (2, 0.5)]
+    assert read_version(spark, path, first).schema == df.schema
+    with pytest.raises(FileNotFoundError):
+        read_version(spark, path, "9999-torn")
+    with pytest.raises(Exception, match="(?i)exist"):
+        write_version(df, path, version=second)
+
+
 def test_versions_sort_by_time():
     assert new_version() < new_version()
 
