@@ -22,10 +22,14 @@ BITS = 64
 
 
 def sign_code(vector: Column, bits: int = BITS) -> Column:
-    """The signs of the first ``bits`` numbers as a long, bit i for number i; null, NaN and missing count as 0."""
+    """The signs of up to ``bits`` numbers as a long, bit i for number i; null, NaN and missing count as 0.
+
+    A longer vector is an error: its other numbers would not count.
+    """
     if bits > 64:
         raise ValueError("a code has at most 64 bits")
-    code = F.lit(0).cast("long")
+    longer = F.raise_error(F.lit(f"a vector of more than {bits} numbers")).cast("long")
+    code = F.when(F.size(vector) > bits, longer).otherwise(F.lit(0).cast("long"))
     for k in range(bits):
         number = F.get(vector, F.lit(k))
         positive = F.coalesce((number > 0) & ~F.isnan(number), F.lit(False))

@@ -26,6 +26,11 @@ from duefold.llm.common import column, crc32_of_id, text_slices
 ORDER = 3
 SAMPLE_ROWS = 400
 SAMPLE_BYTES = 1 << 15
+#: Documents that a language of long documents alone is learned from, about.
+LONG_ROWS = 20
+#: Bits a byte that a text may need, against its language's samples, and bits that a short one may need more.
+MOST_BITS = 2.6
+SPARE_BITS = 512
 UNKNOWN = "und"
 
 #: Symbols: bytes with A-Z as a-z, and one that stands before a text's first byte.
@@ -44,6 +49,8 @@ class PpmModel:
     byte_class: np.ndarray
     node: np.ndarray
     bits: np.ndarray
+    #: Bits a byte that each language needs for its own samples.
+    own: np.ndarray
 
     def code_lengths(self, texts: list[bytes], step: int = 1 << 19) -> np.ndarray:
         """Bits each language needs for each text: (texts, languages)."""
@@ -107,7 +114,8 @@ def fit(
 ) -> PpmModel | None:
     """Learn trees from labelled documents that are not held out; None if there are none.
 
-    Documents are drawn by a hash of their id, at a rate that gives ``sample_rows`` a language.
+    Documents of at most ``sample_bytes`` are drawn by a hash of their id, at a rate that gives
+    ``sample_rows`` a language; of a language without such documents about ``LONG_ROWS`` whole ones.
     """
     rows = docs.select(
         column(id_column).alias("id"),
@@ -115,13 +123,29 @@ def fit(
         column(text_column).alias("text"),
         held_out(id_column).alias("held_out"),
     ).where("lang IS NOT NULL AND id IS NOT NULL AND NOT held_out")
-    rates = rows.groupBy("lang").agg((F.lit(float(sample_rows)) / F.count("*")).alias("rate"))
+    # Rates over the rows that can be drawn, so that a language of mostly long documents is learned, too;
+    # one that has long documents alone is learned from them.
+    short = F.octet_length("text").between(1, sample_bytes)
+    some = rows.where(F.octet_length("text") >= 1)
+    rates = (
+        some.groupBy("lang")
+        .agg(F.count_if(short).alias("short"), F.count("*").alias("all"))
+        .select(
+            "lang",
+            (F.col("short") == 0).alias("only_long"),
+            (
+                F.when(F.col("short") > 0, F.lit(float(sample_rows)) / F.col("short")).otherwise(
+                    F.lit(float(LONG_ROWS)) / F.col("all")
+                )
+            ).alias("rate"),
+        )
+    )
     draw = F.shiftrightunsigned(F.xxhash64(F.lit(11), F.col("id").cast("string")), 12) / float(1 << 52)
     sample = (
-        rows.where(F.octet_length("text").between(1, sample_bytes))
-        .withColumn("draw", draw)
-        .join(F.broadcast(rates), "lang")
-        .where("draw < rate")
+        some.withColumn("draw", draw)
+        .withColumn("short", short)
+        .join(rates, "lang")
+        .where("draw < rate AND (short OR only_long)")
         .select("lang", "text")
     )
     counts = (
@@ -180,24 +204,28 @@ def build(counts: pa.Table) -> PpmModel:
     code = -np.log2(np.concatenate(levels))
     code[:, _START_CLASS] = 0.0
     byte_class = to_class[_FOLD].astype(np.int32)
-    return PpmModel(languages, byte_class, node.reshape(-1), code.astype(np.float32))
+    paid = np.bincount(lang, n * code[offset - len(contexts) + at, symbol, lang], len(languages))
+    own = paid / np.bincount(lang, n, len(languages))
+    return PpmModel(languages, byte_class, node.reshape(-1), code.astype(np.float32), own)
 
 
-def _best(model: PpmModel, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """Index of the language with the shortest code and its chance, for each text."""
-    best, score = [np.empty(0, np.int64)], [np.empty(0)]
+def _best(model: PpmModel, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Index of the language with the shortest code, its chance, and whether the text reads like it."""
+    best, score, reads = [np.empty(0, np.int64)], [np.empty(0)], [np.empty(0, bool)]
     for _, part in text_slices(texts, 1 << 20):
         bits = model.code_lengths(part)
         best.append(bits.argmin(axis=1))
         score.append(1 / np.exp2(bits.min(axis=1, keepdims=True) - bits).sum(axis=1))
-    return np.concatenate(best), np.concatenate(score)
+        sizes = np.fromiter(map(len, part), np.int64, len(part))
+        reads.append(bits.min(axis=1) <= MOST_BITS * model.own[best[-1]] * sizes + SPARE_BITS)
+    return np.concatenate(best), np.concatenate(score), np.concatenate(reads)
 
 
 def _predicted(shared):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = np.array(shared.value.languages, object)
         for batch in batches:
-            best, score = _best(shared.value, batch.column(1))
+            best, score, _ = _best(shared.value, batch.column(1))
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), batch.column(2), pa.array(names[best], pa.string()), pa.array(score)],
                 ["id", "readable", "lang_pred", "score"],
@@ -249,8 +277,8 @@ def identify(
 def _recognised(shared, least_score: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            _, score = _best(shared.value, batch.column(0).field("text"))
-            yield batch.filter(pa.array(score >= least_score))
+            _, score, reads = _best(shared.value, batch.column(0).field("text"))
+            yield batch.filter(pa.array(reads & (score >= least_score)))
 
     return run
 
@@ -260,8 +288,11 @@ def in_known_language(
 ) -> DataFrame:
     """The rows of ``docs`` whose language is recognised, with their columns.
 
-    Texts that are ``und`` go, and those no language explains with a chance of ``least_score``. If nothing
-    could be learned, every text with a letter stays.
+    Texts that are ``und`` go, and those no language explains: the code length in the likeliest language must not
+    exceed ``MOST_BITS`` times what its samples need, bytes alike, and ``SPARE_BITS`` for short texts; so
+    other scripts and salads of letters go. Texts whose language has a chance below ``least_score`` go, too. If
+    nothing could be learned, every text with a letter stays. Repeated rows are judged each, texts of any
+    length are read whole, an empty table gives no rows.
     """
     model = model or fit(docs)
     rows = docs.where(_readable("text")).select(F.struct("*").alias("doc"))

@@ -203,13 +203,13 @@ def listed(sets: DataFrame, similarity: float) -> DataFrame:
 
 def alike(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
     """The pairs (a, b) whose sets have a Jaccard similarity of at least ``similarity``."""
+    # Each side first takes its sets by itself, so that few pairs are sent to the sets, not the sets to them.
+    ours = pairs.join(sets.select(F.col("node").alias("a"), F.col("hashes").alias("a_hashes")), "a")
+    theirs = pairs.join(sets.select(F.col("node").alias("b"), F.col("hashes").alias("b_hashes")), "b")
     both = F.size(F.array_intersect("a_hashes", "b_hashes"))
     union = F.size("a_hashes") + F.size("b_hashes") - both
     return (
-        pairs.join(sets.select(F.col("node").alias("a"), F.col("hashes").alias("a_hashes")), "a")
-        .join(sets.select(F.col("node").alias("b"), F.col("hashes").alias("b_hashes")), "b")
-        .where(both >= F.lit(similarity) * union - 1e-9)
-        .select("a", "b")
+        ours.join(theirs, ["a", "b"]).where(both >= F.lit(similarity) * union - 1e-9).select("a", "b")
     )
 
 

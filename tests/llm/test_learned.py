@@ -138,3 +138,31 @@ def test_license_scan_equals_brute_force(spark):
         assert 0 <= r.score <= 1 and (r.score == 0) == (r.labels == "")
         last = r if r.doc_id == len(texts) - 1 else None
     assert last and last.labels == "gpl-3.0-only,isc,mit" and last.permissive and last.n_expressions == 1
+
+
+def test_only_texts_that_read_like_a_language_stay(spark):
+    """Other scripts and salads of letters go, clean documents of any length stay."""
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")
+    kept = language_id.in_known_language(docs)
+    assert kept.count() == docs.where("text RLIKE '\\\\p{L}'").count()
+    rng = np.random.default_rng(4)
+    salad = "".join(rng.choice(list("abcdefghijklmnopqrstuvwxyz  "), 3000))
+    odd = [(1, "\u65e5\u672c\u8a9e\u306e\u6587\u7ae0\u3067\u3059\u3002" * 20), (2, "\u042d\u0442\u043e \u0440\u0443\u0441\u0441\u043a\u0438\u0439 \u0442\u0435\u043a\u0441\u0442. " * 20), (3, salad)]
+    model = language_id.fit(docs)
+    strange = spark.createDataFrame(odd, "doc_id long, text string")
+    assert language_id.in_known_language(strange, model).count() == 0
+
+
+def test_a_language_of_long_documents_is_learned(spark):
+    """Rates count the documents that can be drawn; without short ones whole long ones are drawn."""
+    rows = [(i, "the cat sat on the mat and the dog ran home " * 20, "en") for i in range(300)]
+    rows += [(1000 + i, "der hund und die katze gehen nach hause " * 2000, "de") for i in range(40)]
+    rows += [(2000 + i, "le chat et le chien vont \u00e0 la maison " * (2000 if i % 10 else 3), "fr") for i in range(400)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = language_id.fit(docs, sample_rows=30)
+    assert model.languages == ["de", "en", "fr"]
+    asked = spark.createDataFrame(
+        [(1, "die katze und der hund"), (2, "the dog and the cat"), (3, "le chien et le chat")], "doc_id long, text string"
+    )
+    found = {r.doc_id: r.lang_pred for r in language_id.identify(asked, model).collect()}
+    assert found == {1: "de", 2: "en", 3: "fr"}

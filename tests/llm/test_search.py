@@ -6,7 +6,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
-from duefold.llm import multi_index, ranked_search
+from duefold.llm import hamming_topk, multi_index, ranked_search
 from duefold.llm.queries import QUERIES
 from tests.conftest import SMALL
 
@@ -213,3 +213,17 @@ def test_blocks_hold_whole_items(monkeypatch):
     terms = np.array([0, 1, 2, 2, 3, 3, 4, 5, 6, 7])
     cuts = ranked_search._blocks(items, terms)
     assert [set(items[c].tolist()) for c in cuts] == [{0, 1, 2}, {3}]
+
+
+def test_odd_sign_vectors(spark):
+    nan = float("nan")
+    rows = [(0, [1.0, -1.0]), (20, [1.0, -1.0]), (1, None), (2, []), (3, [nan, 1.0]), (4, [None, 1.0]), (None, [1.0])]
+    table = spark.createDataFrame([r + (1, "x") for r in rows], "vec_id long, embedding array<double>, rank int, code string")
+    found = {(r.query_id, r.rank): (r.neighbor_id, r.distance) for r in hamming_topk.nearest_signs(table, 3).collect()}
+    assert found == {
+        (0, 1): (20, 0), (0, 2): (1, 1), (0, 3): (2, 1), (20, 1): (0, 0), (20, 2): (1, 1), (20, 3): (2, 1),
+    }
+    assert hamming_topk.nearest_signs(table.limit(0)).count() == 0
+    longer = spark.createDataFrame([(0, [1.0] * 65)], "vec_id long, embedding array<double>")
+    with pytest.raises(Exception, match="more than 64"):
+        hamming_topk.nearest_signs(longer).collect()
