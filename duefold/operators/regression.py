@@ -168,6 +168,7 @@ class LinearFit:
 _MOMENTS = 1000
 #: Share of the largest eigenvalue of the correlations below which a direction counts as none.
 _TOLERANCE = 1e-10
+_ROUNDING = 1e-9
 
 
 def co_moments(df: DataFrame, columns: Sequence[str]) -> tuple[int, np.ndarray, np.ndarray]:
@@ -213,7 +214,9 @@ def minimum_norm(covariances: np.ndarray, with_target: np.ndarray) -> tuple[np.n
     inside, outside = vectors[:, kept], vectors[:, ~kept]
     found = inside @ ((inside.T @ (with_target[varies] / scale)) / values[kept]) / scale
     if outside.size:
-        # An orthonormal basis of the directions along which predictions do not change.
+        # An orthonormal basis of the directions along which predictions do not change. What rounding
+        # leaves on the other features is taken away, since a small unit would blow it up.
+        outside = np.where(np.abs(outside) < _ROUNDING, 0.0, outside)
         free, _ = np.linalg.qr(outside / scale[:, None])
         found -= free @ (free.T @ found)
     weights[varies] = found

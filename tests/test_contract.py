@@ -1,5 +1,8 @@
 """Every registered query against its SQL on the smallest tables."""
 
+import subprocess
+import sys
+
 import pytest
 
 import __spark_entry__ as entry_points
@@ -20,6 +23,16 @@ def test_every_query_has_sql():
     assert set(QUERIES) <= set(entry_points.queries())
 
 
+def test_entry_without_the_optional_package():
+    """What that package needs cannot be imported: the other queries are all there."""
+    code = (
+        "import sys; sys.modules['ahocorasick'] = None; sys.modules['xxhash'] = None\n"
+        "import __spark_entry__ as e; from contract.queries import QUERIES\n"
+        "assert e.queries().keys() == QUERIES.keys() == e.oracle_sql().keys()"
+    )
+    subprocess.run([sys.executable, "-c", code], check=True, timeout=120)
+
+
 def test_entry(spark):
     row = entry_points.entry(spark).collect()[0]
     assert row.n_mature + row.n_immature == row.n_credits > 0

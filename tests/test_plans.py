@@ -183,7 +183,9 @@ def test_rows_at_maximum_in_one_scan(spark, skewed):
     kept.clear()
     W.written = lambda df, name: kept.append(df) or real(df, name)
     try:
-        W.rows_at_group_maximum_in_one_scan(stored.where("credit_id = 7"), "credit_id", "days_late")
+        late = F.pmod(F.hash("disbursed_at", "due_at", "installment_no"), F.lit(900))
+        hot = stored.where("credit_id = 7").withColumn("days_late", late)
+        W.rows_at_group_maximum_in_one_scan(hot, "credit_id", "days_late")
     finally:
         W.written = real
     assert max(shuffled_rows(kept[0])) < stored.where("credit_id = 7").count() / 4
