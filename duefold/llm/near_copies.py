@@ -105,6 +105,16 @@ def _apart(a: Column, b: Column) -> Column:
     return F.bit_count(a.bitwiseXOR(b))
 
 
+def _bytes_outside() -> Column:
+    """(place, byte) of the two segments of ``fp`` that ``key`` says nothing about."""
+    parts = []
+    for place in range(4):
+        segment = f"(shiftright(key, 28) + {2 + place // 2}) % 4"
+        byte = f"shiftrightunsigned(fp, cast(16 * ({segment}) + {8 * (place % 2)} AS INT)) & 255"
+        parts.append(F.struct(F.lit(place).alias("place"), F.expr(byte).alias("byte")))
+    return F.array(*parts)
+
+
 def near_nodes(prints: DataFrame) -> DataFrame:
     """(node): the documents of ``prints`` (node, wide, prints) that meet another one."""
     keyed = written(
@@ -134,20 +144,17 @@ def near_nodes(prints: DataFrame) -> DataFrame:
         ),
         "met",
     )
-    # Documents of a large key that met none of their own block look into the other blocks.
+    # Documents of a large key that met none of their own block look for others of the key that agree in
+    # one of four bytes: three bits apart, the two segments outside the key differ in three bytes at most.
     found = written(met.where("met").select("node").distinct(), "found")
-    others = (
-        met.where("NOT met")
-        .join(found, "node", "left_anti")
-        .withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-        .where("block != own")
-        .select("key", "block", "fp", "wide", "node")
-    )
-    shelves = met.where("blocks > 1").select(
-        "key", F.col("own").alias("block"), F.col("fp").alias("f"), F.col("wide").alias("w")
+    large = met.where("blocks > 1").select("key", "fp", "wide", "node", "met", F.inline(_bytes_outside()))
+    others = large.where("NOT met").join(found, "node", "left_anti").drop("met")
+    shelves = large.select(
+        "key", "place", "byte", F.col("fp").alias("f"), F.col("wide").alias("w"), F.col("node").alias("other")
     )
     late = (
-        others.join(shelves, ["key", "block"])
+        others.join(shelves, ["key", "place", "byte"])
+        .where(F.col("node") != F.col("other"))
         .where(_apart(F.col("fp"), F.col("f")) <= 3)
         .where(_apart(F.col("wide"), F.col("w")) <= WIDE)
         .select("node")

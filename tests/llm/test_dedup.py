@@ -394,6 +394,31 @@ def test_near_copies_equal_brute_force(spark, monkeypatch):
     assert kept == set(components(texts, links).values()) and len(kept) < len(texts) - 40
 
 
+def test_every_meeting_in_large_keys_is_found(spark, monkeypatch):
+    """Fingerprints crowded around two centres, keys in many blocks: the members equal brute force."""
+    monkeypatch.setattr(near_copies, "BLOCK", 4)
+    r = random.Random(3)
+
+    def signed(x):
+        return x - (1 << 64) if x >> 63 else x
+
+    centres = [[r.getrandbits(64) for _ in range(near_copies.PRINTS)] for _ in range(2)]
+    rows = []
+    for node in range(240):
+        prints = [c ^ sum(1 << b for b in r.sample(range(64), r.randrange(7))) for c in centres[node % 2]]
+        rows.append((node, r.getrandbits(3) << 40 if node % 5 else r.getrandbits(63), prints))
+    expected = {
+        a for a, wide, x in rows for b, other, y in rows
+        if a != b and (wide ^ other).bit_count() <= near_copies.WIDE
+        and any((p ^ q).bit_count() <= 3 for p, q in zip(x, y))
+    }
+    frame = spark.createDataFrame(
+        [(n, w, [signed(p) for p in x]) for n, w, x in rows], "node long, wide long, prints array<long>"
+    )
+    assert {x.node for x in near_copies.near_nodes(frame.repartition(3)).collect()} == expected
+    assert len(expected) > 50
+
+
 def test_links_equal_brute_force_where_keys_are_common(spark):
     """Sets of few different shingles, so that classes are large and unlike sets share them."""
     r = random.Random(7)
