@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from duefold.llm.common import column, crc32_of_id, text_slices
+from duefold.llm.common import column, crc32_of_id, text_slices, written
 
 ORDER = 3
 SAMPLE_ROWS = 400
@@ -140,6 +140,8 @@ def fit(
             ).alias("rate"),
         )
     )
+    # Stored, so that its size is known and the texts are not shuffled to a few rates.
+    rates = written(rates, "language-rates")
     draw = F.shiftrightunsigned(F.xxhash64(F.lit(11), F.col("id").cast("string")), 12) / float(1 << 52)
     sample = (
         some.withColumn("draw", draw)
