@@ -10,8 +10,9 @@ Check. Members are compared as sets of hashed five-word shingles, made once and
 members are listed under those only, and members under one shingle are a class. In a class all meet its
 centre, the member whose shingles most others have; a group of edited copies is linked to its
 original at once. Members that stay apart become centres in later rounds until every class is
-connected or all members outside the part of its centre have been one. Pairs whose sizes or pair fingerprints
-rule out the bound are never compared.
+connected or all members outside the part of its centre have been one. Pairs whose sizes, pair fingerprints,
+numbers of rarer shingles or hash tables rule out the bound are never compared. Pairs are compared in tiles of
+some ``TILE`` shingles, so a set is sent to few tasks however many pairs it is in.
 """
 
 from __future__ import annotations
@@ -33,6 +34,11 @@ WORDS = 5
 SIMILARITY = 0.8
 #: Documents that a block of one key holds on average at most.
 BLOCK = 512
+#: Words of 64 bits of the hash table that rules out unlike sets before they are compared.
+MARKS = 8
+MARK = [f"mark{k}" for k in range(MARKS)]
+#: Shingles of the sets of a tile, on average.
+TILE = 1 << 17
 #: By so much the centres of a class grow with every round.
 GROWTH = 8
 
@@ -180,10 +186,25 @@ def _sets(words: int):
     return run
 
 
+def _marks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(node, hashes) -> (node, bits): which of the bits of a hash table an odd number of hashes falls on."""
+    for batch in batches:
+        hashes = batch.column(1)
+        sizes = np.diff(hashes.offsets.to_numpy())
+        rows = np.repeat(np.arange(len(sizes)), sizes)
+        at = (hashes.flatten().to_numpy().view(np.uint64) >> np.uint64(40)).astype(np.int64) % (64 * MARKS)
+        odd = np.bincount(rows * 64 * MARKS + at, minlength=len(sizes) * 64 * MARKS) & 1
+        bits = np.packbits(odd.astype(np.uint8).reshape(-1, 64 * MARKS), axis=1).view(np.int64)
+        yield pa.RecordBatch.from_arrays(
+            [batch.column(0), *(pa.array(np.ascontiguousarray(bits[:, k])) for k in range(MARKS))],
+            ["node", *MARK],
+        )
+
+
 def listed(sets: DataFrame, similarity: float) -> DataFrame:
-    """(shingle, node, wide, n, common): each set under its rarest shingles that others have.
+    """(shingle, node, wide, n, common, at, marks): each set under its rarest shingles that others have.
 
-    ``common`` is how many sets have one of its shingles, on average.
+    ``at`` is how many shingles of the set are rarer, ``common`` how many sets have one of its shingles, on average.
     """
     each = sets.select("node", F.explode("hashes").alias("shingle"))
     held = each.groupBy("shingle").agg(F.count("*").alias("df")).where("df > 1")
@@ -194,29 +215,93 @@ def listed(sets: DataFrame, similarity: float) -> DataFrame:
     )
     n = F.size("hashes")
     # Shingles that no other set has come first in the order of rarity.
-    needed = n - F.ceil(n * F.lit(similarity) - 1e-9) + 1 - (n - F.size("shared"))
+    alone = n - F.size("shared")
+    needed = n - F.ceil(n * F.lit(similarity) - 1e-9) + 1 - alone
     common = F.aggregate("shared", F.lit(0).cast("long"), lambda t, x: t + x["df"]) / n
+    marks = sets.select("node", "hashes").mapInArrow(_marks, "node long, " + ", ".join(f"{m} long" for m in MARK))
     return (
         sets.join(ranked, "node")
-        .select("node", "wide", n.alias("n"), common.alias("common"), "shared", needed.cast("int").alias("needed"))
+        .select(
+            "node", "wide", n.alias("n"), common.alias("common"), alone.alias("alone"), "shared",
+            needed.cast("int").alias("needed"),
+        )
         .where("needed > 0")
+        .join(marks, "node")
         .select(
-            "node", "wide", "n", "common",
-            F.explode(F.slice("shared", F.lit(1), F.col("needed"))).alias("entry"),
+            "node", "wide", "n", "common", "alone", *MARK,
+            F.posexplode(F.slice("shared", F.lit(1), F.col("needed"))).alias("k", "entry"),
+        )
+        .select(
+            F.col("entry.shingle").alias("shingle"), "node", "wide", "n", "common",
+            (F.col("alone") + F.col("k")).alias("at"), *MARK,
         )
-        .select(F.col("entry.shingle").alias("shingle"), "node", "wide", "n", "common")
     )
 
 
-def alike(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
-    """The pairs (a, b) whose sets have a Jaccard similarity of at least ``similarity``."""
-    # Each side first takes its sets by itself, so that few pairs are sent to the sets, not the sets to them.
-    ours = pairs.join(sets.select(F.col("node").alias("a"), F.col("hashes").alias("a_hashes")), "a")
-    theirs = pairs.join(sets.select(F.col("node").alias("b"), F.col("hashes").alias("b_hashes")), "b")
-    both = F.size(F.array_intersect("a_hashes", "b_hashes"))
-    union = F.size("a_hashes") + F.size("b_hashes") - both
+def _can_be_alike(similarity: float) -> Column:
+    """What two sets of the bound's similarity fulfil under the rarest shingle that both have."""
+    size, n, m = F.col("n") + F.col("head_n"), F.col("n"), F.col("head_n")
+    close = F.least(n, m) >= similarity * F.greatest(n, m) - 1e-9
+    # Neither has a shared shingle before this one, so no more than the rest can be shared.
+    rest = F.least(n - F.col("at"), m - F.col("head_at")) >= similarity / (1 + similarity) * size - 1e-9
+    # Each odd bit that only one has stands for at least one shingle that only one has.
+    apart = sum((_apart(F.col(m), F.col(f"head_{m}")) for m in MARK), F.lit(0))
     return (
-        ours.join(theirs, ["a", "b"]).where(both >= F.lit(similarity) * union - 1e-9).select("a", "b")
+        close
+        & rest
+        & (_apart(F.col("wide"), F.col("head_wide")) <= WIDE)
+        & (apart <= (1 - similarity) / (1 + similarity) * size + 1e-9)
+    )
+
+
+def tiles_of(classes: DataFrame) -> DataFrame:
+    """(node, tile): members of large classes side by side, some ``TILE`` shingles to a tile."""
+    homes = written(
+        classes.groupBy("node").agg(
+            F.max(F.struct("size", "centre")).getField("centre").alias("home"), F.max("n").alias("n")
+        ),
+        "homes",
+    )
+    parts = homes.groupBy("home").agg(F.ceil(F.sum("n") / TILE).alias("parts"))
+    tile = F.xxhash64("home", F.pmod(F.xxhash64("node"), F.col("parts")))
+    return written(homes.join(parts, "home").select("node", tile.alias("tile")), "tiles")
+
+
+def _compared(similarity: float):
+    def run(pairs: pd.DataFrame, sets: pd.DataFrame) -> pd.DataFrame:
+        if not len(pairs) or not len(sets):
+            return pd.DataFrame({"a": [], "b": []}, dtype="int64")
+        sizes = np.array([len(h) for h in sets["hashes"]])
+        values, ids = np.unique(np.concatenate(list(sets["hashes"])), return_inverse=True)
+        at = dict(zip(sets["node"], np.split(ids, np.cumsum(sizes)[:-1])))
+        has, kept = np.zeros(len(values), bool), []
+        for a, others in pairs.groupby("a")["b"]:
+            has[at[a]] = True
+            for b in others:
+                both = np.count_nonzero(has[at[b]])
+                if both >= similarity * (len(at[a]) + len(at[b]) - both) - 1e-9:
+                    kept.append((a, b))
+            has[at[a]] = False
+        return pd.DataFrame(kept, columns=["a", "b"], dtype="int64")
+
+    return run
+
+
+def alike(pairs: DataFrame, sets: DataFrame, tiles: DataFrame, similarity: float) -> DataFrame:
+    """The pairs (a, b) whose sets have a Jaccard similarity of at least ``similarity``.
+
+    Pairs meet by the tiles of both ends, so a set is sent once to a pair of tiles, not to every pair of its own.
+    """
+    by_a, by_b = (tiles.select(F.col("node").alias(x), F.col("tile").alias(f"t{x}")) for x in "ab")
+    tiled = written(pairs.join(by_a, "a").join(by_b, "b").select("ta", "tb", "a", "b"), "tiled")
+    ends = tiled.select(
+        F.col("ta").alias("sa"), F.col("tb").alias("sb"), F.explode(F.array("a", "b")).alias("node")
+    ).distinct()
+    held = ends.join(sets.select("node", "hashes"), "node")
+    return (
+        tiled.groupBy("ta", "tb")
+        .cogroup(held.groupBy("sa", "sb"))
+        .applyInPandas(_compared(similarity), "a long, b long")
     )
 
 
@@ -230,58 +315,53 @@ def links_of(sets: DataFrame, similarity: float) -> DataFrame:
     centres = rows.groupBy("shingle").agg(
         F.max(F.struct("common", F.negative("node").alias("last"))).alias("c"), F.count("*").alias("size")
     )
-    classes = written(
-        rows.join(
-            centres.where("size > 1").select("shingle", F.negative("c.last").alias("centre")), "shingle"
-        ),
-        "classes",
-    )
+    centres = centres.where("size > 1").select("shingle", "size", F.negative("c.last").alias("centre"))
+    waiting = classes = written(rows.join(centres, "shingle"), "classes")
+    tiles = tiles_of(classes)
     links, tried = new_path(spark, "links"), new_path(spark, "tried-pairs")
     nothing = spark.createDataFrame([], "a long, b long")
     nothing.write.parquet(links)
     nothing.write.parquet(tried)
-    # Those that have been a centre, by class.
-    done = written(spark.createDataFrame([], "shingle long, node long"), "done")
+    heads = classes.where("node = centre").select("shingle", "node")
+    waiting = waiting.withColumns({"part": F.col("node"), "main": F.col("centre")})
     most = 1
-    while True:
-        parts = connected(spark.read.parquet(links)).select("node", F.col("component").alias("part"))
-        parts = written(parts, "parts")
-        by_centre = parts.select(F.col("node").alias("centre"), F.col("part").alias("main"))
-        now = (
-            classes.join(parts, "node", "left")
-            .join(by_centre, "centre", "left")
-            .withColumn("part", F.coalesce("part", "node"))
-            .withColumn("main", F.coalesce("main", "centre"))
+    while not heads.isEmpty():
+        asked = heads.join(waiting, ["shingle", "node"]).select(
+            "shingle",
+            *(F.col(c).alias(f"head_{c}") for c in ("node", "wide", "n", "at", "part", *MARK)),
         )
-        if most == 1:
-            heads = classes.where("node = centre").select("shingle", "node").distinct()
-        else:
-            heads = (
-                now.where("part != main")
-                .join(done, ["shingle", "node"], "left_anti")
-                .groupBy("shingle", F.pmod(F.xxhash64("node"), F.lit(most)))
-                .agg(F.max(F.struct("common", F.negative("node").alias("last"))).alias("c"))
-                .select("shingle", F.negative("c.last").alias("node"))
-            )
-        heads = written(heads, "centres")
-        if heads.isEmpty():
-            return spark.read.parquet(links)
-        asked = heads.join(now.select("shingle", "node", "wide", "n", "part"), ["shingle", "node"])
-        asked = asked.toDF("shingle", "head", "head_wide", "head_n", "head_part")
-        close = F.least("n", "head_n") >= F.lit(similarity) * F.greatest("n", "head_n") - 1e-9
         pairs = written(
-            now.join(asked, "shingle")
+            waiting.join(asked, "shingle")
             .where(F.col("part") != F.col("head_part"))
-            .where(close & (_apart(F.col("wide"), F.col("head_wide")) <= WIDE))
-            .select(F.greatest("node", "head").alias("a"), F.least("node", "head").alias("b"))
+            .where(_can_be_alike(similarity))
+            .select(F.greatest("node", "head_node").alias("a"), F.least("node", "head_node").alias("b"))
             .distinct()
             .join(spark.read.parquet(tried), ["a", "b"], "left_anti"),
             "candidates",
         )
-        alike(pairs, sets, similarity).write.mode("append").parquet(links)
+        alike(pairs, sets, tiles, similarity).write.mode("append").parquet(links)
         pairs.write.mode("append").parquet(tried)
-        done = written(done.unionByName(heads), "done")
+        parts = connected(spark.read.parquet(links)).select("node", F.col("component").alias("part"))
+        parts = written(parts, "parts")
+        # Who has been a head has met all of its class. A class is done when the others belong to its centre.
+        now = written(
+            waiting.drop("part", "main")
+            .join(heads, ["shingle", "node"], "left_anti")
+            .join(parts, "node", "left")
+            .join(parts.select(F.col("node").alias("centre"), F.col("part").alias("main")), "centre", "left")
+            .withColumns({"part": F.coalesce("part", "node"), "main": F.coalesce("main", "centre")}),
+            "members-now",
+        )
+        apart = now.where("part != main")
         most *= GROWTH
+        heads = written(
+            apart.groupBy("shingle", F.pmod(F.xxhash64("node"), F.lit(most)))
+            .agg(F.max(F.struct("common", F.negative("node").alias("last"))).alias("c"))
+            .select("shingle", F.negative("c.last").alias("node")),
+            "centres",
+        )
+        waiting = written(now.join(apart.select("shingle").distinct(), "shingle", "left_semi"), "waiting")
+    return spark.read.parquet(links)
 
 
 def one_of_each(docs: DataFrame, words: int = WORDS, similarity: float = SIMILARITY) -> DataFrame:
