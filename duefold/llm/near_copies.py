@@ -86,25 +86,33 @@ def _keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 )
 
 
-def _met(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Blocks of a key -> (key, own, blocks, fp, wide, node, met): whether a document has another near."""
-    for frame in frames:
-        out = []
-        for key, own, blocks, members in zip(frame["key"], frame["own"], frame["blocks"], frame["members"]):
-            fp, wide, node = (np.array([m[c] for m in members], np.int64) for c in ("fp", "wide", "node"))
-            near = np.bitwise_count((fp[:, None] ^ fp[None, :]).view(np.uint64)) <= 3
-            near &= np.bitwise_count((wide[:, None] ^ wide[None, :]).view(np.uint64)) <= WIDE
-            met = near.sum(axis=1) > 1
-            if blocks == 1:
-                fp, wide, node, met = fp[met], wide[met], node[met], met[met]
-            if len(node):
-                out.append(
-                    pd.DataFrame(
-                        {"key": key, "own": own, "blocks": blocks, "fp": fp, "wide": wide, "node": node, "met": met}
-                    )
-                )
-        if out:
-            yield pd.concat(out)
+def _met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Blocks of a key -> (key, own, blocks, fp, wide, node, met): whether a document has another near.
+
+    Blocks come as lists of numbers and stay so; none becomes Python objects.
+    """
+    for batch in batches:
+        offsets = batch.column(3).offsets.to_numpy()
+        fps, wides = (batch.column(k).flatten().to_numpy().view(np.uint64) for k in (3, 4))
+        offsets = offsets - offsets[0] if len(offsets) else offsets
+        met = np.zeros(len(fps), bool)
+        for first, last in zip(offsets[:-1], offsets[1:]):
+            fp, wide = fps[first:last], wides[first:last]
+            near = np.bitwise_count(fp[:, None] ^ fp[None, :]) <= 3
+            near &= np.bitwise_count(wide[:, None] ^ wide[None, :]) <= WIDE
+            met[first:last] = near.sum(axis=1) > 1
+        sizes = np.diff(offsets)
+        key, own, blocks = (np.repeat(batch.column(k).to_numpy(), sizes) for k in range(3))
+        # Of a key with one block those that met none are done.
+        kept = np.flatnonzero(met | (blocks > 1))
+        nodes = batch.column(5).flatten().to_numpy()
+        for k in range(0, len(kept), 1 << 16):
+            part = kept[k : k + (1 << 16)]
+            columns = (key[part], own[part], blocks[part], long_array(fps[part]), long_array(wides[part]))
+            yield pa.RecordBatch.from_arrays(
+                [*(c if isinstance(c, pa.Array) else pa.array(c) for c in columns), pa.array(nodes[part]), pa.array(met[part])],
+                ["key", "own", "blocks", "fp", "wide", "node", "met"],
+            )
 
 
 def _apart(a: Column, b: Column) -> Column:
@@ -145,7 +153,7 @@ def near_nodes(prints: DataFrame) -> DataFrame:
         (F.col("blocks") > 1) | (F.size("members") > 2) | ((F.size("members") == 2) & near)
     )
     met = written(
-        dealt.mapInPandas(
+        dealt.select("key", "own", "blocks", "members.fp", "members.wide", "members.node").mapInArrow(
             _met, "key long, own int, blocks int, fp long, wide long, node long, met boolean"
         ),
         "met",
