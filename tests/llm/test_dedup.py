@@ -433,6 +433,34 @@ def test_links_equal_brute_force_where_keys_are_common(spark):
     assert components(sets, found) == components(sets, expected)
 
 
+def test_links_of_a_group_around_the_bound(spark, monkeypatch):
+    """Copies whose similarities lie on both sides of the bound, compared in small tiles."""
+    monkeypatch.setattr(near_copies, "TILE", 256)
+    r = random.Random(11)
+    base = [r.getrandbits(64) - (1 << 63) for _ in range(100)]
+    spare = [r.getrandbits(64) - (1 << 63) for _ in range(300)]
+    sets = {}
+    for i in range(120):
+        edits = r.randrange(0, 22)
+        sets[i] = sorted(r.sample(base, 100 - edits) + r.sample(spare, edits))
+    frame = spark.createDataFrame([(i, 0, s) for i, s in sets.items()], "node long, wide long, hashes array<long>")
+    asked, compare = [], near_copies.alike
+
+    def counted(pairs, *rest):
+        asked.append(pairs.count())
+        return compare(pairs, *rest)
+
+    monkeypatch.setattr(near_copies, "alike", counted)
+    found = [(x.a, x.b) for x in near_copies.links_of(frame, 0.8).collect()]
+    expected = [
+        (a, b) for a in sets for b in sets
+        if a < b and len(set(sets[a]) & set(sets[b])) >= 0.8 * len(set(sets[a]) | set(sets[b]))
+    ]
+    assert {tuple(sorted(x)) for x in found} <= set(expected)
+    assert components(sets, found) == components(sets, expected)
+    assert sum(asked) < 120 * 119 / 2 / 4
+
+
 def test_recall_of_the_search_by_band(spark):
     """Of all pairs at 0.8 or more, found without any search, at least 0.9 in each band are linked."""
     docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet").select("doc_id", "text")
