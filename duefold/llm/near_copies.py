@@ -327,7 +327,8 @@ def links_of(sets: DataFrame, similarity: float) -> DataFrame:
     waiting = classes = written(rows.join(centres, "shingle"), "classes")
     tiles = tiles_of(classes)
     links, tried = new_path(spark, "links"), new_path(spark, "tried-pairs")
-    nothing = spark.createDataFrame([], "a long, b long")
+    # Rows made by the JVM; an empty list would start Python workers of another kind on every executor.
+    nothing = spark.range(0).select(F.col("id").alias("a"), F.col("id").alias("b"))
     nothing.write.parquet(links)
     nothing.write.parquet(tried)
     heads = classes.where("node = centre").select("shingle", "node")
