@@ -46,52 +46,77 @@ def _printable_bytes() -> dict[int, int]:
 
 _PRINTABLE = _printable_bytes()
 #: Letters, then marks that neither start a contraction nor hold a letter, digit or special token.
-_MARKED = re.compile(r"([A-Za-z]+)([!-&(-/:-;=-@\[-`{-~]+)")
+_MARKED = re.compile(r"([^\W\d_]+)([!-&(-/:-;=-@\[-`{-~]+)")
 
 
-class WordTokenizer(dict):
+class WordTokenizer:
     """Ids of a tokenizer whose tokens never cross white space, as little-endian 32-bit integers.
 
     A text is cut at blanks and line ends, and the ids of each piece are looked up, so a
-    frequent word is tokenized once a process. The cache has a bound and starts anew when full.
-    Plain words go to the tokenizer's model directly, others through its normalizer and
-    pre-tokenizer first.
+    frequent word is tokenized once a process. The cache has a bound; when it is full a new one starts,
+    which takes over what is still asked for. Plain words go to the tokenizer's model directly, once for
+    all their capitals and the marks behind them, others through its normalizer and pre-tokenizer first.
     """
 
     def __init__(self, path: str) -> None:
-        super().__init__({"": b""})
+        self.known: dict[str, bytes] = {"": b""}
+        self.older: dict[str, bytes] = {}
         self.whole = Tokenizer.from_file(path)
         self.model = self.whole.model
 
     def ids(self, text: str) -> bytes:
-        if len(self) > CACHED_WORDS:
-            self.clear()
-            self[""] = b""
-        return b"".join([self[w] for w in text.replace("\n", " ").split(" ")])
-
-    def __missing__(self, word: str) -> bytes:
-        ids = self._word(word)
-        found = self[word] = struct.pack(f"<{len(ids)}I", *ids)
+        if len(self.known) > CACHED_WORDS // 2:
+            self.older, self.known = self.known, {"": b""}
+        words = text.replace("\n", " ").split(" ")
+        found = list(map(self.known.get, words))
+        if None in found:
+            found = [self._cached(w) if ids is None else ids for w, ids in zip(words, found)]
+        return b"".join(found)
+
+    def _cached(self, word: str) -> bytes:
+        found = self.known.get(word)
+        if found is None:
+            found = self.older.get(word)
+            if found is None:
+                found = self._word(word)
+            self.known[word] = found
         return found
 
-    def _word(self, word: str) -> list[int]:
-        tokenize = self.model.tokenize
+    def _word(self, word: str) -> bytes:
         if word.isalpha():
-            if word.isascii():
-                return [t.id for t in tokenize(word.lower())]
-            # Latin letters have no forms that depend on their neighbours.
-            lower = word.lower()
-            if max(word) < "\u0250" and unicodedata.is_normalized("NFC", word) and lower.isalpha():
-                letters = lower.encode().decode("latin-1").translate(_PRINTABLE)
-                return [t.id for t in tokenize(letters)]
+            lower = _plain(word)
+            if lower is not None:
+                return self._cached(lower) if lower != word else self._letters(lower)
         elif marked := _MARKED.fullmatch(word):
-            return [t.id for part in marked.groups() for t in tokenize(part.lower())]
+            head, marks = marked.groups()
+            lower = _plain(head) if head.isalpha() else None
+            if lower is not None:
+                return self._cached(lower) + self._cached(marks)
         if "<|" in word:  # may hold a special token
-            return self.whole.encode(word, add_special_tokens=False).ids
+            ids = self.whole.encode(word, add_special_tokens=False).ids
+            return struct.pack(f"<{len(ids)}I", *ids)
         parts = self.whole.pre_tokenizer.pre_tokenize_str(
             self.whole.normalizer.normalize_str(word)
         )
-        return [t.id for part, _ in parts for t in tokenize(part)]
+        return b"".join(self._packed(self.model.tokenize(part)) for part, _ in parts)
+
+    def _letters(self, lower: str) -> bytes:
+        if not lower.isascii():
+            lower = lower.encode().decode("latin-1").translate(_PRINTABLE)
+        return self._packed(self.model.tokenize(lower))
+
+    @staticmethod
+    def _packed(tokens: list) -> bytes:
+        return struct.pack(f"<{len(tokens)}I", *[t.id for t in tokens])
+
+
+def _plain(word: str) -> str | None:
+    """Letters in lower case if the normalizer does nothing else to them, else None."""
+    lower = word.lower()
+    # Latin letters have no forms that depend on their neighbours.
+    if word.isascii() or max(word) < "\u0250" and unicodedata.is_normalized("NFC", word) and lower.isalpha():
+        return lower
+    return None
 
 
 @lru_cache(maxsize=2)

@@ -159,3 +159,23 @@ def test_top_k_with_ties_nulls_and_few_rows(spark):
     few = spark.createDataFrame([(0, 1), (1, 2)], "id long, code long")
     assert [r.neighbor_id for r in hamming_topk.top_k(few, few, 5, bits=16).orderBy("query_id").collect()] == [1, 0]
     assert hamming_topk.top_k(few.where("false"), few, 5, bits=16).count() == 0
+
+
+def test_a_word_is_tokenized_once_for_its_capitals_and_marks():
+    library, ours, asked = Tokenizer.from_file(TOKENIZER), packing.WordTokenizer(TOKENIZER), []
+
+    class Counting:
+        def tokenize(self, part, model=ours.model):
+            asked.append(part)
+            return model.tokenize(part)
+
+    ours.model = Counting()
+    text = "Zorblique zorblique, ZORBLIQUE! zorblique\nZorblique, été, Été ÉTÉ! İx, ŉa. l'été, <|x|>"
+    assert ours.ids(text) == np.array(
+        library.encode(text, add_special_tokens=False).ids, "<u4"
+    ).tobytes()
+    assert asked.count("zorblique") == 1
+    # A new cache takes over what is asked for again.
+    ours.older, ours.known = ours.known, {"": b""}
+    asked.clear()
+    assert ours.ids("zorblique, été") and not asked
