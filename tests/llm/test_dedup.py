@@ -500,3 +500,49 @@ def test_texts_under_one_id_are_judged_each(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     kept = sorted((r.doc_id or 0, r.text) for r in near_copies.one_of_each(docs).collect())
     assert kept == sorted([(0, copy), rows[0], rows[2], rows[3], rows[4]])
+
+
+def test_no_alike_pair_of_passages_is_missed(spark):
+    """A group of edited copies of one passage, in unlike documents: classes by all pairs, each span covered."""
+    r = random.Random(5)
+    base = words(70, 71)
+    rows = []
+    for k in range(90):
+        copy = list(base)
+        for at in r.sample(range(70), r.randrange(0, 4)):
+            copy[at] = f"edit{k}x{at}"
+        rows.append((k, " ".join(words(r.randrange(60), 20000 + k) + copy + words(r.randrange(60), 30000 + k))))
+    # A line that all have, a chain of halves, and copies of one text.
+    rows = [(i, t + " " + " ".join(words(12, 72))) for i, t in rows]
+    chain = [words(60, 40000 + k) for k in range(6)]
+    rows += [(200 + k, " ".join(chain[k] + words(9, 50000 + k) + chain[k + 1])) for k in range(5)]
+    rows += [(300, rows[3][1].upper()), (301, rows[3][1])]
+    rows += [(400 + k, ("ha " * 60) + " ".join(words(30, 60000 + k))) for k in range(3)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    texts = dict(rows)
+    linked = overlap_by_force({i: t.lower() for i, t in texts.items()}, least=1)
+    arrays = {i: passages.shingles(t.encode()) for i, t in texts.items()}
+    linked = {(a, b): passages.alike_spans(arrays[a], arrays[b], 46, 0.8) for a, b in linked}
+    linked = {k: v for k, v in linked.items() if v}
+    classes = components(texts, linked)
+    for few in (passages.FEW, 4):
+        found = passages.repeated_passages(docs, few=few).collect()
+        assert {r.doc_id: r.class_id for r in found} == {i: classes[i] for pair in linked for i in pair}
+        spans = spans_of(found)
+        for (a, _), held in linked.items():
+            for first, last, *_ in held:
+                covered = max(min(last + 4, y) - max(first, x) + 1 for x, y in spans[a])
+                assert covered >= 0.9 * (last + 5 - first)
+
+
+def test_thin_stretches_by_definition():
+    r = random.Random(3)
+    for _ in range(200):
+        weights = [r.choice([0.8, 0.0, -0.2]) for _ in range(r.randrange(0, 30))]
+        least, most = r.randrange(1, 8), r.choice([-1, 0, 2])
+        expected = [False] * len(weights)
+        for x in range(len(weights)):
+            for y in range(x + least, len(weights) + 1):
+                if sum(weights[x:y]) <= most + 1e-6:
+                    expected[x:y] = [True] * (y - x)
+        assert passages.thin_stretches(np.array(weights), least, most).tolist() == expected
