@@ -11,21 +11,39 @@ from duefold.operators.missing import nan_to_null
 from duefold.sources.schemas import MISSING_TEXTS
 
 
-def _typed(
-    text: Column, data_type: T.DataType, missing: Sequence[str], pattern: str | None
-) -> Column:
-    present = F.when(~text.isin(*missing), text)
+def _value(present: Column, data_type: T.DataType, pattern: str | None) -> Column:
     if isinstance(data_type, T.StringType):
         return present
     if isinstance(data_type, T.TimestampNTZType):
         return parse_timestamp(present, pattern)
-    what = f"of type {data_type.simpleString()}"
     if isinstance(data_type, T.IntegralType):
         # A column of whole numbers with gaps may have been written as 3.0.
         short = F.substring(present, F.lit(1), F.length(present) - 2)
-        whole = F.when(present.endswith(".0"), short).otherwise(present)
-        return or_raise(present, whole.cast(data_type), what)
-    return or_raise(present, present.cast(data_type), what)
+        present = F.when(present.endswith(".0"), short).otherwise(present)
+    return present.cast(data_type)
+
+
+def _typed(
+    raw: DataFrame, schema: T.StructType, missing: Sequence[str], pattern: str | None
+) -> DataFrame:
+    """The columns of ``schema``, each cell looked up, parsed and checked once.
+
+    In three steps: as one expression a cell would be looked up wherever it is mentioned, and the
+    code for a dozen columns would be too long for the JVM to compile.
+    """
+    texts = raw.select(
+        *[F.when(~named(f.name).isin(*missing), named(f.name)).alias(f"text{k}") for k, f in enumerate(schema)]
+    )
+    values = texts.select(
+        "*", *[_value(F.col(f"text{k}"), f.dataType, pattern).alias(f"value{k}") for k, f in enumerate(schema)]
+    )
+    checked = []
+    for k, f in enumerate(schema):
+        text, value = F.col(f"text{k}"), F.col(f"value{k}")
+        if not isinstance(f.dataType, (T.StringType, T.TimestampNTZType)):
+            value = or_raise(text, value, f"of type {f.dataType.simpleString()}")
+        checked.append(value.alias(f.name))
+    return values.select(*checked)
 
 
 def read_typed_csv(
@@ -60,12 +78,7 @@ def read_typed_csv(
     )
     if names:
         raw = raw.withColumnsRenamed(dict(names))
-    typed = raw.select(
-        *[
-            _typed(named(f.name), f.dataType, missing, timestamp_pattern).alias(f.name)
-            for f in schema
-        ]
-    )
+    typed = _typed(raw, schema, missing, timestamp_pattern)
     return nan_to_null(typed)
 
 

@@ -13,7 +13,7 @@ from duefold.operators import timing as T
 from duefold.operators import worst as W
 from duefold.plans.price_model import prepare
 from duefold.session import new_path
-from duefold.sources import stand_ins
+from duefold.sources import readers, stand_ins, writers
 
 from .conftest import SMALL
 
@@ -229,3 +229,23 @@ def test_adaptive_skew_join_keeps_all_rows(spark, skewed):
     finally:
         for key, value in before.items():
             spark.conf.unset(key) if value is None else spark.conf.set(key, value)
+
+
+def _compiled(df, capsys):
+    """Bytes of the longest method of each compiled part of a plan without adaptive stages."""
+    spark = df.sparkSession
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        df.select("*").explain("codegen")
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")
+    return [int(n) for n in re.findall(r"maxMethodCodeSize:(\d+)", capsys.readouterr().out)]
+
+
+def test_typed_cells_of_a_wide_file_are_compiled(spark, tmp_path, capsys):
+    """The JVM runs methods of more than 8000 bytes uncompiled."""
+    folder = "/root/testdata/sf0.001"
+    table = prepare(*(getattr(stand_ins, n)(spark, folder) for n in ("vehicles", "ratings", "operators")))
+    writers.write_csv(table, str(tmp_path / "csv"))
+    sizes = _compiled(readers.read_typed_csv(spark, str(tmp_path / "csv"), table.schema), capsys)
+    assert sizes and max(sizes) < 8000
