@@ -171,29 +171,40 @@ _TOLERANCE = 1e-10
 _ROUNDING = 1e-9
 
 
+def _products(far: DataFrame, pairs: Sequence[tuple[int, int]]) -> DataFrame:
+    """One row: the sum of each column, then of the products of each pair of columns."""
+    names = far.columns
+    products = [F.sum(F.col(names[i]) * F.col(names[j])) for i, j in pairs]
+    return far.agg(*[F.sum(c) for c in names], *products)
+
+
 def co_moments(df: DataFrame, columns: Sequence[str]) -> tuple[int, np.ndarray, np.ndarray]:
     """(n, means, covariances) of the rows that have all columns, NaN counting as missing.
 
-    Moments are summed around running means and merged, never as raw squares, which would
-    cancel. One pass up to some 40 columns, beyond that one for every thousand pairs. The driver
-    receives one number per pair of columns, however many rows there are.
+    One pass for the means and one that sums products of distances from them, beyond some 40 columns one for
+    every thousand pairs; never raw squares, which would cancel. Plain sums stay small enough to be compiled,
+    which covariance functions by the dozen do not. The driver receives one number per pair of
+    columns, however many rows there are.
     """
     numbers = df.select(*[named(c).cast("double").alias(f"x{i}") for i, c in enumerate(columns)])
     names = numbers.columns
     for name in names:
         numbers = numbers.where(F.col(name).isNotNull() & ~F.isnan(name))
+    row = numbers.agg(F.count(F.lit(1)), *[F.avg(c) for c in names]).first()
+    n, about = row[0], np.array([v or 0.0 for v in row[1:]])
+    far = numbers.select(*[(F.col(c) - F.lit(float(v))).alias(c) for c, v in zip(names, about)])
     pairs = list(combinations_with_replacement(range(len(names)), 2))
     matrix = np.zeros((len(names), len(names)))
+    means = about
     for start in range(0, max(len(pairs), 1), _MOMENTS):
         part = pairs[start : start + _MOMENTS]
-        row = numbers.agg(
-            F.count(F.lit(1)),
-            *[F.avg(c) for c in names],
-            *[F.covar_pop(names[i], names[j]) for i, j in part],
-        ).first()
-        for (i, j), value in zip(part, row[1 + len(names) :]):
-            matrix[i, j] = matrix[j, i] = value or 0.0
-    return row[0], np.array([v or 0.0 for v in row[1 : 1 + len(names)]]), matrix
+        row = _products(far, part).first()
+        # What rounding left of the means is taken away.
+        rest = np.array([v or 0.0 for v in row[: len(names)]]) / max(n, 1)
+        means = about + rest
+        for (i, j), value in zip(part, row[len(names) :]):
+            matrix[i, j] = matrix[j, i] = (value or 0.0) / max(n, 1) - rest[i] * rest[j]
+    return n, means, matrix
 
 
 def minimum_norm(covariances: np.ndarray, with_target: np.ndarray) -> tuple[np.ndarray, int]:

@@ -9,6 +9,7 @@ from contract.queries import QUERIES
 from duefold.operators import credits as C
 from duefold.operators import maturity as M
 from duefold.operators import quantiles as Q
+from duefold.operators import regression as R
 from duefold.operators import timing as T
 from duefold.operators import worst as W
 from duefold.plans.price_model import prepare
@@ -249,3 +250,18 @@ def test_typed_cells_of_a_wide_file_are_compiled(spark, tmp_path, capsys):
     writers.write_csv(table, str(tmp_path / "csv"))
     sizes = _compiled(readers.read_typed_csv(spark, str(tmp_path / "csv"), table.schema), capsys)
     assert sizes and max(sizes) < 8000
+
+
+def test_moments_are_summed_by_compiled_code(spark, monkeypatch, capsys):
+    """Aggregates of more than a hundred buffers are not compiled: every sum of a fit with ten features is."""
+    asked, frame = [], type(spark.range(0))
+    agg = frame.agg
+    monkeypatch.setattr(frame, "agg", lambda df, *exprs: asked.append(agg(df, *exprs)) or asked[-1])
+    names = [f"c{k}" for k in range(11)]
+    R.co_moments(spark.range(50).select(*[F.rand(k).alias(c) for k, c in enumerate(names)]), names)
+    monkeypatch.undo()
+    assert asked
+    for sums in asked:
+        # One part before the exchange and one behind it.
+        sizes = _compiled(sums, capsys)
+        assert len(sizes) == 2 and max(sizes) < 8000
