@@ -5,13 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from duefold.llm import exact_dedup, language_id, mixing, near_copies, packing
-from duefold.llm.common import new_path, workers_find_package
+from duefold.llm.common import bounded_batches, new_path, workers_find_package
 from duefold.llm.settings import TOKENIZER
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in a language that is recognised; the rest goes."""
     workers_find_package(spark)
+    bounded_batches(spark)
     return language_id.in_known_language(docs)
 
 
@@ -23,6 +24,7 @@ def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies."""
     workers_find_package(spark)
+    bounded_batches(spark)
     return near_copies.one_of_each(docs)
 
 
@@ -34,6 +36,7 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of token sequences of at most 2048."""
     workers_find_package(spark)
+    bounded_batches(spark)
     return packing.pack(docs, TOKENIZER)
 
 

@@ -1,10 +1,12 @@
 """Every query of the package against its SQL, and that odd and empty tables give defined results."""
 
+import pyarrow as pa
 import pytest
 
 import corpus_pipeline
 from contract.check import differences, duckdb_session
 from duefold.llm import (
+    common,
     exact_dedup,
     language_id,
     license_scan,
@@ -95,3 +97,28 @@ def test_pipeline_keeps_clean_documents(spark):
     expected = set(components(texts, links).values())
     assert {r.doc_id for r in near.collect()} == expected and len(expected) == near.count()
     assert QUERIES["pipeline"](spark, SMALL).count() > 0
+
+
+def test_stages_send_texts_to_workers_in_small_batches(spark, no_docs):
+    """Ten thousand rows of 20 KB would be 200 MB at once, and 64 MB by the setting's default."""
+    corpus_pipeline.language(spark, no_docs, SMALL)
+    texts = spark.range(0, 1000, 1, 1).selectExpr("repeat('many words ', 2000) AS text")
+
+    def sizes(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([batch.num_rows]), pa.array([batch.nbytes])], ["n", "size"])
+
+    rows = texts.mapInArrow(sizes, "n long, size long").collect()
+    assert sum(r.n for r in rows) == 1000
+    assert max(r["size"] for r in rows) < 2 * common.BATCH
+
+
+@pytest.mark.parametrize("set_before, bound", [("64m", common.BATCH), ("1m", 1 << 20)])
+def test_a_smaller_batch_bound_of_the_session_stays(spark, set_before, bound):
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    try:
+        spark.conf.set(name, set_before)
+        common.bounded_batches(spark)
+        assert common._bytes(spark.conf.get(name)) == bound
+    finally:
+        spark.conf.unset(name)
