@@ -31,6 +31,8 @@ LONG_ROWS = 20
 #: Bits a byte that a text may need, against its language's samples, and bits that a short one may need more.
 MOST_BITS = 2.6
 SPARE_BITS = 512
+#: Bytes of eight bits that count among each language's samples: what few samples need says little about others.
+FLAT_BYTES = 512
 UNKNOWN = "und"
 
 #: Symbols: bytes with A-Z as a-z, and one that stands before a text's first byte.
@@ -49,7 +51,7 @@ class PpmModel:
     byte_class: np.ndarray
     node: np.ndarray
     bits: np.ndarray
-    #: Bits a byte that each language needs for its own samples.
+    #: Bits a byte that each language needs for its own samples and ``FLAT_BYTES`` that it cannot foresee.
     own: np.ndarray
 
     def code_lengths(self, texts: list[bytes], step: int = 1 << 19) -> np.ndarray:
@@ -207,7 +209,7 @@ def build(counts: pa.Table) -> PpmModel:
     code[:, _START_CLASS] = 0.0
     byte_class = to_class[_FOLD].astype(np.int32)
     paid = np.bincount(lang, n * code[offset - len(contexts) + at, symbol, lang], len(languages))
-    own = paid / np.bincount(lang, n, len(languages))
+    own = (paid + 8 * FLAT_BYTES) / (np.bincount(lang, n, len(languages)) + FLAT_BYTES)
     return PpmModel(languages, byte_class, node.reshape(-1), code.astype(np.float32), own)
 
 
