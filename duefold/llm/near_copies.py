@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from duefold.llm.common import connected, long_array, new_path, text_slices, written
+from duefold.llm.common import connected, long_array, new_path, stored, text_slices, without, written
 from duefold.llm.simhash import fingerprint, fuzzy_keys, rehashed, shingle_hashes
 
 PRINTS = 5
@@ -131,13 +131,13 @@ def _bytes_outside() -> Column:
 
 def near_nodes(prints: DataFrame) -> DataFrame:
     """(node): the documents of ``prints`` (node, wide, prints) that meet another one."""
-    keyed = written(
+    keyed = stored(
         prints.select("node", "wide", "prints").mapInArrow(
             _keyed, "key long, fp long, wide long, node long"
         ),
         "keys",
     )
-    sizes = written(keyed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"), "key-sizes")
+    sizes = stored(keyed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"), "key-sizes")
     blocks = F.ceil(F.col("n") / BLOCK).cast("int")
     dealt = (
         keyed.join(sizes, "key")
@@ -152,7 +152,7 @@ def near_nodes(prints: DataFrame) -> DataFrame:
     dealt = dealt.where(
         (F.col("blocks") > 1) | (F.size("members") > 2) | ((F.size("members") == 2) & near)
     )
-    met = written(
+    met = stored(
         dealt.select("key", "own", "blocks", "members.fp", "members.wide", "members.node").mapInArrow(
             _met, "key long, own int, blocks int, fp long, wide long, node long, met boolean"
         ),
@@ -318,19 +318,24 @@ def links_of(sets: DataFrame, similarity: float) -> DataFrame:
 
     Pairs whose fingerprints ``wide`` are more than ``WIDE`` bits apart do not count.
     """
+    return linked(sets, similarity)[0]
+
+
+def linked(sets: DataFrame, similarity: float) -> tuple[DataFrame, DataFrame]:
+    """(``links_of``, what they connect as (node, component))."""
     spark = sets.sparkSession
-    rows = written(listed(sets, similarity), "listed")
+    rows = stored(listed(sets, similarity), "listed")
     centres = rows.groupBy("shingle").agg(
         F.max(F.struct("common", F.negative("node").alias("last"))).alias("c"), F.count("*").alias("size")
     )
     centres = centres.where("size > 1").select("shingle", "size", F.negative("c.last").alias("centre"))
-    waiting = classes = written(rows.join(centres, "shingle"), "classes")
+    waiting = classes = stored(rows.join(centres, "shingle"), "classes")
     tiles = tiles_of(classes)
-    links, tried = new_path(spark, "links"), new_path(spark, "tried-pairs")
+    tried = new_path(spark, "tried-pairs")
     # Rows made by the JVM; an empty list would start Python workers of another kind on every executor.
-    nothing = spark.range(0).select(F.col("id").alias("a"), F.col("id").alias("b"))
-    nothing.write.parquet(links)
-    nothing.write.parquet(tried)
+    links = spark.range(0).select(F.col("id").alias("a"), F.col("id").alias("b"))
+    links.write.parquet(tried)
+    parts = links.toDF("node", "component")
     heads = classes.where("node = centre").select("shingle", "node")
     waiting = waiting.withColumns({"part": F.col("node"), "main": F.col("centre")})
     most = 1
@@ -348,16 +353,18 @@ def links_of(sets: DataFrame, similarity: float) -> DataFrame:
             .join(spark.read.parquet(tried), ["a", "b"], "left_anti"),
             "candidates",
         )
-        alike(pairs, sets, tiles, similarity).write.mode("append").parquet(links)
+        fresh = stored(alike(pairs, sets, tiles, similarity), "links")
         pairs.write.mode("append").parquet(tried)
-        parts = connected(spark.read.parquet(links)).select("node", F.col("component").alias("part"))
-        parts = written(parts, "parts")
+        if not fresh.isEmpty():
+            # Components of earlier rounds stand for the links that made them.
+            links, parts = links.unionByName(fresh), connected(parts.toDF("a", "b").unionByName(fresh))
+        mine = parts.select("node", F.col("component").alias("part"))
         # Who has been a head has met all of its class. A class is done when the others belong to its centre.
-        now = written(
+        now = stored(
             waiting.drop("part", "main")
             .join(heads, ["shingle", "node"], "left_anti")
-            .join(parts, "node", "left")
-            .join(parts.select(F.col("node").alias("centre"), F.col("part").alias("main")), "centre", "left")
+            .join(mine, "node", "left")
+            .join(mine.select(F.col("node").alias("centre"), F.col("part").alias("main")), "centre", "left")
             .withColumns({"part": F.coalesce("part", "node"), "main": F.coalesce("main", "centre")}),
             "members-now",
         )
@@ -369,8 +376,8 @@ def links_of(sets: DataFrame, similarity: float) -> DataFrame:
             .select("shingle", F.negative("c.last").alias("node")),
             "centres",
         )
-        waiting = written(now.join(apart.select("shingle").distinct(), "shingle", "left_semi"), "waiting")
-    return spark.read.parquet(links)
+        waiting = stored(now.join(apart.select("shingle").distinct(), "shingle", "left_semi"), "waiting")
+    return links, parts
 
 
 def one_of_each(docs: DataFrame, words: int = WORDS, similarity: float = SIMILARITY) -> DataFrame:
@@ -398,20 +405,20 @@ def one_of_each(docs: DataFrame, words: int = WORDS, similarity: float = SIMILAR
         prints.join(near_nodes(prints), "node").select("node", "id", "digest", "wide"), "members"
     )
     texts = (
-        rows.join(members, ["id", "digest"])
+        rows.join(members.hint("merge"), ["id", "digest"])
+        # The join has dealt rows by these already.
+        .dropDuplicates(["id", "digest"])
         .select("node", "wide", "text")
         .mapInArrow(_sets(words), "node long, wide long, hashes array<long>")
     )
-    sets = written(texts.dropDuplicates(["node"]), "sets")
-    parts = connected(links_of(sets, similarity))
+    sets = stored(texts, "sets")
+    _, parts = linked(sets, similarity)
     parts = parts.unionByName(parts.select(F.col("component").alias("node"), "component")).distinct()
     named = written(parts.join(members.select("node", "id", "digest"), "node"), "near-copies")
     first = named.groupBy("component").agg(F.min(F.struct("id", "digest")).alias("first"))
     gone = named.join(first, "component").where(
         (F.col("id") != F.col("first.id")) | (F.col("digest") != F.col("first.digest"))
     )
-    gone = gone.select(F.col("id").alias("gone_id"), F.col("digest").alias("gone_digest"))
+    gone = written(gone.select("id", "digest"), "gone")
     held = docs.select(F.struct("*").alias("doc"), id_.alias("id"), digest.alias("digest"))
-    return held.join(
-        gone, (F.col("id") == F.col("gone_id")) & (F.col("digest") == F.col("gone_digest")), "left_anti"
-    ).select("doc.*")
+    return without(held, gone, ["id", "digest"]).select("doc.*")

@@ -8,7 +8,7 @@ import pytest
 import xxhash
 
 from duefold.llm import exact_dedup, near_copies, passages, simhash
-from duefold.llm.common import connected, new_path
+from duefold.llm.common import connected, new_path, without, written
 from tests.conftest import SMALL
 
 from .conftest import lower
@@ -461,6 +461,51 @@ def test_links_of_a_group_around_the_bound(spark, monkeypatch):
     assert sum(asked) < 120 * 119 / 2 / 4
 
 
+def test_components_go_on_from_those_of_earlier_rounds(spark, monkeypatch):
+    """A round's components are made of those before it and its own links, not of all links again."""
+    r = random.Random(5)
+    base = [r.getrandbits(64) - (1 << 63) for _ in range(60)]
+    sets = {i: sorted(base[:46] + base[46 + i % 12 : 48 + i % 12] + [10**6 + i] * (i % 3)) for i in range(150)}
+    sets = {i: sorted(set(s)) for i, s in sets.items()}
+    # Half shares only some of the base, so its members stay apart from the centre and come later.
+    sets |= {i: sorted({*base[30:], *(10**7 + i % 5 + k for k in range(2))}) for i in range(150, 200)}
+    frame = spark.createDataFrame([(i, 0, s) for i, s in sets.items()], "node long, wide long, hashes array<long>")
+    given, compare, connect, new = [], near_copies.alike, near_copies.connected, []
+
+    def counted(*args):
+        out = compare(*args)
+        new.append(out.count())
+        return out
+
+    def seen(links):
+        given.append(links.count())
+        return connect(links)
+
+    monkeypatch.setattr(near_copies, "alike", counted)
+    monkeypatch.setattr(near_copies, "connected", seen)
+    links, parts = near_copies.linked(frame, 0.8)
+    assert len(new) > 1 and links.count() == sum(new)
+    assert len(given) == sum(n > 0 for n in new)
+    found = components(sets, [(x.a, x.b) for x in links.collect()])
+    assert found == components(sets, [(x.node, x.component) for x in parts.collect()])
+
+
+def test_without_equals_anti_join(spark, monkeypatch):
+    """Full and nearly empty maps, null keys, rows that repeat, keys that fall on a set bit by chance."""
+    rows = spark.range(5000).selectExpr("if(id % 97 = 0, null, id % 4000) AS id", "id % 3 AS digest", "id AS doc")
+    for bits, step in ((1 << 15, 2), (1 << 23, 50), (1 << 23, 10**6)):
+        monkeypatch.setattr("duefold.llm.common.MAP_BITS", bits)
+        gone = written(
+            spark.range(1, 4000, step).selectExpr("if(id % 11 = 0, null, id) AS id", "id % 3 AS digest"), "gone"
+        )
+        expected = rows.join(gone, ["id", "digest"], "left_anti")
+        found = without(rows, gone, ["id", "digest"])
+        assert found.columns == rows.columns
+        assert sorted(x.doc for x in found.collect()) == sorted(x.doc for x in expected.collect())
+    nothing = written(gone.where("false"), "gone")
+    assert without(rows, nothing, ["id", "digest"]).count() == 5000
+
+
 def test_recall_of_the_search_by_band(spark):
     """Of all pairs at 0.8 or more, found without any search, at least 0.9 in each band are linked."""
     docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet").select("doc_id", "text")
