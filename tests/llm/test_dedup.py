@@ -490,6 +490,30 @@ def test_components_go_on_from_those_of_earlier_rounds(spark, monkeypatch):
     assert found == components(sets, [(x.node, x.component) for x in parts.collect()])
 
 
+def test_shared_windows_come_in_parts(spark, monkeypatch):
+    """Every row whose value comes again is there once, whatever part its value is in; no part takes all."""
+    r = random.Random(3)
+    values = [r.getrandbits(64) - (1 << 63) for _ in range(900)]
+    rows = [(r.choice(values), doc, r.randrange(9), 0, 9) for doc in range(60) for _ in range(20)]
+    windows = written(spark.createDataFrame(rows, "value long, doc long, at int, left int, right int"), "windows")
+    sizes, store = [], passages.stored
+
+    def seen(df, name):
+        out = store(df, name)
+        sizes.append(out.count())
+        return out
+
+    monkeypatch.setattr(passages, "stored", seen)
+    times = Counter(x[0] for x in rows)
+    found = sorted(tuple(x) for x in passages._shared(windows).collect())
+    assert found == sorted((*x, times[x[0]]) for x in rows if times[x[0]] > 1)
+    several = sum(n > 1 for n in times.values())
+    assert sum(sizes) == several and len(sizes) > 1 and max(sizes) < several / 3
+    # A value that only one document has, twice, brings it together with no one.
+    alone = spark.createDataFrame([(8, 1, 3, 0, 9), (8, 1, 20, 15, 29)], windows.schema)
+    assert passages._facing(written(alone, "windows")).count() == 0
+
+
 def test_without_equals_anti_join(spark, monkeypatch):
     """Full and nearly empty maps, null keys, rows that repeat, keys that fall on a set bit by chance."""
     rows = spark.range(5000).selectExpr("if(id % 97 = 0, null, id % 4000) AS id", "id % 3 AS digest", "id AS doc")
