@@ -2,6 +2,7 @@ import hashlib
 import random
 import re
 from collections import Counter
+from pathlib import Path
 
 import numpy as np
 import pytest
@@ -514,6 +515,34 @@ def test_shared_windows_come_in_parts(spark, monkeypatch):
     assert passages._facing(written(alone, "windows")).count() == 0
 
 
+def test_windows_go_when_they_have_been_read(spark):
+    """Every part of the stored windows is deleted after its last use; rows that are needed later stay."""
+    before = set(Path(spark.conf.get("spark.checkpoint.dir").removeprefix("file:")).iterdir())
+    shared = words(60, 81)
+    rows = [(k, " ".join(words(40, 82 + k) + shared)) for k in range(6)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    found = sorted(tuple(x) for x in passages.repeated_passages(docs).collect())
+    assert found == [(k, 40, 99, 0, int(k == 0), 1.0) for k in range(6)]
+    made = set(Path(spark.conf.get("spark.checkpoint.dir").removeprefix("file:")).iterdir()) - before
+    windows = [x for x in made if x.name.startswith("windows-")]
+    assert windows and not [f for x in windows for f in x.rglob("*.parquet")]
+
+
+def test_a_set_is_sent_once_for_many_pairs(spark, monkeypatch):
+    """All pairs of a group need few copies of a set, and the pairs of a hub are in many slots."""
+    monkeypatch.setattr(passages, "SIDE", 8)
+    group = [(a, b) for a in range(60) for b in range(a)]
+    star = [(1000 + k, 999) for k in range(1000)]
+    pairs = written(spark.createDataFrame(group + star, "a long, b long"), "pairs")
+    found = passages._slots(pairs).collect()
+    assert sorted((x.a, x.b) for x in found) == sorted(group + star)
+    held = {(x.slot, doc) for x in found for doc in (x.a, x.b)}
+    assert len([1 for _, doc in held if doc < 60]) < 60 * 20
+    assert len([1 for _, doc in held if doc >= 1000]) == 1000
+    of_hub = Counter(x.slot for x in found if x.b == 999)
+    assert len(of_hub) > 20 and max(of_hub.values()) < 100
+
+
 def test_without_equals_anti_join(spark, monkeypatch):
     """Full and nearly empty maps, null keys, rows that repeat, keys that fall on a set bit by chance."""
     rows = spark.range(5000).selectExpr("if(id % 97 = 0, null, id % 4000) AS id", "id % 3 AS digest", "id AS doc")
