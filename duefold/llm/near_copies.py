@@ -32,8 +32,19 @@ PRINTS = 5
 WIDE = 14
 WORDS = 5
 SIMILARITY = 0.8
-#: Documents that a block of one key holds on average at most.
-BLOCK = 512
+#: Documents that a block of one key holds on average at most, unless the key has more than ``BLOCKS`` such blocks.
+BLOCK = 4096
+#: Blocks of a key, while these hold no more than ``MOST_BLOCK`` documents.
+BLOCKS = 16
+MOST_BLOCK = 1 << 15
+#: Documents of a key that are compared all at once, at most.
+SMALL = 192
+#: Documents of one fingerprint that are compared with each other under one key alone, at least.
+CROWD = 64
+#: Pairs whose fingerprints are compared at once.
+PAIRS = 1 << 18
+#: What of a key is not the number of its fingerprint.
+KEY_BITS = (1 << 30) - 1
 #: Words of 64 bits of the hash table that rules out unlike sets before they are compared.
 MARKS = 8
 MARK = [f"mark{k}" for k in range(MARKS)]
@@ -87,46 +98,59 @@ def _keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Blocks of a key -> (key, own, blocks, fp, wide, node, met): whether a document has another near.
+    """(key, lo, hi) and the lists own, fp, wide, node of two blocks of the key -> (node): who has another near.
 
-    Blocks come as lists of numbers and stay so; none becomes Python objects.
+    Lists are of numbers and stay so; none becomes Python objects.
     """
     for batch in batches:
         offsets = batch.column(3).offsets.to_numpy()
-        fps, wides = (batch.column(k).flatten().to_numpy().view(np.uint64) for k in (3, 4))
+        own, fps, wides, nodes = (batch.column(k).flatten().to_numpy() for k in range(3, 7))
+        fps, wides = fps.view(np.uint64), wides.view(np.uint64)
         offsets = offsets - offsets[0] if len(offsets) else offsets
         met = np.zeros(len(fps), bool)
-        for first, last in zip(offsets[:-1], offsets[1:]):
-            fp, wide = fps[first:last], wides[first:last]
-            near = np.bitwise_count(fp[:, None] ^ fp[None, :]) <= 3
-            near &= np.bitwise_count(wide[:, None] ^ wide[None, :]) <= WIDE
-            met[first:last] = near.sum(axis=1) > 1
-        sizes = np.diff(offsets)
-        key, own, blocks = (np.repeat(batch.column(k).to_numpy(), sizes) for k in range(3))
-        # Of a key with one block those that met none are done.
-        kept = np.flatnonzero(met | (blocks > 1))
-        nodes = batch.column(5).flatten().to_numpy()
-        for k in range(0, len(kept), 1 << 16):
-            part = kept[k : k + (1 << 16)]
-            columns = (key[part], own[part], blocks[part], long_array(fps[part]), long_array(wides[part]))
-            yield pa.RecordBatch.from_arrays(
-                [*(c if isinstance(c, pa.Array) else pa.array(c) for c in columns), pa.array(nodes[part]), pa.array(met[part])],
-                ["key", "own", "blocks", "fp", "wide", "node", "met"],
-            )
+        for k, (key, lo, hi) in enumerate(zip(*(batch.column(c).to_pylist() for c in range(3)))):
+            part = slice(offsets[k], offsets[k + 1])
+            met[part] = near_others(fps[part], wides[part], key, None if lo == hi else own[part] == lo)
+        found = np.unique(nodes[met])
+        yield pa.RecordBatch.from_arrays([pa.array(found)], ["node"])
 
 
-def _apart(a: Column, b: Column) -> Column:
-    return F.bit_count(a.bitwiseXOR(b))
+def near_others(fps: np.ndarray, wides: np.ndarray, key: int, first: np.ndarray | None = None) -> np.ndarray:
+    """Which documents of ``key`` have another near; only pairs with one of ``first`` and one of the rest, if given.
+
+    Equal fingerprints have all keys in common. Where many documents have one, these are compared with each other
+    under its lowest key alone. Who has met another need not look for more, but is there for others to meet.
+    """
+    if first is None and len(fps) <= SMALL:
+        # Most keys are small: no more than needed for each.
+        near = np.bitwise_count(wides[:, None] ^ wides) <= WIDE
+        if np.count_nonzero(near) > len(fps):
+            near &= np.bitwise_count(fps[:, None] ^ fps) <= 3
+        return near.sum(axis=1) > 1
+    met, asked = np.zeros(len(fps), bool), np.zeros(len(fps), bool)
+    values, runs, copies = np.unique(fps, return_inverse=True, return_counts=True)
+    crowds = [r for r in np.flatnonzero(copies >= CROWD) if fuzzy_keys(values[r : r + 1])[1].min() != key & KEY_BITS]
+    crowded = np.isin(runs, crowds)
+    for side in [None] if first is None else [first, ~first]:
+        for mine, others in [(~crowded, None), *((runs == r, runs != r) for r in crowds)]:
+            if side is not None:
+                mine, others = mine & side, ~side if others is None else others & ~side
+            while len(rows := np.flatnonzero(mine & ~asked & ~met)):
+                # Who has asked before has met these or is not near.
+                columns = np.flatnonzero(~asked if others is None else others & ~asked)
+                if not len(columns):
+                    break
+                rows = rows[: max(1, PAIRS // len(columns))]
+                asked[rows] = True
+                spots = np.flatnonzero(np.bitwise_count(wides[rows, None] ^ wides[None, columns]) <= WIDE)
+                a, b = rows[spots // len(columns)], columns[spots % len(columns)]
+                near = (a != b) & (np.bitwise_count(fps[a] ^ fps[b]) <= 3)
+                met[a[near]] = met[b[near]] = True
+    return met
 
 
-def _bytes_outside() -> Column:
-    """(place, byte) of the two segments of ``fp`` that ``key`` says nothing about."""
-    parts = []
-    for place in range(4):
-        segment = f"(shiftright(key, 28) + {2 + place // 2}) % 4"
-        byte = f"shiftrightunsigned(fp, cast(16 * ({segment}) + {8 * (place % 2)} AS INT)) & 255"
-        parts.append(F.struct(F.lit(place).alias("place"), F.expr(byte).alias("byte")))
-    return F.array(*parts)
+def _apart(a: Column, b: Column) -> Column:
+    return F.bit_count(a.bitwiseXOR(b))
 
 
 def near_nodes(prints: DataFrame) -> DataFrame:
@@ -138,42 +162,28 @@ def near_nodes(prints: DataFrame) -> DataFrame:
         "keys",
     )
     sizes = stored(keyed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"), "key-sizes")
-    blocks = F.ceil(F.col("n") / BLOCK).cast("int")
+    # A large key is dealt into blocks and every two meet. Its blocks grow with it up to a bound, so that a document
+    # is sent to few pairs of blocks however many share the key.
+    size = F.greatest(F.lit(BLOCK), F.least(F.lit(MOST_BLOCK), F.col("n") / BLOCKS))
+    blocks = F.ceil(F.col("n") / size).cast("int")
+    own = F.pmod(F.xxhash64("node"), blocks).cast("int")
     dealt = (
         keyed.join(sizes, "key")
-        .withColumn("blocks", blocks)
-        .withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
-        .groupBy("key", "own", "blocks")
-        .agg(F.collect_list(F.struct("fp", "wide", "node")).alias("members"))
-    )
+        .select(
+            "key", "fp", "wide", "node", own.alias("own"),
+            F.explode(F.sequence(F.lit(0), blocks - 1)).alias("other"),
+        )
+        .groupBy("key", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"))
+        .agg(F.collect_list(F.struct("own", "fp", "wide", "node")).alias("members"))
+    )
     # Most keys hold two documents; those that are not near never reach Python.
     one, two = F.element_at("members", 1), F.element_at("members", 2)
     near = (_apart(one["fp"], two["fp"]) <= 3) & (_apart(one["wide"], two["wide"]) <= WIDE)
-    dealt = dealt.where(
-        (F.col("blocks") > 1) | (F.size("members") > 2) | ((F.size("members") == 2) & near)
-    )
-    met = stored(
-        dealt.select("key", "own", "blocks", "members.fp", "members.wide", "members.node").mapInArrow(
-            _met, "key long, own int, blocks int, fp long, wide long, node long, met boolean"
-        ),
-        "met",
-    )
-    # Documents of a large key that met none of their own block look for others of the key that agree in
-    # one of four bytes: three bits apart, the two segments outside the key differ in three bytes at most.
-    found = written(met.where("met").select("node").distinct(), "found")
-    large = met.where("blocks > 1").select("key", "fp", "wide", "node", "met", F.inline(_bytes_outside()))
-    others = large.where("NOT met").join(found, "node", "left_anti").drop("met")
-    shelves = large.select(
-        "key", "place", "byte", F.col("fp").alias("f"), F.col("wide").alias("w"), F.col("node").alias("other")
-    )
-    late = (
-        others.join(shelves, ["key", "place", "byte"])
-        .where(F.col("node") != F.col("other"))
-        .where(_apart(F.col("fp"), F.col("f")) <= 3)
-        .where(_apart(F.col("wide"), F.col("w")) <= WIDE)
-        .select("node")
-    )
-    return found.unionByName(late).distinct()
+    dealt = dealt.where((F.size("members") > 2) | ((F.size("members") == 2) & near))
+    met = dealt.select(
+        "key", "lo", "hi", "members.own", "members.fp", "members.wide", "members.node"
+    ).mapInArrow(_met, "node long")
+    return stored(met.distinct(), "met")
 
 
 def _sets(words: int):

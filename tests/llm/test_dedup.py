@@ -420,6 +420,43 @@ def test_every_meeting_in_large_keys_is_found(spark, monkeypatch):
     assert len(expected) > 50
 
 
+def test_a_crowd_of_equal_fingerprints_meets_under_one_key(spark, monkeypatch):
+    """Many documents of one fingerprint and some around it: all meetings are found, and few pairs compared."""
+    monkeypatch.setattr(near_copies, "BLOCK", 40)
+    r = random.Random(9)
+    centre = [r.getrandbits(64) for _ in range(near_copies.PRINTS)]
+    rows = []
+    for node in range(360):
+        flips = 0 if node < 260 else r.randrange(1, 6)
+        prints = [c ^ sum(1 << b for b in r.sample(range(64), flips)) for c in centre]
+        wide = r.getrandbits(64) if node % 9 else rows[-3][1] ^ 7 if rows else 0
+        rows.append((node, wide, prints))
+    expected = {
+        a for a, wide, x in rows for b, other, y in rows
+        if a != b and (wide ^ other).bit_count() <= near_copies.WIDE
+        and any((p ^ q).bit_count() <= 3 for p, q in zip(x, y))
+    }
+    assert 20 < len(expected) < 200
+    signed = [(n, *(v - (1 << 64) if v >> 63 else v for v in (w, *x))) for n, w, x in rows]
+    frame = spark.createDataFrame([(n, w, x) for n, w, *x in signed], "node long, wide long, prints array<long>")
+    assert {x.node for x in near_copies.near_nodes(frame.repartition(3)).collect()} == expected
+
+    # The same with the pairs counted, keys not dealt.
+    fps, wides = np.array([x[0] for *_, x in rows], np.uint64), np.array([w for _, w, _ in rows], np.uint64)
+    at, keys = simhash.fuzzy_keys(fps)
+    compared, bit_count = [], np.bitwise_count
+    monkeypatch.setattr(np, "bitwise_count", lambda x: (compared.append(x.size), bit_count(x))[1])
+    met = np.zeros(len(rows), bool)
+    for key in np.unique(keys):
+        under = at[keys == key]
+        met[under] |= near_copies.near_others(fps[under], wides[under], int(key))
+    near = bit_count(wides[:, None] ^ wides) <= near_copies.WIDE
+    near &= bit_count(fps[:, None] ^ fps) <= 3
+    assert (met == (near.sum(axis=1) > 1)).all()
+    # At least four keys hold all of the crowd.
+    assert sum(compared) < 2 * 260**2 + 260 * sum((keys == k).sum() for k in np.unique(keys[at < 260])) / 2
+
+
 def test_links_equal_brute_force_where_keys_are_common(spark):
     """Sets of few different shingles, so that classes are large and unlike sets share them."""
     r = random.Random(7)
