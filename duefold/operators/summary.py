@@ -45,15 +45,16 @@ def summary(
         F.max("value").alias("max"),
         F.sum(F.when(value < 0, copies).otherwise(0)).alias("n_negative"),
     ]
-    # Deviations from the mean, not sums of squares, which would cancel, and all in one pass: rows by
-    # moments that merge; the few different values, which ``percentile`` gathers too, by their list.
+    # Deviations from the mean, not sums of squares, which would cancel: rows in a second pass, since moments
+    # that merge lose digits of a spread far below the mean; the few different values, which ``percentile``
+    # gathers too, by their list.
     if small_domain:
         aggregates += [
             F.collect_list(F.struct("value", "copies")).alias("held"),
             F.percentile("value", points, copies).alias("quantiles"),
         ]
     else:
-        aggregates += [F.avg("value").alias("mean"), F.stddev_samp("value").alias("std")]
+        aggregates.append(F.avg("value").alias("mean"))
     totals = counts.groupBy("column").agg(*aggregates)
     if small_domain:
         zero = F.lit(0.0)
@@ -66,6 +67,14 @@ def summary(
         )
         spread = F.sqrt(squares / F.nullif(F.col("count") - 1, F.lit(0)))
         totals = totals.withColumn("std", spread).drop("held")
+    else:
+        apart = value - F.col("mean")
+        # What rounding of the mean adds to the squares is taken off again.
+        squares = F.greatest(F.sum(apart * apart) - F.sum(apart) * F.sum(apart) / F.count("*"), F.lit(0.0))
+        spread = F.sqrt(squares / F.nullif(F.count("*") - 1, F.lit(0)))
+        means = F.broadcast(totals.select("column", "mean"))
+        spreads = counts.join(means, "column").groupBy("column").agg(spread.alias("std"))
+        totals = totals.join(F.broadcast(spreads), "column")
     parts = [totals]
     if not small_domain:
         parts.append(exact_quantiles(melted, "value", points, ["column"]))
